@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import repeats, simhash
+from webloom.llm import packing, repeats, simhash
 from webloom.llm.common import table
 
 
+def word_tokenizer() -> str:
+    """Path of the tokenizer that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,5 +23,9 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op9_suffix_array)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op9_suffix_array, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
