@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import packing, repeats, simhash, toxicity
+from webloom.llm import decontaminate, packing, repeats, simhash, toxicity
 from webloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,5 +35,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_toxicity, op9_suffix_array, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op9_suffix_array, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
