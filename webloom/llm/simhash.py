@@ -167,3 +167,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of = joined.join(lowest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """docs without near copies: of each component the document with the smallest doc_id stays.
+
+    Texts under one doc_id stay or go together, and of exact repeated rows one stays. Rows with a null doc_id stay, as nothing names them.
+    """
+    found = near_duplicates(docs, radius, words, seed)
+    names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(names, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        kept = kept.dropDuplicates()
+    nameless = docs.where("doc_id is null")
+    return kept if nameless.isEmpty() else kept.unionByName(nameless)
