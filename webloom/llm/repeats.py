@@ -10,8 +10,9 @@ suffix leaves the sort as soon as it is alone in its group:
    with this anchor. Each Arrow batch combines its own equal neighbourhoods before the shuffle. An anchor that is not the
    first of its neighbourhood is a repeat of all those strings; a gram with one neighbourhood is done.
 3. Of grams with several neighbourhoods, one suffix each is left. Their strings are sorted on the real bytes, eight
-   at a time. The (rare) grams with more than ``HOT`` neighbourhoods are dealt out by the hash of each string, so
-   that no group is gathered.
+   at a time. A gram with more than ``HOT`` neighbourhoods takes one more digit first: strings that reach far to its left
+   are grouped by the bytes on that side, the others by those on the right, and suffixes that are alone leave. Groups that
+   are still larger are dealt out by the digest of each string, so that no group is gathered.
 
 Digests are 64 bits wide for neighbourhoods and 128 for strings of hot grams.
 
@@ -212,43 +213,56 @@ def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
     return rows.repartition(parts, "gram").sortWithinPartitions("gram", "around", "doc", "sub", "at").mapInArrow(run, schema)
 
 
-def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int) -> DataFrame:
-    """gram, doc, sub, begin, around, skip: the bytes around each anchor that is left, from place begin on; the anchor comes skip bytes later."""
+def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int, halves: bool = False) -> DataFrame:
+    """gram, doc, sub, begin, around, skip, first, last: the bytes around each anchor that is left, from place begin on.
+
+    The anchor comes skip bytes later. The strings in question start at the offsets first to last. halves: two rows for each anchor,
+    for the strings that start far before it and for the others; gram is then a hash that also covers the bytes that all of them share.
+    """
     width = depth - gram + 1
+    middle = width // 2
     lists = left.groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "lo")).alias("places"))
-    names = ["gram", "doc", "sub", "begin", "around", "skip"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    names = ["gram", "doc", "sub", "begin", "around", "skip", "first", "last"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
 
-    def out(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2, CHUNK):
-            rows: list[list] = [[] for _ in names]
+            rows: list[tuple] = []
             for doc, sub, text, places in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 for p in places:
                     lo = max(0, p["lo"] - width + 1)
-                    for to, x in zip(rows, (p["gram"], doc, sub, lo, text[lo : p["lo"] + depth], p["lo"] - lo), strict=True):
-                        to.append(x)
-                if len(rows[0]) > 20_000:
+                    around, skip = text[lo : p["lo"] + depth], p["lo"] - lo
+                    last = min(skip, len(around) - depth)
+                    if not halves:
+                        rows.append((p["gram"], doc, sub, lo, around, skip, 0, last))
+                        continue
+                    far = max(-1, min(last, skip - middle))
+                    for side, first, to, shared in ((b"<", 0, far, around[max(0, skip - middle) : skip + gram]), (b">", far + 1, last, around[skip : skip + depth - middle + 1])):
+                        if first <= to:
+                            rows.append((xxhash.xxh3_64_intdigest(side + shared, p["gram"] & 0xFFFF_FFFF_FFFF_FFFF) - (1 << 63), doc, sub, lo, around, skip, first, to))
+                if len(rows) > 20_000:
                     yield out(rows)
-                    rows = [[] for _ in names]
-            if rows[0]:
+                    rows = []
+            if rows:
                 yield out(rows)
 
     # all columns of base go in, so that every join can read the same exchange
     joined = base.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "places", *[c for c in base.columns if c not in ("doc", "sub", "text")])
-    return joined.mapInArrow(run, "gram long, doc long, sub long, begin int, around binary, skip int")
+    return joined.mapInArrow(run, "gram long, doc long, sub long, begin int, around binary, skip int, first int, last int")
 
 
-def equal_strings(gram: np.ndarray, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, around: list[bytes], skip: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_strings(gram: np.ndarray, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, around: list[bytes], skip: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset) of each string of depth bytes in a row's bytes that equals an earlier one of its gram at the same distance from the anchor.
 
-    skip: the anchor's offset in the row's bytes. Rounds go over eight bytes each, and strings that are alone in their group leave.
+    skip: the anchor's offset in the row's bytes; the strings in question start at the offsets first to last. Rounds go over eight bytes each, and strings that are alone in their group leave.
     """
     sizes = np.array([len(x) for x in around], np.int64)
-    row = np.repeat(np.arange(sizes.size), sizes - depth + 1)
-    offset = np.arange(row.size) - np.repeat(np.cumsum(sizes - depth + 1) - (sizes - depth + 1), sizes - depth + 1)
+    strings = (last - first + 1).astype(np.int64)
+    row = np.repeat(np.arange(sizes.size), strings)
+    offset = np.arange(row.size) - np.repeat(np.cumsum(strings) - strings, strings) + first[row]
     data = np.frombuffer(b"".join(around) + bytes(8), np.uint8)
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     base = (np.cumsum(sizes) - sizes)[row] + offset
@@ -300,8 +314,8 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
             stop = int(ends[min(ends.size - 1, np.searchsorted(ends, start + 4000))])
             part = rows.slice(start, stop - start)
             start = stop
-            doc, sub, begin, skip = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5))
-            r, o = equal_strings(part.column(0).to_numpy(), doc, sub, begin, part.column(4).to_pylist(), skip, depth)
+            doc, sub, begin, skip, first, last = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5, 6, 7))
+            r, o = equal_strings(part.column(0).to_numpy(), doc, sub, begin, part.column(4).to_pylist(), skip, first, last, depth)
             if not r.size:
                 continue
             # runs of neighbouring strings of a row become one
@@ -318,18 +332,18 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
 
 
 def _dealt_out(suffixes: DataFrame, depth: int) -> DataFrame:
-    """doc, sub, lo, hi: repeats among the strings of hot grams, by the digest of each string."""
+    """doc, sub, lo, hi: repeats among the strings of hot groups, by the digest of each string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 rows: list[tuple] = []
-                for doc, sub, begin, around in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
-                    for o in range(len(around) - depth + 1):
+                for doc, sub, begin, around, first, last in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
+                    for o in range(first, last + 1):
                         rows.append((xxhash.xxh3_128_digest(around[o : o + depth]), doc, sub, begin + o))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["string", "doc", "sub", "lo"])
 
-    strings = suffixes.select("doc", "sub", "begin", "around").mapInArrow(run, "string binary, doc long, sub long, lo int")
+    strings = suffixes.select("doc", "sub", "begin", "around", "first", "last").mapInArrow(run, "string binary, doc long, sub long, lo int")
     first = strings.groupBy("string").agg(F.min(F.struct("doc", "sub", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return strings.join(first, "string").where(F.struct("doc", "sub", "lo") > F.col("first")).select("doc", "sub", "lo", (F.col("lo") + depth).alias("hi")).distinct()
 
@@ -351,7 +365,9 @@ def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
     left = lambda kind: rows.where(F.col("kind") == kind).select("doc", "sub", "gram", "lo")
     found = rows.where("kind = 0").select("doc", "sub", "lo", "hi")
     found = found.unionByName(_compared(_suffixes(whole, left(1), depth, gram), depth))
-    found = found.unionByName(_dealt_out(_suffixes(whole, left(2), depth, gram), depth))
+    halves = _suffixes(whole, left(2), depth, gram, halves=True)
+    halves = halves.join(halves.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
+    found = found.unionByName(_compared(halves.where(F.col("n") <= hot).drop("n"), depth)).unionByName(_dealt_out(halves.where(F.col("n") > hot), depth))
     spans = found.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return base.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "spans")
 
