@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, language, packing, repeats, simhash, toxicity, wordpieces
+from webloom.llm import decontaminate, html_text, language, packing, repeats, simhash, toxicity, wordpieces
 from webloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.counts(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -43,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op6_token_counts, op7_language, op9_suffix_array, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op9_suffix_array, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
