@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, html_text, language, packing, repeats, simhash, toxicity, wordpieces
+from webloom.llm import decontaminate, html_text, language, neighbours, packing, repeats, simhash, toxicity, wordpieces
 from webloom.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.hundredth(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op9_suffix_array, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op8_neighbours, op9_suffix_array, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
