@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import decontaminate, html_text, language, neighbours, packing, repeats, simhash, toxicity, wordpieces
+from webloom.llm import decontaminate, html_text, language, neighbours, packing, repeats, simhash, toxicity, url_filter, wordpieces
 from webloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.seed_labels(pages))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op8_neighbours, op9_suffix_array, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op8_neighbours, op9_suffix_array, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
