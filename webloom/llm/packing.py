@@ -13,6 +13,7 @@ An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +29,63 @@ K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: Texts of these characters only are split here; lower case and NFC form don't change their kind. Others go to the tokenizer whole.
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
+_LETTER, _DIGIT, _BLANK = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+#: How the tokenizer divides a text into words.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
+
+
+def _byte_letters() -> list[str]:
+    """For each byte the character that stands for it in a byte-level vocabulary: itself if it is visible, else one from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(spare)) for b in range(256)]
+
+
 class Ids:
-    """Token ids of texts. The tokenizer never joins over white space, so its result is kept for each string between blanks."""
+    """Token ids of texts. The ids of a word don't depend on what is around it, so they are kept for each word, up to a number of words."""
 
-    def __init__(self, path: str, room: int = 300_000) -> None:
+    def __init__(self, path: str, room: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {"": b""}
+        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.spelt = lambda word: "".join([letters[b] for b in word.encode()])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        found = self.tokenize(word if word.isascii() and word.isalpha() else self.spelt(word))
+        ids = self.known[word] = np.array([x.id for x in found], "<u4").tobytes()
+        return ids
 
     def of(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.room:
-            self.known = {"": b""}
-        new = list(set().union(*parts) - self.known.keys()) if parts else []
-        for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self.encode(new[at : at + 4096]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = []
+        for text in texts:
+            if "<|" in text or not _PLAIN.fullmatch(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            if len(self.known) > self.room:
+                self.known = {}
+            words, known = _PIECE.findall(text.lower()), self.known
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                for w in set(words):
+                    if w not in known:
+                        self.word(w)
+                out.append(b"".join(map(known.__getitem__, words)))
+        return out
+
+
+_IDS: dict[str, Ids] = {}
+
+
+def ids_by(path: str) -> Ids:
+    """One for each Python worker, which serves several tasks."""
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
 class Index:
@@ -162,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
         ids, packer, held, tokens = None, Packer(TaskContext.get().partitionId()), [], 0
         end = END.to_bytes(4, "little")
         for batch in chunks(batches, 1, 1 << 20):
-            ids = ids or Ids(tokenizer)
+            ids = ids or ids_by(tokenizer)
             for doc_id, b in zip(batch.column(0).to_pylist(), ids.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 held.append((doc_id, b + end))
                 tokens += len(b) // 4 + 1
