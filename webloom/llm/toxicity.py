@@ -152,8 +152,9 @@ def score(docs: DataFrame, model: Model, room: int = 400_000) -> DataFrame:
             scores = []
             for text in batch.column(1).to_pylist():
                 words = set(WORD.findall((text or "").lower()))
-                for w in words - known.keys():
-                    known[w] = model.word(w)
+                for w in words:
+                    if w not in known:
+                        known[w] = model.word(w)
                 scores.append(sum(map(known.__getitem__, words)))
             over = model.grades(np.array(scores, float))
             each = np.concatenate((np.ones((len(scores), 1)), over), axis=1) - np.concatenate((over, np.zeros((len(scores), 1))), axis=1)
