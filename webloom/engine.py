@@ -57,7 +57,7 @@ class Engine:
         """Pages within depth levels of a url, on its domain."""
         if not url.strip():
             raise RequestError(400, "url is empty")
-        found = graph.crawl(self.pages, documents.page_links(self.pages), url, depth)
+        found = graph.crawl(self.pages, documents.page_links(self.pages).withColumnRenamed("url", "src"), url, depth)
         return found.select("url", "depth", "status_code").join(documents.page_results(found.where("html is not null")), "url", "left")
 
     def totals(self, results: DataFrame) -> DataFrame:

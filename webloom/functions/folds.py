@@ -15,7 +15,7 @@ MIN_INTERVAL, FIRST_INTERVAL, MAX_INTERVAL = 300.0, 86_400.0, 2_592_000.0
 
 def history(order: list[str], fields: list[str]) -> Column:
     """The aggregate that gathers a key's events in order."""
-    return F.array_sort(F.collect_list(F.struct(*order, *fields)))
+    return F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
 
 
 def aimd(events: Column, low: int, high: int) -> Column:
