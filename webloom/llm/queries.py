@@ -57,4 +57,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op8_neighbours, op9_suffix_array, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can express. op5's is for pages as the tables hold them: one article of headings and paragraphs.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+    with lines as (select item_id, line, i from (select item_id, unnest(string_split(lower(text), chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from benchmark) where regexp_matches(line, '[\p{L}\p{N}_]')),
+    ends as (select item_id, min(i) as lo, max(i) as hi from lines group by item_id),
+    part as (select item_id, i = hi and hi > lo as answer, list_sort(list(struct_pack(i := i, w := regexp_extract_all(line, '[\p{L}\p{N}_]+')))) as ws from lines join ends using (item_id) group by item_id, answer),
+    words as (select item_id, answer, flatten(list_transform(ws, lambda x: x.w)) as w from part),
+    grams as (select distinct item_id, answer, n, array_to_string(w[k:k + 4], ' ') as g, least(n, 5) as len from (select *, len(w) as n, unnest(range(1, greatest(2, len(w) - 3))) as k from words)),
+    whole as (select item_id, count(distinct (g, len)) as n_whole, count(distinct g) filter (where not answer and n >= 10) as n_question from grams group by item_id),
+    big as (select item_id from words group by item_id having sum(len(w)) >= 5),
+    doc as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where text is not null),
+    seen as (select distinct doc_id, array_to_string(w[k:k + len - 1], ' ') as g, len from (select doc_id, w, len, unnest(range(1, len(w) - len + 2)) as k from doc, (select distinct len from grams))),
+    hit as (select doc_id, item_id, count(distinct (g, len)) as n, count(distinct g) filter (where not answer and grams.n >= 10) as q from seen join grams using (g, len) group by doc_id, item_id),
+    found as (select doc_id, item_id, greatest(n::double / n_whole, case when n_question > 0 then q::double / n_question else 0 end) as o from hit join whole using (item_id) join big using (item_id))
+    select doc_id, count(item_id) > 0 as contaminated, coalesce(list(item_id order by item_id) filter (where item_id is not null), []::bigint[]) as item_ids, coalesce(max(o), 0.0::double) as overlap
+    from documents left join (select * from found where o >= 0.8 - 1e-9) using (doc_id) group by doc_id""",
+    "op5_html_text": r"""
+    with a as (select page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') as h from pages),
+    b as (select page_id, url, list_transform(string_split_regex(h, '</?(p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as blocks from a),
+    t as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from b)
+    select page_id, url, text, length(text) as n_chars from t""",
+}
