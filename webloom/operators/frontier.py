@@ -41,9 +41,9 @@ def fair(frontier: DataFrame, n: int) -> DataFrame:
     before the join: no domain can give more.
     """
     sizes = frontier.groupBy("domain").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    budget = F.greatest(F.lit(1), F.floor(F.col("size").cast("double") / F.col("total").cast("double") * F.lit(float(n))))
-    budgets = sizes.join(F.broadcast(total)).select("domain", budget.alias("budget"))
+    total = sizes.agg(F.sum("size")).scalar()
+    budget = F.greatest(F.lit(1), F.floor(F.col("size").cast("double") / total.cast("double") * F.lit(float(n))))
+    budgets = sizes.select("domain", budget.alias("budget"))
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), F.desc("url")))
     best = frontier.withColumn("rank", rank).where(F.col("rank") <= n)
     return best.join(budgets, "domain").where(F.col("rank") <= F.col("budget")).select("domain", "url", "score", "rank")

@@ -402,7 +402,7 @@ def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     both = frontier.add_seen(pages.select("url").distinct(), pages)
-    return pages.agg(F.countDistinct("url").alias("urls")).join(both.agg(F.count("*").alias("after_union")))
+    return pages.agg(F.countDistinct("url").alias("urls")).withColumn("after_union", both.agg(F.count("*")).scalar())
 
 
 @query("select event_id as rec_id, user_id as domain, floor(epoch_us(ts) / 1000000)::bigint as fetched_at, strlen(props)::int as body_size from events")
