@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks
+from webloom.llm.common import chunks, packed, unpacked
 
 PER_CLASS, PER_ROW, MAX_FEATURES = 3000, 4000, 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -52,20 +52,24 @@ class Model:
 
 
 def _apart(rows: list[np.ndarray], size: int) -> list[int]:
-    """Rows without those that share most of their words with an earlier one (16 minima of hashes)."""
+    """Rows without those that share a good part of their rarer words with an earlier one (16 minima of hashes)."""
     rng = np.random.default_rng(5)
     hashes = rng.integers(0, 1 << 62, (16, max(1, size)))
+    df = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=max(1, size))
+    rare = df <= max(2, len(rows) // 20)
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
     for i, words in enumerate(rows):
-        if not words.size:
+        if rare[words].any():
+            words = words[rare[words]]
+        elif not words.size:
             continue
         minima = [(k, int(x)) for k, x in enumerate(hashes[:, words].min(axis=1))]
         votes: dict[int, int] = {}
         for key in minima:
             for j in seen.get(key, ()):
                 votes[j] = votes.get(j, 0) + 1
-        if max(votes.values(), default=0) < 10:
+        if max(votes.values(), default=0) < 5:
             kept.append(i)
             for key in minima:
                 seen.setdefault(key, []).append(i)
@@ -86,10 +90,16 @@ def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps:
         for f in {f for w in row for f in of_word[w]}:
             df.setdefault(f, [0, 0])[t] += 1
     n = np.bincount(y, minlength=2)
-    # far more frequent on one side, and often enough that this is no accident
-    ratio = {f: np.log(((b + 0.5) / (n[1] + 1)) / ((a + 0.5) / (n[0] + 1))) for f, (a, b) in df.items() if a + b >= 5}
-    telling = {f for f, r in ratio.items() if r > 1.5 and df[f][1] >= 5}
-    chosen = sorted(telling, key=lambda f: (-ratio[f] * df[f][1], f))[:MAX_FEATURES]
+    # far more frequent in toxic rows, and so much that chance would hardly give one such feature among all (Chernoff's bound)
+    share, least = n[1] / y.size, np.log(len(df)) + 3
+    proof: dict[str, float] = {}
+    for f, (a, b) in df.items():
+        k, q = a + b, b / (a + b)
+        if q >= 0.8 and q > share:
+            bound = k * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0))
+            if bound > least:
+                proof[f] = bound
+    chosen = sorted(proof, key=lambda f: (-proof[f], f))[:MAX_FEATURES]
     at = {f: i for i, f in enumerate(chosen)}
     # the design matrix, in coordinate form
     r, c = [], []
@@ -140,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return fit_rows([x["words"].split() for x in found], [x["toxic"] for x in found])
 
 
-def score(docs: DataFrame, model: Model, room: int = 400_000) -> DataFrame:
-    """docs with p_toxic (of any grade above 0), severity (the expected grade) and grade (the likeliest)."""
+def _scored(docs: DataFrame, model: Model, room: int = 150_000) -> DataFrame:
+    """rest (the row's columns but text), text, p_toxic, severity, grade."""
     names, kinds = ["p_toxic", "severity", "grade"], [pa.float64(), pa.float64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +171,14 @@ def score(docs: DataFrame, model: Model, room: int = 400_000) -> DataFrame:
             columns = (over[:, 0], over.sum(axis=1), each.argmax(axis=1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["rest", "text", *names])
 
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    ready = docs.select(rest.alias("rest"), "text")
-    scored = ready.mapInArrow(run, f"rest {ready.schema['rest'].dataType.simpleString()}, text string, p_toxic double, severity double, grade int")
-    return scored.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], *[F.col(n) for n in names if n not in docs.columns])
+    ready = docs.select(packed(docs, "text").alias("rest"), "text")
+    return ready.mapInArrow(run, f"rest {ready.schema['rest'].dataType.simpleString()}, text string, p_toxic double, severity double, grade int")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with p_toxic (of any grade above 0), severity (the expected grade) and grade (the likeliest), in place of columns of these names."""
+    names = ["p_toxic", "severity", "grade"]
+    return _scored(docs, model).select(*unpacked([c for c in docs.columns if c not in names], "text", of=docs.columns), *names)
 
 
 def judged(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
@@ -174,6 +188,5 @@ def judged(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """docs without those that are toxic."""
-    clean = docs.select(*[F.col(c) for c in docs.columns if c not in ("p_toxic", "severity", "grade")])
-    return score(clean, fit(docs, labels)).where(F.col("p_toxic") < at).select(*clean.columns)
+    """docs without those that are toxic, with all their columns."""
+    return _scored(docs, fit(docs, labels)).where(F.col("p_toxic") < at).select(*unpacked(docs.columns, "text"))
