@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """The columns of df but some, as one struct with fields c0, c1, ..., so that no name can clash on the way through a Python stage."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without], F.lit(0).alias("end"))
+
+
+def unpacked(columns: list[str], *apart: str, of: list[str] | None = None, rest: str = "rest") -> list[Column]:
+    """The columns again, from the struct ``rest``; those apart stand beside it. of: the packed frame's columns, if these are some of them."""
+    place = {c: i for i, c in enumerate(of or columns)}
+    return [F.col(c) if c in apart else F.col(f"{rest}.c{place[c]}").alias(c) for c in columns]
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column number ``text`` has about ``max_bytes`` bytes at most, or one row."""
     for batch in batches:

@@ -14,7 +14,8 @@ the document's words around the passage.
 
 The index goes to every task, for at most ``BLOCK_ITEMS`` items at a time (and ``BLOCK_WORDS`` words); larger benchmarks are searched block by block.
 
-Nulls: null or empty texts, and items without words, match nothing; items shorter than five words are one shingle. A null doc_id stays null; a
+Nulls: null or empty texts, and items shorter than five words, match nothing; an
+answer shorter than that is one shingle. A null doc_id stays null; a
 null item_id is no item. Repeated rows stay repeated. Without items nothing is contaminated. Other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks
+from webloom.llm.common import chunks, packed, unpacked
 
 SIMILARITY, SHINGLE = 0.8, 5
 BLOCK_ITEMS, BLOCK_WORDS = 5000, 2_000_000
@@ -100,17 +101,19 @@ class Index:
     rare_impact: np.ndarray | None = None
     need: np.ndarray | None = None  # what the essential terms must add
     stride: int = 32
+    lengths: tuple[int, ...] = (SHINGLE,)  # of the shingles; short answers have short ones
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index:
         rows = [(i, *parts(t)) for i, t in sorted(rows)]
-        rows = [r for r in rows if r[1]]
+        rows = [r for r in rows if len(r[1]) + len(r[2]) >= SHINGLE]
         out = cls([r[0] for r in rows])
         n = len(rows)
         if not n:
             return out
         words = [q + a for _, q, a in rows]
         out.sets = [(shingles(q) | shingles(a), shingles(q) if len(q) >= QUESTION else set()) for _, q, a in rows]
+        out.lengths = tuple(sorted({len(s) for whole, _ in out.sets for s in whole}))
         out.stride = max(32, max(map(len, words)))
         df: dict[str, int] = defaultdict(int)
         for w in words:
@@ -234,7 +237,7 @@ class Index:
             items = self.search(set(words))
             if not items:
                 continue
-            seen = shingles(words)
+            seen = set().union(*(shingles(words, k) for k in self.lengths))
             for i in items:
                 o, q = self.overlap(i, seen)
                 if max(o, q) >= SIMILARITY - 1e-9:
@@ -253,12 +256,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with a column leaks: the items that each text contains, as (item_id, overlap, question_overlap), by item_id; null if none."""
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """rest (the row's columns but text), text, leaks."""
     schema = "array<struct<item_id:bigint,overlap:double,question_overlap:double>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("question_overlap", pa.float64())]))
-    rest = F.struct(*[F.col(c) for c in docs.columns if c not in ("text", "leaks")])
-    out = docs.select(rest.alias("rest"), "text", F.lit(None).cast(schema).alias("leaks"))
+    out = docs.select(packed(docs, "text").alias("rest"), "text", F.lit(None).cast(schema).alias("leaks"))
     of_rest = out.schema["rest"].dataType.simpleString()
     for items in _blocks(benchmark):
         if not items:
@@ -266,15 +268,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = Index.build(items)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, 1, 4 << 20):
+            for batch in chunks(batches, 1, 2 << 20):
                 found: list[list | None] = batch.column(2).to_pylist()
                 for d, i, o, q in index.leaks(batch.column(1).to_pylist()):
                     found[d] = [*(found[d] or []), {"item_id": index.items[i], "overlap": o, "question_overlap": q}]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["rest", "text", "leaks"])
 
         out = out.mapInArrow(run, f"rest {of_rest}, text string, leaks {schema}")
-    columns = [c for c in docs.columns if c != "leaks"]
-    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns], F.array_sort("leaks").alias("leaks"))
+    return out.withColumn("leaks", F.array_sort("leaks"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with leaks, in place of a column of that name: the items that each text contains, as (item_id, overlap, question_overlap), by item_id; null if none."""
+    return _found(docs, benchmark).select(*unpacked([c for c in docs.columns if c != "leaks"], "text", of=docs.columns), "leaks")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -286,6 +292,5 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain a test item."""
-    plain = docs.select(*[F.col(c) for c in docs.columns if c != "leaks"])
-    return leaks(plain, benchmark).where("leaks is null").select(*plain.columns)
+    """docs without those that contain a test item, with all their columns."""
+    return _found(docs, benchmark).where("leaks is null").select(*unpacked(docs.columns, "text"))

@@ -46,7 +46,7 @@ def _byte_letters() -> list[str]:
 class Ids:
     """Token ids of texts. The ids of a word don't depend on what is around it, so they are kept for each word, up to a number of words."""
 
-    def __init__(self, path: str, room: int = 700_000) -> None:
+    def __init__(self, path: str, room: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -210,6 +210,8 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
         if held:
             packer.shard(held)
         packer.finish()
+        if ids:
+            ids.known = {}  # the worker serves other tasks too
         yield from out(packer)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

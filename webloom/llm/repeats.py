@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks
+from webloom.llm.common import checkpoint, chunks, packed, unpacked
 
 DEPTH, GRAM, HOT = 100, 40, 4096
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -349,11 +349,12 @@ def _dealt_out(suffixes: DataFrame, depth: int) -> DataFrame:
 
 
 def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
-    """doc, sub, text, rest, spans: rest holds the row's columns; spans, or null, are lists of [lo, hi) that cover its repeats; they may overlap and go over the end."""
+    """doc, sub, text, rest, empty, spans: rest holds the row's columns, empty says that its text is null; spans, or null, are lists of [lo, hi) that cover its repeats; they may overlap and go over the end."""
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"),
-        F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"),
+        packed(docs, "text").alias("rest"),
+        F.col("text").isNull().alias("empty"),
     )
     if base.groupBy("doc").count().where(f"count > 1 or doc = {NO_ID}").isEmpty():
         base = base.withColumn("sub", F.lit(0).cast("long"))
@@ -369,7 +370,7 @@ def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
     halves = halves.join(halves.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
     found = found.unionByName(_compared(halves.where(F.col("n") <= hot).drop("n"), depth)).unionByName(_dealt_out(halves.where(F.col("n") > hot), depth))
     spans = found.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return base.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "spans")
+    return base.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "empty", "spans")
 
 
 def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -405,7 +406,7 @@ def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = H
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _spans(docs.select("doc_id", "text"), depth, gram, hot)
-    return found.select(F.col("rest.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("rest.c0").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -418,10 +419,9 @@ def removed(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HO
                 texts.append(cut(text, spans)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(3)], ["rest", "text", "empty"])
 
-    found = _spans(docs.withColumn("__null", F.col("text").isNull()), depth, gram, hot)
-    kept = found.select("rest", "text", "spans", F.col("rest.__null").alias("empty")).mapInArrow(run, f"rest {found.schema['rest'].dataType.simpleString()}, text string, empty boolean")
-    text = F.when(~F.col("empty"), F.col("text"))
-    of = {c: F.col(f"rest.`{c}`") for c in docs.columns} | {"text": text}
+    found = _spans(docs, depth, gram, hot)
+    kept = found.select("rest", "text", "spans", "empty").mapInArrow(run, f"rest {found.schema['rest'].dataType.simpleString()}, text string, empty boolean")
+    columns = dict(zip(docs.columns, unpacked(docs.columns, "text"), strict=True)) | {"text": F.when(~F.col("empty"), F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        of["n_chars"] = F.when(~F.col("empty"), F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[x.alias(c) for c, x in of.items()])
+        columns["n_chars"] = F.when(F.col("empty"), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*columns.values())

@@ -175,8 +175,8 @@ def without_copies(docs: DataFrame, radius: int = 3, words: int = 3, seed: int =
     Texts under one doc_id stay or go together, and of exact repeated rows one stays. Rows with a null doc_id stay, as nothing names them.
     """
     found = near_duplicates(docs, radius, words, seed)
-    names = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(names, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    names = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(names, docs["doc_id"].cast("long") == names["doc_id"], "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         kept = kept.dropDuplicates()
     nameless = docs.where("doc_id is null")

@@ -102,7 +102,7 @@ def vocabulary(path: str, word_end: str = "</w>") -> list[str]:
 _AUTOMATA: dict[str, Automaton] = {}
 
 
-def counts(docs: DataFrame, path: str, room: int = 500_000) -> DataFrame:
+def counts(docs: DataFrame, path: str, room: int = 250_000) -> DataFrame:
     """doc_id, n_words, n_tokens: a row per row of docs. path: the vocabulary's file, which is on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
