@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ from webloom.llm.common import chunks, packed, unpacked
 
 PER_CLASS, PER_ROW, MAX_FEATURES = 3000, 4000, 20_000
 PREFIXES = (4, 5, 6, 7)
+BUCKETS, CHANCE = 1 << 20, 0.5
 GRADES = (0.5,)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,39 +80,55 @@ def _apart(rows: list[np.ndarray], size: int) -> list[int]:
 
 def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps: int = 500) -> Model:
     """The model from rows given as lists of distinct words."""
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*words)))} if words else {}
+    names = sorted(set().union(*words)) if words else []
+    vocabulary = {w: i for i, w in enumerate(names)}
     coded = [np.array([vocabulary[w] for w in row], np.int64) for row in words]
-    kept = _apart(coded, len(vocabulary))
-    words, y = [words[i] for i in kept], np.array([toxic[i] for i in kept], np.int64)
+    kept = _apart(coded, len(names))
+    coded, y = [coded[i] for i in kept], np.array([toxic[i] for i in kept], np.int64)
     if len(set(y.tolist())) < 2:
         return Model()
-    of_word = {w: features(w) for w in vocabulary}
-    df: dict[str, list[int]] = {}
-    for row, t in zip(words, y.tolist(), strict=True):
-        for f in {f for w in row for f in of_word[w]}:
-            df.setdefault(f, [0, 0])[t] += 1
-    n = np.bincount(y, minlength=2)
-    # far more frequent in toxic rows, and so much that chance would hardly give one such feature among all (Chernoff's bound)
-    share, least = n[1] / y.size, np.log(len(df)) + 3
-    proof: dict[str, float] = {}
-    for f, (a, b) in df.items():
-        k, q = a + b, b / (a + b)
-        if q >= 0.8 and q > share:
-            bound = k * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0))
-            if bound > least:
-                proof[f] = bound
-    chosen = sorted(proof, key=lambda f: (-proof[f], f))[:MAX_FEATURES]
+    # counts of rows by hashed features find the candidates, which are then counted by name
+    hashed = np.full((len(names), 1 + len(PREFIXES)), -1, np.int64)
+    for i, w in enumerate(names):
+        for j, f in enumerate(features(w)):
+            hashed[i, j] = xxhash.xxh3_64_intdigest(f) % BUCKETS
+    df = np.zeros((2, BUCKETS + 1), np.int64)  # the last place takes the -1
+    for row, t in zip(coded, y.tolist(), strict=True):
+        df[t, np.unique(hashed[row])] += 1
+    df = df[:, :BUCKETS]
+    share, rows_with = float(np.mean(y)), df.sum(axis=0)
+    # the proof that one feature needs, so that chance gives CHANCE ones among those that could reach it at all (Tarone's correction)
+    fewest = next(k for k in range(1, len(coded) + 2) if np.count_nonzero(rows_with >= k) * share**k <= CHANCE)
+    least = float(np.log(max(1, np.count_nonzero(rows_with >= fewest)) / CHANCE))
+
+    def proof(clean: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """Chernoff's bound for so many toxic rows among those with a feature, 0 if it isn't far more frequent in them."""
+        k = np.maximum(1, clean + bad)
+        q = bad / k
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = k * (np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0))
+        return np.where((q >= 0.8) & (q > share), bound, 0)
+
+    likely = proof(df[0], df[1]) > least
+    of_word = {i: fs for i in np.flatnonzero(np.append(likely, False)[hashed].any(axis=1)).tolist() if (fs := [f for f, h in zip(features(names[i]), hashed[i].tolist(), strict=False) if likely[h]])}
+    exact: dict[str, list[int]] = {}
+    for row, t in zip(coded, y.tolist(), strict=True):
+        for f in {f for i in row.tolist() if i in of_word for f in of_word[i]}:
+            exact.setdefault(f, [0, 0])[t] += 1
+    # so many that chance would hardly give one such feature among all
+    proofs = dict(zip(exact, proof(*np.array(list(exact.values()), np.int64).reshape(-1, 2).T).tolist(), strict=True))
+    chosen = sorted((f for f, x in proofs.items() if x > least), key=lambda f: (-proofs[f], f))[:MAX_FEATURES]
     at = {f: i for i, f in enumerate(chosen)}
     # the design matrix, in coordinate form
     r, c = [], []
-    for i, row in enumerate(words):
-        for w in row:
-            for f in of_word[w]:
-                if f in at:
-                    r.append(i)
-                    c.append(at[f])
+    hits = np.zeros(y.size)
+    for i, row in enumerate(coded):
+        for w in row.tolist():
+            own = [at[f] for f in of_word.get(w, ()) if f in at]
+            hits[i] += bool(own)
+            r += [i] * len(own)
+            c += own
     r, c = np.array(r, np.int64), np.array(c, np.int64)
-    hits = np.array([sum(any(f in at for f in of_word[w]) for w in row) for row in words])
     cuts = np.quantile(hits[y == 1], GRADES)
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, hits, "right"), 0)
     levels = len(GRADES) + 1
@@ -147,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most 2 x PER_CLASS doc_ids; of rows that repeat one, the first text counts
     rows = sample.mapInArrow(run, "doc_id long, toxic int, words string").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
     found = sorted(rows.collect(), key=lambda x: x["doc_id"])
-    return fit_rows([x["words"].split() for x in found], [x["toxic"] for x in found])
+    same: dict[str, str] = {}
+    return fit_rows([[same.setdefault(w, w) for w in x["words"].split()] for x in found], [x["toxic"] for x in found])
 
 
 def _scored(docs: DataFrame, model: Model, room: int = 150_000) -> DataFrame:
