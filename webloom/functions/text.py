@@ -50,6 +50,42 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.decode(F.substring(data, F.lit(1), F.lit(limit) - F.greatest(back, F.lit(0))), "utf-8"))
 
 
+def escaped(text: Column) -> Column:
+    """Text for HTML."""
+    out = text
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(name))
+    return out
+
+
+def kilobytes(size: Column) -> Column:
+    return F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))
+
+
+def preview(results: Column | str = "content", short: int = 500, long: int = 3000) -> Column:
+    """(short, long): a result's text cut for display."""
+    text = F.col(results) if isinstance(results, str) else results
+    return F.struct(F.substring(text, 1, short).alias("short"), F.substring(text, 1, long).alias("long"))
+
+
+def preview_extras(extras: Column, most: int = 6, width: int = 80) -> Column:
+    """At most ``most`` extra fields by name, values cut."""
+    return F.map_from_entries(F.slice(F.array_sort(F.transform(F.map_entries(extras), lambda e: F.struct(e["key"].alias("key"), F.substring(e["value"], 1, width).alias("value")))), 1, most))
+
+
+def rate_score(rate: Column, mean_ms: Column) -> Column:
+    """rate x ln(1 + 1000 / mean latency); the rate alone without a latency."""
+    return F.when(mean_ms <= 0, rate).otherwise(rate * F.log1p(F.lit(1000.0) / mean_ms))
+
+
+def output_record(url: Column, domain: Column, content_hash: Column, status: Column, fetched_at: Column, body: Column, fields: Column) -> Column:
+    """A record of the output stream: unix seconds, the body's size, and fields under the prefix field_."""
+    return F.struct(
+        url.alias("url"), domain.alias("domain"), content_hash.alias("content_hash"), status.alias("status_code"), F.unix_seconds(fetched_at).alias("fetched_at"),
+        F.coalesce(F.octet_length(body), F.lit(0)).alias("body_size"), F.transform_keys(fields, lambda k, _: F.concat(F.lit("field_"), k)).alias("fields"),
+    )
+
+
 def content_hash(text: Column) -> Column:
     """XXH64 (seed 0) in hex without leading zeros; the built-in function has another seed."""
 

@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks
+from webloom.llm.common import checkpoint, chunks
 
 DIM, N, PER_LANG, ROOM = 512, 3, 400, 60_000
+BROADCAST_ROWS = 100_000
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
@@ -119,7 +120,10 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["lang", "total"])
 
-    texts = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("lang", "text")
+    picked = checkpoint(picked)
+    # a few hundred rows a language: sent to all tasks unless there are very many languages
+    side = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    texts = docs.select("doc_id", "lang", "text").join(side, ["doc_id", "lang"]).select("lang", "text")
     places = texts.mapInArrow(run, "lang string, total array<double>").selectExpr("lang", "posexplode(total) as (place, x)")
     rows = places.groupBy("lang", "place").agg(F.sum("x").alias("x")).collect()  # DIM numbers a language
     out: dict[str, np.ndarray] = {}

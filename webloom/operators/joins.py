@@ -35,6 +35,20 @@ def allowed(df: DataFrame, robots: DataFrame, agent: str = "*", compat_full_url:
     return rows.withColumn("allowed", F.coalesce(F.array_max(fits)["allow"], F.lit(True))).drop("__domain", "__rules")
 
 
+def as_of(requests: DataFrame, states: DataFrame, key: str, ts: str, order: str) -> DataFrame:
+    """requests with the columns of the last state of their key at or before ts; null where there is none. Both have key and ts; order breaks ties of requests.
+
+    Both sides are taken together in one ordered pass per key, so there is no join on a range.
+    """
+    rest = [c for c in states.columns if c not in (key, ts)]
+    state = F.struct(*rest)
+    left = requests.select(key, ts, F.lit(1).alias("__side"), F.struct(*requests.columns).alias("__row"), F.lit(None).cast(states.select(state.alias("s")).schema["s"].dataType).alias("__state"))
+    right = states.select(key, ts, F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), state.alias("__state"))
+    by = Window.partitionBy(key).orderBy(ts, "__side", f"__row.{order}").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("__last", F.last("__state", ignorenulls=True).over(by)).where("__side = 1")
+    return found.select(*[F.col(f"__row.{c}").alias(c) for c in requests.columns], *[F.col(f"__last.{c}").alias(c) for c in rest])
+
+
 def cumulative(pool: DataFrame) -> DataFrame:
     """pool (pos, label, weight), a small fixed list, with lo and hi: its share of 0 to 1."""
     total = F.sum("weight").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))

@@ -411,6 +411,51 @@ def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), F.col("user_id").alias("domain"), F.unix_seconds(ts).alias("fetched_at"), F.octet_length("props").alias("body_size"))
 
 
+@query(
+    """select e.event_id, arg_max(s.value, s.event_id) as score from events e left join events s on s.user_id = e.user_id and s.event_type = 'signup' and s.ts <= e.ts where e.event_type = 'error' group by e.event_id"""
+)
+def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    requests = events.where("event_type = 'error'").select("user_id", "ts", "event_id")
+    states = events.where("event_type = 'signup'").select("user_id", "ts", F.col("value").alias("score"))
+    return joins.as_of(requests, states, "user_id", "ts", "event_id").select("event_id", "score")
+
+
+@query("select user_id as key, round(case when avg(value) <= 0 then avg(ok) else avg(ok) * ln(1 + 1000.0::double / avg(value)) end, 6) as score from (select *, (event_type <> 'error')::int::double as ok from events) group by user_id")
+def rate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = _log(spark, sf_dir).groupBy("key").agg(F.avg(F.col("ok").cast("double")).alias("rate"), F.avg("ms").alias("mean"))
+    return by.select("key", F.round(text.rate_score(F.col("rate"), F.col("mean")), 6).alias("score"))
+
+
+@query()
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits from result pages that are made of the table's urls."""
+    from webloom.sources import results
+
+    item = F.concat(F.lit("<div class='g'><a href='"), "url", F.lit("'><h3>page "), F.col("page_id").cast("string"), F.lit("</h3></a><span class='VwiC3b'>text</span></div>"))
+    pages = _pages(spark, sf_dir).groupBy(urls.crawler_domain(F.col("url")).alias("query")).agg(F.concat_ws("", F.array_sort(F.collect_list(item))).alias("html"))
+    return results.hits(pages.withColumn("source", F.lit(2)), 10)
+
+
+@query()
+def snapshot_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.sources import results
+
+    n = F.col("page_id") % 10
+    error, status = F.when(n == 0, "timeout"), F.when(n == 1, 404).otherwise(200)
+    pages = _pages(spark, sf_dir).select("url", "html", status.alias("status_code"), error.alias("error"), F.lit(5).cast("long").alias("fetch_time_ms"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"))
+    return results.snapshot_results(pages).select("url", "status_code", "title", "content_length", "word_count")
+
+
+@query()
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webloom.sources import results
+
+    body = F.concat(F.lit("User-agent: *\nDisallow: /private\nAllow: /"), F.col("page_id").cast("string"), F.lit(" # ok\n\nUser-agent: bot\nDisallow: /"))
+    files = _pages(spark, sf_dir).select(urls.crawler_domain(F.col("url")).alias("domain"), "page_id").groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    return results.robots_rules(files.select("domain", F.lit(200).alias("status"), body.alias("body")))
+
+
 def _streamed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a stream over the events' files gives when it has read them all."""
     import uuid

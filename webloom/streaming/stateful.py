@@ -6,11 +6,12 @@ when batches follow one another in time. Late data: events older than the waterm
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webloom.functions import folds
@@ -80,6 +81,28 @@ def recrawl(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(run, "key long, last long, ema double", "last long, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def cache_outcomes(lookups: DataFrame, ttl_s: float = 300.0) -> DataFrame:
+    """host, event_id, outcome of each lookup: hit, stale_revalidate or miss. lookups: host, event_id, t (seconds)."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        loaded = state.get[0] if state.exists else None
+        rows, out = pd.concat(list(batches)).sort_values(["t", "event_id"]), []
+        for t, event in zip(rows["t"], rows["event_id"], strict=True):
+            live = loaded is not None and t - loaded < ttl_s
+            stale = live and t - loaded > 0.8 * ttl_s
+            loaded = loaded if live and not stale else float(t)
+            out.append((key[0], event, "stale_revalidate" if stale else "hit" if live else "miss"))
+        state.update((loaded,))
+        yield pd.DataFrame(out, columns=["host", "event_id", "outcome"])
+
+    return lookups.groupBy("host").applyInPandasWithState(run, "host string, event_id long, outcome string", "loaded double", "append", GroupStateTimeout.NoTimeout)
+
+
+def every(stream: DataFrame, seconds: int, tick: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Calls tick with each micro-batch, on a schedule; stop() ends it, and a new start goes on from the checkpoint."""
+    return stream.writeStream.foreachBatch(tick).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()
+
+
 def append_once(batch: DataFrame, batch_id: int, path: str) -> None:
     """A foreachBatch sink: each batch has a folder of its own, so a repeated batch overwrites itself."""
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
