@@ -80,9 +80,8 @@ def test_simhash_brute_force(spark):
 def test_links_of_dense_and_wide_buckets(spark, tile):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
-    fps = np.unique(np.concatenate([centre[i % 3] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 4), dtype=np.uint64)) if (k := i) >= 0 else None for i in range(150)] + list(rng.integers(0, 1 << 63, 40, dtype=np.uint64)), axis=None)) if False else np.unique(
-        np.array([int(centre[i % 3]) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())) for i in range(150)] + rng.integers(0, 1 << 63, 40).tolist(), np.uint64)
-    )
+    flips = [sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())) for _ in range(150)]
+    fps = np.unique(np.array([int(centre[i % 3]) ^ x for i, x in enumerate(flips)] + rng.integers(0, 1 << 63, 40).tolist(), np.uint64))
     roots = components(fps.size, lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 3)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     found = simhash.links(df, tile=tile)
@@ -298,7 +297,7 @@ def test_word_pieces(spark):
     words = ["".join(rng.choice("abcdx") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
     assert [automaton.count(w) for w in words] == [greedy(w) for w in words]
     rows = wordpieces.counts(frame(spark, ODD, extra=True), word_tokenizer()).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in rows[:3]] == [(0, 0)] * 3 and rows[4]["n_words"] == 2 and rows[4] [1:] == rows[9][1:]
+    assert [tuple(r)[1:] for r in rows[:3]] == [(0, 0)] * 3 and rows[4]["n_words"] == 2 and rows[4][1:] == rows[9][1:]
     assert wordpieces.counts(frame(spark, []), word_tokenizer()).count() == 0
 
 
