@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import checkpoint, chunks
 
 MIN_PAGES, SHARE = 5, 0.1
+BROADCAST_ROWS = 20_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
@@ -56,6 +57,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar menu navbar nav navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe popup modal comment comments disqus replies respond share sharing social related footer masthead pagination pager toolbar widget widgets".split()
 )
+#: Words with which a class tells what a page has or lacks.
+ABOUT = frozenset("no has with without".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
 
 
@@ -72,9 +75,12 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and ROLES.intersection("".join(values).lower().split()):
             return True
         if name in ("class", "id"):
-            parts = set(_PART.findall("".join(values).lower()))
-            if parts & MARKS or ("header" in parts and not in_article and tag != "article"):
-                return True
+            for word in "".join(values).lower().split():
+                parts = set(_PART.findall(word))
+                if parts & ABOUT:
+                    continue  # it tells of another element
+                if parts & MARKS or ("header" in parts and not in_article and tag != "article"):
+                    return True
     return False
 
 
@@ -214,6 +220,8 @@ def texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) ->
     often = spans.select("host", "content", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     templates = often.join(total, "host").where(F.col("n") >= share * F.col("contents")).select("host", "h")
     gone = spans.join(templates, ["host", "h"]).groupBy("host", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    gone = checkpoint(gone)
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # else the pages are shuffled to their lists
     kept = F.filter("blocks", lambda b, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
     text = F.concat_ws("\n", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept))
-    return found.join(gone, ["host", "content"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return found.join(side, ["host", "content"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
