@@ -109,8 +109,10 @@ def held_out() -> F.Column:
 def prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     """Each language's prototype."""
     teach = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = teach.withColumn("turn", turn).where(F.col("turn") <= PER_LANG).select("doc_id", "lang").distinct()
+    turn = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # first within 64 parts of each language, so that a common one isn't gathered
+    few = teach.distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(64))).withColumn("turn", turn("part")).where(F.col("turn") <= PER_LANG)
+    picked = few.withColumn("turn", turn()).where(F.col("turn") <= PER_LANG).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(dim), {}
