@@ -358,12 +358,14 @@ def test_html(spark):
     rows = [(1, "http://H.com/1", PAGE.format(body)), (2, None, None), (3, "x", ""), (4, "http://h.com/p", PAGE.format("<main><p>m1</p></main>")), (5, "http://h.com/q", "plain <b>text</b> only"), (6, "http://h.com/z", "<p>unclosed <a href='x")]
     rows += [(10 + i, f"http://site.org/{i}", PAGE.format(f"<div id=x><p>story {i} it is</p><p>common line</p></div>{widget}")) for i in range(12)]
     rows += [(40 + i, "http://copy.org/", PAGE.format(body + widget)) for i in range(12)]
+    rows += [(7, "http://h.com/w", "<div class='wrap with-sidebar'><p>kept</p><div class='post-share'>x</div><p class=notice>y</p><article class='comment'>z</article></div>")]
     rows += [(1, "http://H.com/1", PAGE.format(body))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in html_text.texts(df).collect()}
     want = "Head & more\none two\nthree xy\na\nb\nco\u00adde <p> &"
     assert got[1]["text"] == want and got[1]["n_chars"] == len(want) and got[40]["text"] == want
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "m1" and got[5]["text"] == "plain text only" and got[6]["text"].startswith("unclosed")
+    assert got[7]["text"] == "kept"
     assert [got[10 + i]["text"] for i in range(12)] == [f"story {i} it is\ncommon line" for i in range(12)]
     assert html_text.texts(df).count() == len(rows) and html_text.texts(df.limit(0)).count() == 0
 
