@@ -332,20 +332,28 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
 
 
 def _dealt_out(suffixes: DataFrame, depth: int) -> DataFrame:
-    """doc, sub, lo, hi: repeats among the strings of hot groups, by the digest of each string."""
+    """doc, sub, lo, hi: repeats among the strings of hot groups, by the digest of each string. A task combines its own before the shuffle."""
+    names, kinds = ["string", "doc", "sub", "lo", "again"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                rows: list[tuple] = []
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                strings: dict[tuple[int, int, int], bytes] = {}  # a place may belong to several anchors
                 for doc, sub, begin, around, first, last in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
                     for o in range(first, last + 1):
-                        rows.append((xxhash.xxh3_128_digest(around[o : o + depth]), doc, sub, begin + o))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["string", "doc", "sub", "lo"])
-
-    strings = suffixes.select("doc", "sub", "begin", "around", "first", "last").mapInArrow(run, "string binary, doc long, sub long, lo int")
+                        strings[doc, sub, begin + o] = xxhash.xxh3_128_digest(around[o : o + depth])
+                rows, seen = [], set()
+                for place in sorted(strings):
+                    # a string that was there before in this part is a repeat already: it goes on under a digest of its own
+                    again = strings[place] in seen
+                    rows.append((xxhash.xxh3_128_digest(repr(place).encode()) if again else strings[place], *place, again))
+                    seen.add(strings[place])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    strings = suffixes.select("doc", "sub", "begin", "around", "first", "last").mapInArrow(run, "string binary, doc long, sub long, lo int, again boolean")
     first = strings.groupBy("string").agg(F.min(F.struct("doc", "sub", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return strings.join(first, "string").where(F.struct("doc", "sub", "lo") > F.col("first")).select("doc", "sub", "lo", (F.col("lo") + depth).alias("hi")).distinct()
+    later = strings.join(first, "string", "left").where(F.col("again") | (F.struct("doc", "sub", "lo") > F.col("first")))
+    return later.select("doc", "sub", "lo", (F.col("lo") + depth).alias("hi")).distinct()
 
 
 def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
@@ -406,7 +414,8 @@ def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = H
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _spans(docs.select("doc_id", "text"), depth, gram, hot)
-    return found.select(F.col("rest.c0").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # rest and empty go in whole: if they were pruned here, the text would be shuffled once more for this join
+    return found.select(F.col("rest.c0").cast("long").alias("doc_id"), "text", "spans", "rest", "empty").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
