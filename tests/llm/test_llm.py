@@ -147,8 +147,8 @@ def test_repeats_brute_force(spark, hot):
 def test_long_texts_are_cut_into_pieces_alike():
     rng = random.Random(9)
     text = " ".join(sentence(rng, 40) for _ in range(60)).encode()
-    whole = sorted((int(p), int(h), int(a)) for _, ps, hs, xs in repeats._spread([text], 100, 40) for p, h, a in zip(ps, hs, xs, strict=True))
-    pieces = sorted((int(p), int(h), int(a)) for _, ps, hs, xs in repeats._spread([text], 100, 40, limit=1500) for p, h, a in zip(ps, hs, xs, strict=True))
+    whole = sorted((int(p), int(h), int(a), int(b)) for _, ps, hs, xs, ys in repeats._spread([text], 100, 40) for p, h, a, b in zip(ps, hs, xs, ys, strict=True))
+    pieces = sorted((int(p), int(h), int(a), int(b)) for _, ps, hs, xs, ys in repeats._spread([text], 100, 40, limit=1500) for p, h, a, b in zip(ps, hs, xs, ys, strict=True))
     assert whole == pieces
 
 

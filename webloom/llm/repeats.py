@@ -8,13 +8,15 @@ suffix leaves the sort as soon as it is alone in its group:
    hash in some string of ``depth`` bytes, so equal strings have an anchor at the same offset (about one place in 30).
 2. The first digit is the hash of the gram, the second that of the whole neighbourhood, i.e. all bytes of the strings
    with this anchor. Each Arrow batch combines its own equal neighbourhoods before the shuffle. An anchor that is not the
-   first of its neighbourhood is a repeat of all those strings; a gram with one neighbourhood is done.
+   first of its neighbourhood is a repeat of all those strings; a gram with one neighbourhood is done. Two neighbourhoods are
+   equal if the gram's 64 bits and 128 more, of two independent hashes, agree.
 3. Of grams with several neighbourhoods, one suffix each is left. Their strings are sorted on the real bytes, eight
-   at a time. A gram with more than ``HOT`` neighbourhoods takes one more digit first: strings that reach far to its left
-   are grouped by the bytes on that side, the others by those on the right, and suffixes that are alone leave. Groups that
-   are still larger are dealt out by the digest of each string, so that no group is gathered.
-
-Digests are 64 bits wide for neighbourhoods and 128 for strings of hot grams.
+   at a time, in the task that holds the gram.
+4. A gram with more than ``HOT`` neighbourhoods is never gathered. It takes further rounds over the cluster: the distances of a
+   string's start from the anchor are cut into ``WAYS`` ranges, and the digit of a range is all bytes that its strings have in
+   common. Rows with equal bytes are pre-aggregated to the first one (the others are repeats), rows that are alone with their
+   digit leave, groups that have become small go to step 3, and the rest is cut again, until a range is one string. Rows are
+   grouped by the real bytes here, and fall from round to round.
 
 Nulls: a null text is an empty document. A null doc_id counts as larger than all others. Exact repeated rows are one document and
 each gets its result; different texts under one doc_id count as documents in the order of a hash of the text. Texts shorter than
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpoint, chunks, packed, unpacked
 
-DEPTH, GRAM, HOT = 100, 40, 4096
+DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
 CHUNK = 3 << 19
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_TABLE, _TABLE2 = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
 
 
 class _Powers:
@@ -75,11 +77,11 @@ def _slide(x: np.ndarray, width: int, what: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(place, its text's index, gram hash, neighbourhood hash) of the anchors; data joins texts that begin at starts."""
+    """(place, its text's index, gram hash, two neighbourhood hashes) of the anchors; data joins texts that begin at starts."""
     n, width = data.size, depth - gram + 1
     if n < depth:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 3
     up, down = _Powers.upto(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * down[:n], out=sums[1:])
@@ -93,25 +95,27 @@ def anchors(data: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tupl
     place = np.flatnonzero(_slide(padded, width, np.maximum) == h)
     text = np.searchsorted(starts, place, "right") - 1
     lo, hi = np.maximum(starts[text], place - width + 1), np.minimum(ends[text], place + depth)
-    around = _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + (place - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64))
-    return place, text, h[place], around
+    size = (place - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64)
+    around = _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + size)
+    np.cumsum(_TABLE2[data] * down[:n], out=sums[1:])
+    return place, text, h[place], around, _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + size)
 
 
-def _spread(texts: list[bytes], depth: int, gram: int, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text's index, place in it, gram hash, neighbourhood hash) for the texts; very long ones go piece by piece."""
+def _spread(texts: list[bytes], depth: int, gram: int, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text's index, place in it, gram hash, two neighbourhood hashes) for the texts; very long ones go piece by piece."""
     if len(texts) == 1 and len(texts[0]) > limit:
         margin, data = 4 * depth, np.frombuffer(texts[0], np.uint8)
         for at in range(0, data.size, limit):
             lo, hi = max(0, at - margin), min(data.size, at + limit + margin)
-            place, text, h, around = anchors(data[lo:hi], np.zeros(1, np.int64), depth, gram)
+            place, text, *hashes = anchors(data[lo:hi], np.zeros(1, np.int64), depth, gram)
             own = (place + lo >= at) & (place + lo < at + limit)
-            yield text[own], place[own] + lo, h[own], around[own]
+            yield text[own], place[own] + lo, *(x[own] for x in hashes)
         return
     sizes = np.array([len(t) for t in texts], np.int64)
     full = np.flatnonzero(sizes)
     starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1])).astype(np.int64)
-    place, text, h, around = anchors(np.frombuffer(b"".join(texts), np.uint8), starts, depth, gram)
-    yield full[text], place - starts[text], h, around
+    place, text, *hashes = anchors(np.frombuffer(b"".join(texts), np.uint8), starts, depth, gram)
+    yield full[text], place - starts[text], *hashes
 
 
 def _first(*keys: np.ndarray) -> np.ndarray:
@@ -126,18 +130,18 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _anchored(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """gram, around, doc, sub, at: the first anchor of each neighbourhood in each batch. at < 0: bytes -1-at to around are a repeat."""
-    names, width = ["gram", "around", "doc", "sub", "at"], depth - gram + 1
+    """gram, around, more, doc, sub, at: the first anchor of each neighbourhood in each batch. at < 0: bytes -1-at to around are a repeat."""
+    names, width = ["gram", "around", "more", "doc", "sub", "at"], depth - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2, CHUNK):
             ids, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for text, place, h, around in _spread([t or b"" for t in batch.column(2).to_pylist()], depth, gram):
+            for text, place, h, around, more in _spread([t or b"" for t in batch.column(2).to_pylist()], depth, gram):
                 doc, sub = ids[text], subs[text]
-                order = np.lexsort((place, sub, doc, around, h))
-                text, place, h, around, doc, sub = (x[order] for x in (text, place, h, around, doc, sub))
-                new = _first(h, around)
-                yield _batch(names, h[new].view(np.int64), around[new].view(np.int64), doc[new], sub[new], place[new].astype(np.int32))
+                order = np.lexsort((place, sub, doc, more, around, h))
+                text, place, h, around, more, doc, sub = (x[order] for x in (text, place, h, around, more, doc, sub))
+                new = _first(h, around, more)
+                yield _batch(names, h[new].view(np.int64), around[new].view(np.int64), more[new].view(np.int64), doc[new], sub[new], place[new].astype(np.int32))
                 old = np.flatnonzero(~new)
                 old = old[np.lexsort((place[old], text[old]))]
                 # repeats that touch become one row
@@ -147,9 +151,9 @@ def _anchored(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                     begin[1:] |= lo[1:] > place[old][:-1] + depth
                     stop = place[old][np.concatenate((np.flatnonzero(begin)[1:] - 1, [old.size - 1]))] + depth
                     lo, doc, sub = lo[begin], doc[begin], sub[begin]
-                    yield _batch(names, _mix(doc.astype(np.uint64) * _U(_BASE) + lo.astype(np.uint64)).view(np.int64), stop.astype(np.int64), doc, sub, (-1 - lo).astype(np.int32))
+                    yield _batch(names, _mix(doc.astype(np.uint64) * _U(_BASE) + lo.astype(np.uint64)).view(np.int64), stop.astype(np.int64), np.zeros(lo.size, np.int64), doc, sub, (-1 - lo).astype(np.int32))
 
-    return docs.select("doc", "sub", "text").mapInArrow(run, "gram long, around long, doc long, sub long, at int")
+    return docs.select("doc", "sub", "text").mapInArrow(run, "gram long, around long, more long, doc long, sub long, at int")
 
 
 def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
@@ -160,30 +164,30 @@ def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
         return _batch(names, doc, sub, lo.astype(np.int32), hi.astype(np.int32), g, np.full(g.size, kind, np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # gram and neighbourhood of the last anchor
+        last: tuple[int, ...] | None = None  # gram and neighbourhood of the last anchor
         over: int | None = None  # the gram that is known as hot
         held = [np.zeros(0, np.int64)] * 4  # the last gram's anchors so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, around, doc, sub, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            g, around, more, doc, sub, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             done = at < 0
             if done.any():
                 yield out(0, g[done], doc[done], sub[done], -1 - at[done], around[done])
-                g, around, doc, sub, at = (x[~done] for x in (g, around, doc, sub, at))
+                g, around, more, doc, sub, at = (x[~done] for x in (g, around, more, doc, sub, at))
                 if not g.size:
                     continue
-            new = _first(g, around)
-            new[0] = last != (int(g[0]), int(around[0]))
-            last = (int(g[-1]), int(around[-1]))
+            new = _first(g, around, more)
+            new[0] = last != (int(g[0]), int(around[0]), int(more[0]))
+            last = (int(g[-1]), int(around[-1]), int(more[-1]))
             if not new.all():
                 yield out(0, g[~new], doc[~new], sub[~new], np.maximum(at[~new] - width + 1, 0), at[~new] + depth)
             g, doc, sub, at = (x[new] for x in (g, doc, sub, at))
             if over is not None:
-                more = g == over
-                if more.any():
-                    yield out(2, g[more], doc[more], sub[more], at[more], at[more])
-                g, doc, sub, at = (x[~more] for x in (g, doc, sub, at))
+                same = g == over
+                if same.any():
+                    yield out(2, g[same], doc[same], sub[same], at[same], at[same])
+                g, doc, sub, at = (x[~same] for x in (g, doc, sub, at))
                 if last[0] != over:
                     over = None
             held = [np.concatenate(x) for x in zip(held, (g, doc, sub, at), strict=True)]
@@ -210,23 +214,16 @@ def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
 
     schema = "doc long, sub long, lo int, hi int, gram long, kind byte"
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "gram").sortWithinPartitions("gram", "around", "doc", "sub", "at").mapInArrow(run, schema)
+    return rows.repartition(parts, "gram").sortWithinPartitions("gram", "around", "more", "doc", "sub", "at").mapInArrow(run, schema)
 
 
-def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int, halves: bool = False) -> DataFrame:
+def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int) -> DataFrame:
     """gram, doc, sub, begin, around, skip, first, last: the bytes around each anchor that is left, from place begin on.
 
-    The anchor comes skip bytes later. The strings in question start at the offsets first to last. halves: two rows for each anchor,
-    for the strings that start far before it and for the others; gram is then a hash that also covers the bytes that all of them share.
+    The anchor comes skip bytes later. The strings in question start at the offsets first to last.
     """
     width = depth - gram + 1
-    middle = width // 2
     lists = left.groupBy("doc", "sub").agg(F.collect_list(F.struct("gram", "lo")).alias("places"))
-    names = ["gram", "doc", "sub", "begin", "around", "skip", "first", "last"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2, CHUNK):
@@ -235,25 +232,80 @@ def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int, halves: b
                 for p in places:
                     lo = max(0, p["lo"] - width + 1)
                     around, skip = text[lo : p["lo"] + depth], p["lo"] - lo
-                    last = min(skip, len(around) - depth)
-                    if not halves:
-                        rows.append((p["gram"], doc, sub, lo, around, skip, 0, last))
-                        continue
-                    far = max(-1, min(last, skip - middle))
-                    for side, first, to, shared in ((b"<", 0, far, around[max(0, skip - middle) : skip + gram]), (b">", far + 1, last, around[skip : skip + depth - middle + 1])):
-                        if first <= to:
-                            rows.append((xxhash.xxh3_64_intdigest(side + shared, p["gram"] & 0xFFFF_FFFF_FFFF_FFFF) - (1 << 63), doc, sub, lo, around, skip, first, to))
+                    rows.append((p["gram"], doc, sub, lo, around, skip, 0, min(skip, len(around) - depth)))
                 if len(rows) > 20_000:
-                    yield out(rows)
+                    yield _rows(rows, _SUFFIX)
                     rows = []
             if rows:
-                yield out(rows)
+                yield _rows(rows, _SUFFIX)
 
     # all columns of base go in, so that every join can read the same exchange
     joined = base.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "places", *[c for c in base.columns if c not in ("doc", "sub", "text")])
     return joined.mapInArrow(run, "gram long, doc long, sub long, begin int, around binary, skip int, first int, last int")
 
 
+def _likely(base: DataFrame, left: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """The rows of base that may be among the documents of left, by a bit map of a fixed size (64 bits a word): others need not be shuffled."""
+    word = f"cast(pmod(xxhash64(doc, sub), {words}) as int)"
+    bit = "shiftleft(1L, cast(pmod(xxhash64(sub, doc), 64) as int))"
+    bits = left.select(F.expr(word).alias("word"), F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    there = F.broadcast(bits)  # as many rows as words at most
+    return base.join(there, (F.expr(word) == there["word"]) & (there["bits"].bitwiseAND(F.expr(bit)) != 0), "left_semi")
+
+
+_SUFFIX = {"gram": pa.int64(), "doc": pa.int64(), "sub": pa.int64(), "begin": pa.int32(), "around": pa.binary(), "skip": pa.int32(), "first": pa.int32(), "last": pa.int32()}
+_RANGE = {"gram": pa.int64(), "near": pa.int32(), "far": pa.int32(), "skip": pa.int32(), "around": pa.binary(), "doc": pa.int64(), "sub": pa.int64(), "begin": pa.int32()}
+
+
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def _ranges(rows: DataFrame, depth: int, ways: int) -> DataFrame:
+    """The rows' ranges of distances (near to far bytes from string to anchor) cut into ways: a row per part that has strings, with the bytes of all of them.
+
+    gram becomes a hash of the digit, i.e. of the bytes that all strings of the part share and their place; skip is the anchor's offset in the bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(i, 5000) for i in range(0, batch.num_rows, 5000)):
+                found = []
+                for gram, near, far, skip, around, doc, sub, begin in zip(*(piece.column(c).to_pylist() for c in range(8)), strict=True):
+                    step = -(-(far - near + 1) // ways)
+                    for n in range(near, far + 1, step):
+                        f = min(n + step - 1, far)
+                        first, last = max(0, skip - f), min(skip - n, len(around) - depth)
+                        if first <= last:
+                            digit = xxhash.xxh3_64_intdigest(b"%d " % n + around[skip - n : skip - f + depth], gram & 0xFFFF_FFFF_FFFF_FFFF) - (1 << 63)
+                            found.append((digit, n, f, skip - first, around[first : last + depth], doc, sub, begin + first))
+                if found:
+                    yield _rows(found, _RANGE)
+
+    return rows.select(*_RANGE).mapInArrow(run, "gram long, near int, far int, skip int, around binary, doc long, sub long, begin int")
+
+
+def _hot(suffixes: DataFrame, depth: int, gram: int, hot: int, ways: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rounds over the suffixes of hot grams: (repeats as doc, sub, lo, hi; suffixes of the groups that became small)."""
+    found, small = [], []
+    rows = suffixes.select("gram", F.lit(0).alias("near"), F.lit(depth - gram).alias("far"), "skip", "around", "doc", "sub", "begin")
+    span = depth - gram + 1
+    while True:
+        parts = checkpoint(_ranges(rows, depth, ways))
+        if parts.isEmpty():
+            return found, small
+        span = -(-span // ways)
+        same = ["gram", "near", "far", "skip", "around"]
+        each = checkpoint(parts.groupBy(*same).agg(F.min(F.struct("doc", "sub", "begin")).alias("first"), F.count("*").alias("n")))
+        later = parts.join(each.where("n > 1").select(*same, "first"), same).where(F.struct("doc", "sub", "begin") > F.col("first"))
+        found.append(later.select("doc", "sub", F.col("begin").alias("lo"), (F.col("begin") + F.length("around")).alias("hi")))
+        if span == 1:
+            return found, small
+        open_ = each.join(each.groupBy("gram").agg(F.count("*").alias("several")).where("several > 1"), "gram").select(*same, "first.*", "several")
+        small.append(open_.where(F.col("several") <= hot).select("gram", "doc", "sub", "begin", "around", "skip", F.lit(0).alias("first"), (F.length("around") - depth).alias("last")))
+        rows = open_.where(F.col("several") > hot)
+
+
 def equal_strings(gram: np.ndarray, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, around: list[bytes], skip: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset) of each string of depth bytes in a row's bytes that equals an earlier one of its gram at the same distance from the anchor.
 
@@ -331,32 +383,7 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
     return suffixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, sub long, lo int, hi int")
 
 
-def _dealt_out(suffixes: DataFrame, depth: int) -> DataFrame:
-    """doc, sub, lo, hi: repeats among the strings of hot groups, by the digest of each string. A task combines its own before the shuffle."""
-    names, kinds = ["string", "doc", "sub", "lo", "again"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                strings: dict[tuple[int, int, int], bytes] = {}  # a place may belong to several anchors
-                for doc, sub, begin, around, first, last in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
-                    for o in range(first, last + 1):
-                        strings[doc, sub, begin + o] = xxhash.xxh3_128_digest(around[o : o + depth])
-                rows, seen = [], set()
-                for place in sorted(strings):
-                    # a string that was there before in this part is a repeat already: it goes on under a digest of its own
-                    again = strings[place] in seen
-                    rows.append((xxhash.xxh3_128_digest(repr(place).encode()) if again else strings[place], *place, again))
-                    seen.add(strings[place])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    strings = suffixes.select("doc", "sub", "begin", "around", "first", "last").mapInArrow(run, "string binary, doc long, sub long, lo int, again boolean")
-    first = strings.groupBy("string").agg(F.min(F.struct("doc", "sub", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(first, "string", "left").where(F.col("again") | (F.struct("doc", "sub", "lo") > F.col("first")))
-    return later.select("doc", "sub", "lo", (F.col("lo") + depth).alias("hi")).distinct()
-
-
-def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
+def _spans(docs: DataFrame, depth: int, gram: int, hot: int, ways: int = WAYS) -> DataFrame:
     """doc, sub, text, rest, empty, spans: rest holds the row's columns, empty says that its text is null; spans, or null, are lists of [lo, hi) that cover its repeats; they may overlap and go over the end."""
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
@@ -373,10 +400,14 @@ def _spans(docs: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
     rows = checkpoint(_sorted_out(_anchored(whole, depth, gram), depth, gram, hot))
     left = lambda kind: rows.where(F.col("kind") == kind).select("doc", "sub", "gram", "lo")
     found = rows.where("kind = 0").select("doc", "sub", "lo", "hi")
-    found = found.unionByName(_compared(_suffixes(whole, left(1), depth, gram), depth))
-    halves = _suffixes(whole, left(2), depth, gram, halves=True)
-    halves = halves.join(halves.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
-    found = found.unionByName(_compared(halves.where(F.col("n") <= hot).drop("n"), depth)).unionByName(_dealt_out(halves.where(F.col("n") > hot), depth))
+    repeats, small = [], []
+    if not left(2).isEmpty():
+        repeats, small = _hot(_suffixes(_likely(whole, left(2)), left(2), depth, gram), depth, gram, hot, ways)
+    several = _suffixes(whole, left(1), depth, gram)
+    for more in small:
+        several = several.unionByName(more)
+    for more in [_compared(several, depth), *repeats]:
+        found = found.unionByName(more)
     spans = found.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return base.join(spans, ["doc", "sub"], "left").select("doc", "sub", "text", "rest", "empty", "spans")
 
