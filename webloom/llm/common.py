@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -37,6 +38,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame, *without: str) -> Column:
     """The columns of df but some, as one struct with fields c0, c1, ..., so that no name can clash on the way through a Python stage."""
     return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without], F.lit(0).alias("end"))

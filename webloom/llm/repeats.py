@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks, packed, unpacked
+from webloom.llm.common import checkpoint, chunks, packed, release, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
 CHUNK = 3 << 19
@@ -398,6 +398,7 @@ def _spans(docs: DataFrame, depth: int, gram: int, hot: int, ways: int = WAYS) -
         base = base.withColumn("sub", F.xxhash64("text"))
         whole = base.dropDuplicates(["doc", "sub"])
     rows = checkpoint(_sorted_out(_anchored(whole, depth, gram), depth, gram, hot))
+    release(docs.sparkSession)
     left = lambda kind: rows.where(F.col("kind") == kind).select("doc", "sub", "gram", "lo")
     found = rows.where("kind = 0").select("doc", "sub", "lo", "hi")
     repeats, small = [], []
