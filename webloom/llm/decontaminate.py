@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, packed, unpacked
+from webloom.llm.common import chunks, lean, packed, unpacked
 
 SIMILARITY, SHINGLE = 0.8, 5
 BLOCK_ITEMS, BLOCK_WORDS = 5000, 2_000_000
@@ -274,7 +274,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found[d] = [*(found[d] or []), {"item_id": index.items[i], "overlap": o, "question_overlap": q}]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["rest", "text", "leaks"])
 
-        out = out.mapInArrow(run, f"rest {of_rest}, text string, leaks {schema}")
+        out = out.mapInArrow(lean(run), f"rest {of_rest}, text string, leaks {schema}")
     return out.withColumn("leaks", F.array_sort("leaks"))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks
+from webloom.llm.common import chunks, lean
 
 WINDOW, END, SHARD, QUERY_TERMS = 2048, 1, 1 << 21, 12
 K1, B = 1.2, 0.75
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
             ids.known = {}  # the worker serves other tasks too
         yield from out(packer)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks, packed, release, unpacked
+from webloom.llm.common import checkpoint, chunks, lean, packed, release, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
-CHUNK = 3 << 19
+CHUNK = 1 << 20
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,7 +153,7 @@ def _anchored(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                     lo, doc, sub = lo[begin], doc[begin], sub[begin]
                     yield _batch(names, _mix(doc.astype(np.uint64) * _U(_BASE) + lo.astype(np.uint64)).view(np.int64), stop.astype(np.int64), np.zeros(lo.size, np.int64), doc, sub, (-1 - lo).astype(np.int32))
 
-    return docs.select("doc", "sub", "text").mapInArrow(run, "gram long, around long, more long, doc long, sub long, at int")
+    return docs.select("doc", "sub", "text").mapInArrow(lean(run), "gram long, around long, more long, doc long, sub long, at int")
 
 
 def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
 
     schema = "doc long, sub long, lo int, hi int, gram long, kind byte"
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "gram").sortWithinPartitions("gram", "around", "more", "doc", "sub", "at").mapInArrow(run, schema)
+    return rows.repartition(parts, "gram").sortWithinPartitions("gram", "around", "more", "doc", "sub", "at").mapInArrow(lean(run), schema)
 
 
 def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int) -> DataFr
 
     # all columns of base go in, so that every join can read the same exchange
     joined = base.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "places", *[c for c in base.columns if c not in ("doc", "sub", "text")])
-    return joined.mapInArrow(run, "gram long, doc long, sub long, begin int, around binary, skip int, first int, last int")
+    return joined.mapInArrow(lean(run), "gram long, doc long, sub long, begin int, around binary, skip int, first int, last int")
 
 
 def _likely(base: DataFrame, left: DataFrame, words: int = 1 << 17) -> DataFrame:
@@ -282,7 +282,7 @@ def _ranges(rows: DataFrame, depth: int, ways: int) -> DataFrame:
                 if found:
                     yield _rows(found, _RANGE)
 
-    return rows.select(*_RANGE).mapInArrow(run, "gram long, near int, far int, skip int, around binary, doc long, sub long, begin int")
+    return rows.select(*_RANGE).mapInArrow(lean(run), "gram long, near int, far int, skip int, around binary, doc long, sub long, begin int")
 
 
 def _hot(suffixes: DataFrame, depth: int, gram: int, hot: int, ways: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -380,7 +380,7 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
             yield _batch(["doc", "sub", "lo", "hi"], doc[r[new]], sub[r[new]], lo.astype(np.int32), (begin[r[stop_at]] + o[stop_at] + depth).astype(np.int32))
 
     parts = max(1, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return suffixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, sub long, lo int, hi int")
+    return suffixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(lean(run), "doc long, sub long, lo int, hi int")
 
 
 def _spans(docs: DataFrame, depth: int, gram: int, hot: int, ways: int = WAYS) -> DataFrame:
@@ -447,7 +447,7 @@ def removals(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = H
 
     found = _spans(docs.select("doc_id", "text"), depth, gram, hot)
     # rest and empty go in whole: if they were pruned here, the text would be shuffled once more for this join
-    return found.select(F.col("rest.c0").cast("long").alias("doc_id"), "text", "spans", "rest", "empty").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("rest.c0").cast("long").alias("doc_id"), "text", "spans", "rest", "empty").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -461,7 +461,7 @@ def removed(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot: int = HO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(3)], ["rest", "text", "empty"])
 
     found = _spans(docs, depth, gram, hot)
-    kept = found.select("rest", "text", "spans", "empty").mapInArrow(run, f"rest {found.schema['rest'].dataType.simpleString()}, text string, empty boolean")
+    kept = found.select("rest", "text", "spans", "empty").mapInArrow(lean(run), f"rest {found.schema['rest'].dataType.simpleString()}, text string, empty boolean")
     columns = dict(zip(docs.columns, unpacked(docs.columns, "text"), strict=True)) | {"text": F.when(~F.col("empty"), F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("empty"), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")

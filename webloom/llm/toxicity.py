@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, packed, unpacked
+from webloom.llm.common import chunks, lean, packed, unpacked
 
 PER_CLASS, PER_ROW, MAX_FEATURES = 3000, 4000, 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     # at most 2 x PER_CLASS doc_ids; of rows that repeat one, the first text counts
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, words string").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
+    rows = sample.mapInArrow(lean(run), "doc_id long, toxic int, words string").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
     found = sorted(rows.collect(), key=lambda x: x["doc_id"])
     same: dict[str, str] = {}
     return fit_rows([[same.setdefault(w, w) for w in x["words"].split()] for x in found], [x["toxic"] for x in found])
@@ -191,7 +191,7 @@ def _scored(docs: DataFrame, model: Model, room: int = 150_000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["rest", "text", *names])
 
     ready = docs.select(packed(docs, "text").alias("rest"), "text")
-    return ready.mapInArrow(run, f"rest {ready.schema['rest'].dataType.simpleString()}, text string, p_toxic double, severity double, grade int")
+    return ready.mapInArrow(lean(run), f"rest {ready.schema['rest'].dataType.simpleString()}, text string, p_toxic double, severity double, grade int")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
