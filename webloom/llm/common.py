@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are."""
     gc.collect()
+    time.sleep(1.1)  # the gateway tells the JVM of dropped frames once a second
     spark.sparkContext._jvm.System.gc()
 
 
@@ -59,6 +61,14 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def likely(base: DataFrame, keys: DataFrame, *columns: str, words: int = 1 << 17) -> DataFrame:
+    """The rows of base whose columns may be among the keys, by a bit map of a fixed size (64 bits a word): others need not be shuffled for a join."""
+    word, bit = f"cast(pmod(xxhash64({', '.join(columns)}), {words}) as int)", f"shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}, 1), 64) as int))"
+    bits = keys.select(F.expr(word).alias("word"), F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    there = F.broadcast(bits)  # as many rows as words at most
+    return base.join(there, (F.expr(word) == there["word"]) & (there["bits"].bitwiseAND(F.expr(bit)) != 0), "left_semi")
+
+
 def packed(df: DataFrame, *without: str) -> Column:
     """The columns of df but some, as one struct with fields c0, c1, ..., so that no name can clash on the way through a Python stage."""
     return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without], F.lit(0).alias("end"))

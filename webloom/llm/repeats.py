@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks, lean, packed, release, unpacked
+from webloom.llm.common import checkpoint, chunks, lean, likely, packed, release, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
 CHUNK = 1 << 20
@@ -244,15 +244,6 @@ def _suffixes(base: DataFrame, left: DataFrame, depth: int, gram: int) -> DataFr
     return joined.mapInArrow(lean(run), "gram long, doc long, sub long, begin int, around binary, skip int, first int, last int")
 
 
-def _likely(base: DataFrame, left: DataFrame, words: int = 1 << 17) -> DataFrame:
-    """The rows of base that may be among the documents of left, by a bit map of a fixed size (64 bits a word): others need not be shuffled."""
-    word = f"cast(pmod(xxhash64(doc, sub), {words}) as int)"
-    bit = "shiftleft(1L, cast(pmod(xxhash64(sub, doc), 64) as int))"
-    bits = left.select(F.expr(word).alias("word"), F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    there = F.broadcast(bits)  # as many rows as words at most
-    return base.join(there, (F.expr(word) == there["word"]) & (there["bits"].bitwiseAND(F.expr(bit)) != 0), "left_semi")
-
-
 _SUFFIX = {"gram": pa.int64(), "doc": pa.int64(), "sub": pa.int64(), "begin": pa.int32(), "around": pa.binary(), "skip": pa.int32(), "first": pa.int32(), "last": pa.int32()}
 _RANGE = {"gram": pa.int64(), "near": pa.int32(), "far": pa.int32(), "skip": pa.int32(), "around": pa.binary(), "doc": pa.int64(), "sub": pa.int64(), "begin": pa.int32()}
 
@@ -403,7 +394,7 @@ def _spans(docs: DataFrame, depth: int, gram: int, hot: int, ways: int = WAYS) -
     found = rows.where("kind = 0").select("doc", "sub", "lo", "hi")
     repeats, small = [], []
     if not left(2).isEmpty():
-        repeats, small = _hot(_suffixes(_likely(whole, left(2)), left(2), depth, gram), depth, gram, hot, ways)
+        repeats, small = _hot(_suffixes(likely(whole, left(2), "doc", "sub"), left(2), depth, gram), depth, gram, hot, ways)
     several = _suffixes(whole, left(1), depth, gram)
     for more in small:
         several = several.unionByName(more)
