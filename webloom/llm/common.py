@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as a table in the folder of checkpoints and read again; smaller there than checkpoint() for texts."""
+    with_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are."""
     gc.collect()

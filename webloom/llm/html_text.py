@@ -1,16 +1,17 @@
 """Main text of web pages, with site template removal.
 
-One pass over the tags of a page finds its blocks of text. Left out by structure: scripts, styles, markup, forms, and elements whose tag, role,
-class or id marks a menu, header, footer, sidebar, notice, advert or reader comments. If there is an article (else a main) element, only
-what stands in it counts.
+One pass over the tags of a page, linear in its length whatever its tags, finds its blocks of text and a hash of each container element's subtree (its tag and,
+in order, its text and the hashes of its children; menus, headers and footers included).
 
-Site templates: every container element that is left is hashed with all that is in it, and the hashes are counted per host over
-distinct page contents in Spark. Containers that recur on at least ``MIN_PAGES`` contents of a host and ``SHARE`` of them are deleted. Paragraphs, headings and
-other text blocks are no containers, and copies of a page are one content, so articles that share passages, and copies of articles, stay whole.
-The lists of deleted blocks are joined to the pages by host and content.
+1. Site templates: the hashes are counted per host in Spark, over distinct main texts, so that copies of a page count once. A subtree that recurs on at
+   least ``MIN_PAGES`` main texts of its host, and on ``SHARE`` of them or on ``MANY``, is deleted wherever it stands. Paragraphs, headings and other text blocks are
+   no containers, and a subtree with ``BODY`` of a page's main text or more is never a template there, so articles that share passages or bodies stay whole.
+2. What doesn't recur is judged by structure: if there is an article (else a main) element, only what stands in it counts. Scripts, styles, forms and elements
+   whose tag, role, class or id marks a menu, header, footer, sidebar, notice, advert or reader comments are left out. A class or id word counts as such
+   a mark only if all of its parts are marks or words for parts of a layout: related-posts is one, related-work is not.
 
 Nulls: a null or empty html has an empty text; a null url or one without :// has the host ''. A null page_id stays null. Repeated rows stay
-repeated. An empty table gives no rows. Other columns are ignored.
+repeated. Very long pages are read whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks
+from webloom.llm.common import checkpoint, chunks, lean, stored
 
-MIN_PAGES, SHARE = 5, 0.1
-BROADCAST_ROWS = 20_000
+MIN_PAGES, SHARE, MANY, BODY = 5, 0.02, 50, 0.8
+BROADCAST_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: Possessive, and a quote that is never closed stands for itself: so a tag only fails to match if no > follows at all.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -39,7 +41,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("div section ul ol dl table details figure center fieldset".split())
+CONTAINER = frozenset("div section ul ol dl table details figure center fieldset nav header footer aside form menu search dialog hgroup address".split())
 ENDS_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend"}
 #: An opening tag ends an open element of its own kind, up to the element that holds such.
 SIBLINGS = {
@@ -51,12 +53,16 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-LEFT_OUT = RAW | frozenset("head nav aside footer form template object svg math canvas button select dialog menu audio video datalist output search".split())
+LEFT_OUT = RAW | frozenset("head nav aside footer form template button dialog menu datalist search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words in class or id that mark what isn't the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar menu navbar nav navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe popup modal comment comments disqus replies respond share sharing social related footer masthead pagination pager toolbar widget widgets".split()
 )
+#: Words for parts of a layout, which may stand beside a mark.
+LAYOUT = frozenset(
+    "site page top bottom left right main primary secondary global mobile desktop sticky fixed box bar block container wrapper wrap inner outer row col column grid list lists section area region group panel module unit slot zone item items link links icon icons button buttons btn post posts article articles story stories content text title overlay form placeholder google responsive header nav menu toggle".split()
+)
 #: Words with which a class tells what a page has or lacks.
 ABOUT = frozenset("no has with without".split())
 ROOTS = frozenset(("html", "body", "article", "main"))
@@ -75,17 +81,17 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and ROLES.intersection("".join(values).lower().split()):
             return True
         if name in ("class", "id"):
-            for word in "".join(values).lower().split():
-                parts = set(_PART.findall(word))
+            for word in "".join(values).split():
+                parts = {x.lower() for x in _PART.findall(word)}
                 if parts & ABOUT:
                     continue  # it tells of another element
-                if parts & MARKS or ("header" in parts and not in_article and tag != "article"):
+                if parts & MARKS and parts <= MARKS | LAYOUT or ("header" in parts and parts <= LAYOUT and not in_article and tag != "article"):
                     return True
     return False
 
 
 class Page:
-    """Blocks of text, the spans of blocks of article and main elements, and the containers: (hash, first block, end)."""
+    """Blocks of text that structure doesn't leave out, spans of blocks of article and main elements, and the containers: (hash, first block, end), with text or not."""
 
     def __init__(self, html: str) -> None:
         self.blocks: list[str] = []
@@ -93,13 +99,15 @@ class Page:
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
         self._text: list[str] = []
-        self._stack: list[tuple[str, bool, int]] = []  # tag, left out, first block
-        self._out = 0  # open elements that are left out
+        self._gone: list[str] = []  # text of the open block that structure leaves out
+        self._stack: list[tuple[str, bool, int, list[int]]] = []  # tag, left out, first block, hashes of what is in it
+        self._at: dict[str, list[int]] = {}  # places in the stack by tag
+        self._raw = self._out = 0  # open elements that have no text, or are left out
         self._inside = 0  # open articles
-        at = 0
-        for m in iter(lambda: _TOKEN.search(html, at), None):
-            if m.start() > at and not self._out:
-                self._text.append(html[at : m.start()])
+        at, last = 0, html.rfind(">")
+        while at <= last and (m := _TOKEN.search(html, at)):
+            if m.start() > at:
+                self._add(html[at : m.start()])
             at = m.end()
             if m[2] is None:
                 continue
@@ -111,79 +119,98 @@ class Page:
             if tag in RAW and not m[3].endswith("/"):
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
                 at = close.start() if close else len(html)
-        if not self._out:
-            self._text.append(html[at:])
+        self._add(html[at:].partition("<!--")[0])
         while self._stack:
             self._pop()
         self._flush()
 
+    def _add(self, text: str) -> None:
+        (self._gone if self._out else self._text).append(text)
+
     def _flush(self) -> None:
-        if self._text:
-            text = "".join(self._text)
+        for held in (self._text, self._gone):
+            if not held:
+                continue
+            text = "".join(held)
             text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if text:
-                self.blocks.append(text)
-            self._text = []
+                if held is self._text:
+                    self.blocks.append(text)
+                if self._stack and not self._raw:
+                    self._stack[-1][3].append(xxhash.xxh3_64_intdigest(text))
+            held.clear()
+
+    def _close_to(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._pop()
+
+    def _last(self, tags: set[str]) -> int:
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=-1)
 
     def _start(self, tag: str, attributes: str) -> None:
-        if tag in ENDS_P and any(t == "p" for t, _, _ in self._stack):
-            while self._pop() != "p":
-                pass
+        if tag in ENDS_P and (at := self._last({"p"})) >= 0:
+            self._close_to(at)
         if tag in SIBLINGS:
             same, holders = SIBLINGS[tag]
-            for i in range(len(self._stack) - 1, -1, -1):
-                if self._stack[i][0] in holders:
-                    break
-                if self._stack[i][0] in same:
-                    while len(self._stack) > i:
-                        self._pop()
-                    break
-        if tag == "br" and not self._out:
-            self._text.append(" ")
-        if tag in BLOCK and not self._out:
+            if (at := self._last(same)) > self._last(holders):
+                self._close_to(at)
+        if tag == "br":
+            self._add(" ")
+        if tag in BLOCK:
             self._flush()
         if tag in VOID:
             return
         out = _marked(tag, attributes, self._inside > 0)
-        if out and not self._out:
-            if tag not in BLOCK:
-                self._text.append(" ")
+        if out and not self._out and tag not in BLOCK:
+            self._text.append(" ")
         self._out += out
+        self._raw += tag in RAW
         self._inside += tag == "article"
-        self._stack.append((tag, out, len(self.blocks)))
+        self._at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, out, len(self.blocks), []))
 
     def _end(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self._stack):
-            while self._pop() != tag:
-                pass
-        elif tag in BLOCK and not self._out:
+        if at := self._at.get(tag):
+            self._close_to(at[-1])
+        elif tag in BLOCK:
             self._flush()
 
-    def _pop(self) -> str:
-        tag, out, first = self._stack.pop()
-        if tag in BLOCK and not self._out:
+    def _pop(self) -> None:
+        tag, out, first, _ = self._stack[-1]
+        if tag in BLOCK or tag in RAW:
             self._flush()
-        self._out -= out
+        inside = self._stack.pop()[3]
+        self._at[tag].pop()
+        self._raw -= tag in RAW
         self._inside -= tag == "article"
+        if inside:
+            own = xxhash.xxh3_64_intdigest(tag.encode() + b"".join([x.to_bytes(8, "little") for x in inside]))
+            if tag in CONTAINER:
+                self.containers.append((own - (1 << 63), first, len(self.blocks)))
+            if self._stack:
+                self._stack[-1][3].append(own)
+        self._out -= out
         if not self._out and not out and len(self.blocks) > first:
-            span = (first, len(self.blocks))
             if tag == "article" and not self._inside:
-                self.articles.append(span)
+                self.articles.append((first, len(self.blocks)))
             elif tag == "main":
-                self.mains.append(span)
-            elif tag in CONTAINER:
-                self.containers.append((xxhash.xxh3_64_intdigest("\n".join([tag, *self.blocks[first:]])) - (1 << 63), *span))
-        return tag
+                self.mains.append((first, len(self.blocks)))
 
     def main(self) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """The blocks of the main part and its containers, by the places of its blocks."""
+        """The blocks of the main part, and all containers by the places of these blocks: from lo to hi, which are equal where none of them is in it."""
         spans = self.articles or self.mains or [(0, len(self.blocks))]
-        blocks, containers = [], []
+        blocks: list[str] = []
+        place = []  # of each block among those of the main part
         for lo, hi in spans:
-            shift = len(blocks) - lo
-            containers += [(h, a + shift, b + shift) for h, a, b in self.containers if lo <= a and b <= hi and (a, b) != (lo, hi)]
+            place += [len(blocks)] * (lo - len(place))
+            place += range(len(blocks), len(blocks) + hi - lo)
             blocks += self.blocks[lo:hi]
-        return blocks, containers
+        place += [len(blocks)] * (len(self.blocks) + 1 - len(place))
+        sizes = [0]
+        for x in blocks:
+            sizes.append(sizes[-1] + len(x))
+        found = ((h, place[lo], place[hi]) for h, lo, hi in self.containers)
+        return blocks, [(h, lo, hi) for h, lo, hi in found if lo == hi or sizes[hi] - sizes[lo] < BODY * sizes[-1]]
 
 
 def host(url: F.Column) -> F.Column:
@@ -208,20 +235,25 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "content", "blocks", "containers"])
 
     ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
-    return ready.mapInArrow(run, "page_id long, url string, host string, content long, blocks array<string>, containers array<struct<h:bigint,lo:int,hi:int>>")
+    return ready.mapInArrow(lean(run), "page_id long, url string, host string, content long, blocks array<string>, containers array<struct<h:bigint,lo:int,hi:int>>")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """host, h, n: the subtrees of parsed pages that recur on n main texts of their host, and so are deleted."""
+    seen = found.select("host", "content", F.explode("containers.h").alias("h")).distinct()
+    total = found.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    often = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    return often.join(total, "host").where((F.col("n") >= share * F.col("contents")) | (F.col("n") >= many)).select("host", "h", "n")
 
 
-def texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars: a row per row of pages."""
-    found = parsed(pages)
-    heads = checkpoint(found.select("host", "content", "containers").dropDuplicates(["host", "content"]))
-    spans = heads.select("host", "content", F.inline("containers"))
-    total = heads.groupBy("host").agg(F.count("*").alias("contents"))
-    often = spans.select("host", "content", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = often.join(total, "host").where(F.col("n") >= share * F.col("contents")).select("host", "h")
-    gone = spans.join(templates, ["host", "h"]).groupBy("host", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    found = stored(parsed(pages))
+    spans = found.select("host", "content", F.inline("containers")).where("lo < hi").distinct()  # others hold nothing of a main text
+    gone = spans.join(templates(found, min_pages, share, many), ["host", "h"]).groupBy("host", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
     gone = checkpoint(gone)
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # else the pages are shuffled to their lists
+    size = gone.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("gone") + 32), F.lit(0)).alias("bytes")).first()["bytes"]
+    side = F.broadcast(gone) if size <= BROADCAST_BYTES else gone  # else the pages are shuffled to their lists
     kept = F.filter("blocks", lambda b, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
     text = F.concat_ws("\n", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept))
     return found.join(side, ["host", "content"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
