@@ -3,13 +3,15 @@
 Features of a url: length, host length, path depth, digit ratio, entropy of its characters, numbers of query parameters, of host
 labels and of hyphens in the host, and for the host's last one, two and three labels how many labelled urls end so and what share of them is bad.
 
-Labels: the caller gives urls with a label (1 bad, 0 good). Training takes at most ``TRAIN_ROWS`` distinct ones, by a hash of the url (a documented
-bound), so that the suffix statistics and the model are small whatever the size of the input. ``seed_labels`` makes labels where a corpus has none: bad are
-hosts with a word of ``BAD_WORDS``, good all others. The trees become one column expression, so scoring is a single scan.
+Labels: the caller gives urls with a label (1 bad, 0 good). The suffix statistics count all labelled urls. The trees are trained on at most ``TRAIN_ROWS``
+distinct ones, by a hash of the url (a documented bound). A training row's own host never counts in its suffix statistics: they leave out the ``FOLDS``-th
+part of all hosts that its host is in, so that the trees learn what suffixes tell of other hosts, and else from the url. Each split chooses from a third of the features, so that no one feature stands for all. ``seed_labels`` makes labels where a
+corpus has none: bad are hosts with a word of ``BAD_WORDS``, good all others. The trees become one column expression, so scoring is a scan and joins with the statistics.
 
 A rule (host, path) fits its host and all subdomains if the url's path starts with the rule's path; the longest wins, ties go to the rule that sorts
-first. Null urls and those without :// have an empty host and path and features like any text. A null page_id stays null. Repeated rows stay
-repeated. With labels of one class only, or none, the trees allow everything. Other columns are ignored.
+first. Null urls and those without :// have an empty host and path and features like any text; very long ones are read whole. A null page_id stays null. Repeated
+rows stay repeated; of several labels of a url the largest counts. With labels of one class only, or none, the trees allow everything. ``judged`` ignores other columns;
+``Filter.bad`` returns them as they are, whatever their names, but for host, path and p_bad, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 20_000
-TREES, TREE_DEPTH = 10, 3
+from webloom.llm.common import checkpoint, packed, unpacked
+
+TRAIN_ROWS, FOLDS = 20_000, 5
+TREES, TREE_DEPTH = 20, 3
+BROADCAST_BYTES = 16 << 20
 #: The rules of the registered query, as (verdict, rule).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words that mark a bad host where no labels are given.
-BAD_WORDS = ("casino", "poker", "bet", "bets", "pills", "viagra", "loan", "loans", "porn", "xxx", "ads", "track", "tracker")
+BAD_WORDS = ("casino", "poker", "bet", "bets", "pills", "viagra", "loan", "loans", "porn", "xxx", "ads", "track", "tracker", "spam", "adult")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,12 +84,27 @@ def featured(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in exprs.items()})
 
 
-def _with_suffixes(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """df with the suffix statistics; stats (k, suffix, seen, bad) has three rows for each training row at most."""
+def _suffixes(host: Column) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("k"), _suffix(host, k).alias("suffix")) for k in (1, 2, 3)])
+
+
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
+def _statistics(seen: Column, bad: Column) -> tuple[Column, Column]:
+    """What a suffix tells: how many labelled urls end so, and the smoothed share of bad ones, -1 if there are none."""
+    return F.log1p(F.coalesce(seen, F.lit(0))).cast("double"), F.when(F.coalesce(seen, F.lit(0)) > 0, (bad + 1) / (seen + 20)).otherwise(-1.0)
+
+
+def _with_suffixes(df: DataFrame, stats: DataFrame, small: bool) -> DataFrame:
+    """df (with host) with the suffix statistics. stats: k, suffix, seen, bad."""
     for k in (1, 2, 3):
-        own = stats.where(F.col("k") == k).select(F.col("suffix").alias("__suffix"), F.col("seen").alias(f"seen_{k}"), F.col("bad").alias(f"bad_{k}"))
-        df = df.join(F.broadcast(own), _suffix(F.col("host"), k) == F.col("__suffix"), "left").drop("__suffix")
-    return df.fillna(0.0, [f"seen_{k}" for k in (1, 2, 3)]).fillna(-1.0, [f"bad_{k}" for k in (1, 2, 3)])
+        own = stats.where(F.col("k") == k).select(F.col("suffix").alias("__suffix"), F.col("seen").alias("__seen"), F.col("bad").alias("__bad"))
+        joined = df.join(F.broadcast(own) if small else own, _suffix(F.col("host"), k) == F.col("__suffix"), "left")
+        seen, bad = _statistics(F.col("__seen"), F.col("__bad"))
+        df = joined.withColumns({f"seen_{k}": seen, f"bad_{k}": bad}).drop("__suffix", "__seen", "__bad")
+    return df
 
 
 def seed_labels(pages: DataFrame) -> DataFrame:
@@ -98,16 +118,27 @@ class Filter:
     """Trees and suffix statistics learnt from labelled urls (url, label)."""
 
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS) -> None:
-        sample = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label"))
-        sample = featured(sample.orderBy(F.xxhash64("url"), "url").limit(rows)).cache()
-        suffixes = sample.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _suffix(F.col("host"), k).alias("suffix")) for k in (1, 2, 3)])).alias("s"))
-        rate = (F.sum("label") + 1) / (F.count("*") + 20)
-        stats = suffixes.groupBy("s.k", "s.suffix").agg(F.log1p(F.count("*")).alias("seen"), rate.alias("bad"))
-        self.stats, self.names, self.model = stats, [*PLAIN, *LEARNT], None
-        classes = sample.agg(F.countDistinct("label").alias("n")).first()["n"]
-        if classes == 2:
-            train = VectorAssembler(inputCols=self.names, outputCol="features").transform(_with_suffixes(sample, stats)).select("features", F.col("label").cast("double").alias("label"))
-            self.model = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, seed=7).fit(train)
+        urls = labelled.where("url is not null and label is not null").groupBy("url").agg((F.max("label") > 0).cast("int").alias("label"))
+        counted = urls.select("label", host_and_path(F.col("url"))[0].alias("host")).select("label", _fold(F.col("host")).alias("fold"), F.explode(_suffixes(F.col("host"))).alias("s"))
+        folds = checkpoint(counted.groupBy("s.k", "s.suffix", "fold").agg(F.count("*").alias("seen"), F.sum("label").alias("bad")))
+        self.stats = checkpoint(folds.groupBy("k", "suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")))
+        size = self.stats.agg(F.coalesce(F.sum(F.octet_length("suffix") + 48), F.lit(0)).alias("bytes")).first()["bytes"]
+        self.small, self.names, self.model = size <= BROADCAST_BYTES, [*PLAIN, *LEARNT], None
+        sample = featured(urls.orderBy(F.xxhash64("url"), "url").limit(rows)).cache()
+        if sample.agg(F.countDistinct("label").alias("n")).first()["n"] == 2:
+            train = VectorAssembler(inputCols=self.names, outputCol="features").transform(self.held_out(sample, folds)).select("features", F.col("label").cast("double").alias("label"))
+            self.model = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, featureSubsetStrategy="onethird", seed=7).fit(train)
+
+    def held_out(self, sample: DataFrame, folds: DataFrame) -> DataFrame:
+        """The training rows with suffix statistics of the other folds' hosts."""
+        own = folds.withColumnsRenamed({"seen": "own_seen", "bad": "own_bad"})
+        others = self.stats.join(own, ["k", "suffix"]).select("k", "suffix", "fold", (F.col("seen") - F.col("own_seen")).alias("seen"), (F.col("bad") - F.col("own_bad")).alias("bad"))
+        for k in (1, 2, 3):
+            part = others.where(F.col("k") == k).select(F.col("suffix").alias("__suffix"), F.col("fold").alias("__fold"), F.col("seen").alias("__seen"), F.col("bad").alias("__bad"))
+            joined = sample.join(part, (_suffix(F.col("host"), k) == F.col("__suffix")) & (_fold(F.col("host")) == F.col("__fold")), "left")
+            seen, bad = _statistics(F.col("__seen"), F.col("__bad"))
+            sample = joined.withColumns({f"seen_{k}": seen, f"bad_{k}": bad}).drop("__suffix", "__fold", "__seen", "__bad")
+        return sample
 
     def _tree(self, node: object) -> Column:
         if node.numDescendants() == 0:
@@ -117,12 +148,12 @@ class Filter:
 
     def bad(self, df: DataFrame) -> DataFrame:
         """df (with url) with host, path and p_bad."""
-        columns = [F.col(c) for c in df.columns if c not in ("host", "path", "p_bad")]
-        df = featured(df.select(*columns))
+        apart = featured(df.select(packed(df).alias("rest"), "url"))
+        columns = [c for c, name in zip(unpacked(df.columns), df.columns, strict=True) if name not in ("host", "path", "p_bad")]
         if self.model is None:
-            return df.select(*columns, "host", "path", F.lit(0.0).alias("p_bad"))
+            return apart.select(*columns, "host", "path", F.lit(0.0).alias("p_bad"))
         margin = reduce(lambda a, b: a + b, [F.lit(float(w)) * self._tree(t._call_java("rootNode")) for t, w in zip(self.model.trees, self.model.treeWeights, strict=True)])
-        return _with_suffixes(df, self.stats).select(*columns, "host", "path", (1 / (1 + F.exp(-2 * margin))).alias("p_bad"))
+        return _with_suffixes(apart, self.stats, self.small).select(*columns, "host", "path", (1 / (1 + F.exp(-2 * margin))).alias("p_bad"))
 
 
 def judged(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, at: float = 0.5) -> DataFrame:
