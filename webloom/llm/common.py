@@ -41,6 +41,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrow(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, which has so many rows at most, in no more tasks than they need: a small result isn't spread over all shuffle partitions, with a file for each."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written once as a table in the folder of checkpoints and read again; smaller there than checkpoint() for texts."""
     with_checkpoint_dir(df.sparkSession)
@@ -131,15 +136,15 @@ def connected(edges: DataFrame) -> DataFrame:
     both = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = checkpoint(edges.where("a <> b").select("a", "b").distinct())
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while rows := edges.count():
         step = both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node")
         # pointers are followed twice, which shortens chains
         hop = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = checkpoint(step.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        step = checkpoint(narrow(step.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to")), 2 * rows))
         steps.append(step)
         at = lambda side: step.select(F.col("node").alias(side), F.col("to").alias(f"{side}2"))  # noqa: B023, E731
         moved = edges.join(at("a"), "a").join(at("b"), "b").where("a2 <> b2")
-        edges = checkpoint(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        edges = checkpoint(narrow(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), rows))
     spark = edges.sparkSession
     if not steps:
         return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, root {edges.schema['a'].dataType.simpleString()}")

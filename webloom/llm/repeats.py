@@ -9,7 +9,7 @@ suffix leaves the sort as soon as it is alone in its group:
 2. The first digit is the hash of the gram, the second that of the whole neighbourhood, i.e. all bytes of the strings
    with this anchor. Each Arrow batch combines its own equal neighbourhoods before the shuffle. An anchor that is not the
    first of its neighbourhood is a repeat of all those strings; a gram with one neighbourhood is done. Two neighbourhoods are
-   equal if the gram's 64 bits and 128 more, of two independent hashes, agree.
+   equal if the gram's 64 bits and 96 more, of two independent hashes, agree.
 3. Of grams with several neighbourhoods, one suffix each is left. Their strings are sorted on the real bytes, eight
    at a time, in the task that holds the gram.
 4. A gram with more than ``HOT`` neighbourhoods is never gathered. It takes further rounds over the cluster: the distances of a
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks, lean, likely, packed, release, unpacked
+from webloom.llm.common import checkpoint, chunks, lean, likely, narrow, packed, release, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
 CHUNK = 1 << 20
@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tupl
     size = (place - lo).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64)
     around = _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + size)
     np.cumsum(_TABLE2[data] * down[:n], out=sums[1:])
-    return place, text, h[place], around, _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + size)
+    return place, text, h[place], around, _mix(_mix((sums[hi] - sums[lo]) * up[lo]) + size) >> _U(32)
 
 
 def _spread(texts: list[bytes], depth: int, gram: int, limit: int = 2 * CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
@@ -141,7 +141,7 @@ def _anchored(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                 order = np.lexsort((place, sub, doc, more, around, h))
                 text, place, h, around, more, doc, sub = (x[order] for x in (text, place, h, around, more, doc, sub))
                 new = _first(h, around, more)
-                yield _batch(names, h[new].view(np.int64), around[new].view(np.int64), more[new].view(np.int64), doc[new], sub[new], place[new].astype(np.int32))
+                yield _batch(names, h[new].view(np.int64), around[new].view(np.int64), more[new].astype(np.uint32).view(np.int32), doc[new], sub[new], place[new].astype(np.int32))
                 old = np.flatnonzero(~new)
                 old = old[np.lexsort((place[old], text[old]))]
                 # repeats that touch become one row
@@ -151,9 +151,9 @@ def _anchored(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                     begin[1:] |= lo[1:] > place[old][:-1] + depth
                     stop = place[old][np.concatenate((np.flatnonzero(begin)[1:] - 1, [old.size - 1]))] + depth
                     lo, doc, sub = lo[begin], doc[begin], sub[begin]
-                    yield _batch(names, _mix(doc.astype(np.uint64) * _U(_BASE) + lo.astype(np.uint64)).view(np.int64), stop.astype(np.int64), np.zeros(lo.size, np.int64), doc, sub, (-1 - lo).astype(np.int32))
+                    yield _batch(names, _mix(doc.astype(np.uint64) * _U(_BASE) + lo.astype(np.uint64)).view(np.int64), stop.astype(np.int64), np.zeros(lo.size, np.int32), doc, sub, (-1 - lo).astype(np.int32))
 
-    return docs.select("doc", "sub", "text").mapInArrow(lean(run), "gram long, around long, more long, doc long, sub long, at int")
+    return docs.select("doc", "sub", "text").mapInArrow(lean(run), "gram long, around long, more int, doc long, sub long, at int")
 
 
 def _sorted_out(rows: DataFrame, depth: int, gram: int, hot: int) -> DataFrame:
@@ -281,20 +281,20 @@ def _hot(suffixes: DataFrame, depth: int, gram: int, hot: int, ways: int) -> tup
     found, small = [], []
     rows = suffixes.select("gram", F.lit(0).alias("near"), F.lit(depth - gram).alias("far"), "skip", "around", "doc", "sub", "begin")
     span = depth - gram + 1
-    while True:
-        parts = checkpoint(_ranges(rows, depth, ways))
-        if parts.isEmpty():
-            return found, small
+    same = ["gram", "near", "far", "skip", "around"]
+    parts = checkpoint(_ranges(rows, depth, ways))
+    while size := parts.count():
         span = -(-span // ways)
-        same = ["gram", "near", "far", "skip", "around"]
-        each = checkpoint(parts.groupBy(*same).agg(F.min(F.struct("doc", "sub", "begin")).alias("first"), F.count("*").alias("n")))
+        each = parts.groupBy(*same).agg(F.min(F.struct("doc", "sub", "begin")).alias("first"), F.count("*").alias("n"))
+        each = checkpoint(narrow(each, size, 20_000))
         later = parts.join(each.where("n > 1").select(*same, "first"), same).where(F.struct("doc", "sub", "begin") > F.col("first"))
         found.append(later.select("doc", "sub", F.col("begin").alias("lo"), (F.col("begin") + F.length("around")).alias("hi")))
         if span == 1:
-            return found, small
+            break
         open_ = each.join(each.groupBy("gram").agg(F.count("*").alias("several")).where("several > 1"), "gram").select(*same, "first.*", "several")
         small.append(open_.where(F.col("several") <= hot).select("gram", "doc", "sub", "begin", "around", "skip", F.lit(0).alias("first"), (F.length("around") - depth).alias("last")))
-        rows = open_.where(F.col("several") > hot)
+        parts = checkpoint(_ranges(narrow(open_.where(F.col("several") > hot), size, 20_000), depth, ways))
+    return found, small
 
 
 def equal_strings(gram: np.ndarray, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, around: list[bytes], skip: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
