@@ -57,7 +57,11 @@ def stored(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are."""
     gc.collect()
-    time.sleep(1.1)  # the gateway tells the JVM of dropped frames once a second
+    # the gateway tells the JVM of dropped frames from a queue that it looks at once a second
+    queue, end = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None), time.time() + 10
+    while queue and time.time() < end:
+        time.sleep(0.1)
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
 
 
