@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -54,15 +56,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are."""
-    gc.collect()
-    # the gateway tells the JVM of dropped frames from a queue that it looks at once a second
-    queue, end = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None), time.time() + 10
-    while queue and time.time() < end:
-        time.sleep(0.1)
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, after: tuple[float, ...] = (1.5, 2.0, 3.0)) -> None:
+    """Lets Spark delete the shuffle files that nothing reads any more: it does so only when the driver collects its garbage, however full the disks are.
+
+    The driver's JVM learns of dropped frames with some delay, so this is done a few times (after so many seconds each), beside the jobs that follow.
+    """
+
+    def collect() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended meanwhile
+            for seconds in after:
+                time.sleep(seconds)
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
+
+    threading.Thread(target=collect, daemon=True).start()
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
