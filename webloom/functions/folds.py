@@ -57,8 +57,49 @@ def breaker(events: Column, most: int, timeout_s: float) -> Column:
     return F.aggregate(events, zero, step)
 
 
+def breaker_log(events: Column, most: int, timeout_s: float) -> Column:
+    """Circuit breaker whose requests and results are events of their own: fields t (seconds), op (allow or record) and ok (of a record).
+
+    (state, failures, allowed, rejected). An open breaker lets one probe through after the timeout; until its result is recorded all others are rejected.
+    """
+    number = lambda x: F.lit(x).cast("long")
+    zero = F.struct(number(0).alias("state"), number(0).alias("failures"), F.lit(0.0).alias("failed_at"), number(0).alias("allowed"), number(0).alias("rejected"))
+
+    def step(a: Column, e: Column) -> Column:
+        asks = e["op"] == "allow"
+        probe = asks & (a["state"] == 1) & (e["t"] - a["failed_at"] >= timeout_s)
+        passed, good, bad = asks & ((a["state"] == 0) | probe), ~asks & e["ok"], ~asks & ~e["ok"]
+        failures = F.when(good, number(0)).when(bad, a["failures"] + 1).otherwise(a["failures"])
+        state = F.when(probe, number(2)).when(good, number(0)).when(bad & (failures >= most), number(1)).otherwise(a["state"])
+        return F.struct(
+            state.alias("state"), failures.alias("failures"), F.when(bad, e["t"]).otherwise(a["failed_at"]).alias("failed_at"),
+            (a["allowed"] + passed.cast("long")).alias("allowed"), (a["rejected"] + (asks & ~passed).cast("long")).alias("rejected"),
+        )
+
+    return F.aggregate(events, zero, step)
+
+
+def limiter_log(events: Column, low: int, high: int) -> Column:
+    """Adaptive limiter: (ceiling, in_flight, acquired, waiting) after events with a field op: acquire, release, success or failure.
+
+    An acquire beyond the ceiling waits; it takes the next slot that a release or a raised ceiling leaves.
+    """
+    number = lambda x: F.lit(x).cast("long")
+    zero = F.struct(number(low).alias("ceiling"), number(0).alias("in_flight"), number(0).alias("acquired"), number(0).alias("waiting"))
+
+    def step(a: Column, e: Column) -> Column:
+        op = e["op"]
+        ceiling = F.when(op == "success", F.least(a["ceiling"] + 1, number(high))).when(op == "failure", F.greatest(F.floor(a["ceiling"] / 2).cast("long"), number(low))).otherwise(a["ceiling"])
+        busy = a["in_flight"] - (op == "release").cast("long")
+        want = a["waiting"] + (op == "acquire").cast("long")
+        taken = F.greatest(F.least(want, ceiling - busy), number(0))
+        return F.struct(ceiling.alias("ceiling"), (busy + taken).alias("in_flight"), (a["acquired"] + taken).alias("acquired"), (want - taken).alias("waiting"))
+
+    return F.aggregate(events, zero, step)
+
+
 def cache_outcomes(events: Column, ttl_s: float) -> Column:
-    """For each lookup of a host (field t, seconds) hit, stale_revalidate or miss; after 80 % of ttl_s the entry is renewed at once."""
+    """For each lookup of a host (field t, seconds) hit, stale_revalidate or miss; after 80 % of ttl_s the entry is renewed at once. For counts alone see cache_counts."""
     zero = F.struct(F.lit(None).cast("double").alias("loaded"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, e: Column) -> Column:
@@ -70,10 +111,27 @@ def cache_outcomes(events: Column, ttl_s: float) -> Column:
     return F.aggregate(events, zero, step, lambda a: a["out"])
 
 
+def cache_counts(events: Column, ttl_s: float) -> Column:
+    """(hit, stale_revalidate, miss): how many lookups of a host had each outcome; linear in their number."""
+    number = F.lit(0).cast("long")
+    zero = F.struct(F.lit(None).cast("double").alias("loaded"), number.alias("hit"), number.alias("stale_revalidate"), number.alias("miss"))
+
+    def step(a: Column, e: Column) -> Column:
+        live = a["loaded"].isNotNull() & (e["t"] - a["loaded"] < ttl_s)
+        stale = live & (e["t"] - a["loaded"] > ttl_s * 0.8)
+        return F.struct(
+            F.when(live & ~stale, a["loaded"]).otherwise(e["t"]).alias("loaded"), (a["hit"] + (live & ~stale).cast("long")).alias("hit"),
+            (a["stale_revalidate"] + stale.cast("long")).alias("stale_revalidate"), (a["miss"] + (~live).cast("long")).alias("miss"),
+        )
+
+    return F.aggregate(events, zero, step)
+
+
 def recrawl(events: Column) -> Column:
     """(last, ema): last change and re-crawl interval, in seconds, after events (t, changed); the interval is stored in whole seconds.
 
     The first event sets a day. A change takes 0.3 of the time since the last one, within five minutes and thirty days; no change adds a fifth.
+    A change that comes thirty days or more after the last one finds its state expired and is a first event again.
     """
     zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("double").alias("ema"))
 
@@ -81,7 +139,7 @@ def recrawl(events: Column) -> Column:
         seen = F.lit(ALPHA) * (e["t"] - a["last"]).cast("double") + F.lit(1 - ALPHA) * a["ema"]
         changed = F.bround(F.least(F.greatest(seen, F.lit(MIN_INTERVAL)), F.lit(MAX_INTERVAL)), 0)
         same = F.bround(F.least(a["ema"] * 1.2, F.lit(MAX_INTERVAL)), 0)
-        first = a["last"].isNull()
+        first = a["last"].isNull() | (e["changed"] & (e["t"] - a["last"] >= MAX_INTERVAL))
         last = F.when(first | e["changed"], e["t"]).otherwise(a["last"])
         ema = F.when(first, F.lit(FIRST_INTERVAL)).when(e["changed"], changed).otherwise(same)
         return F.struct(last.alias("last"), ema.alias("ema"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
@@ -21,17 +21,26 @@ def search_results(hits: DataFrame, pages: DataFrame, count: int = 10) -> DataFr
     return joined.drop("hit_title")
 
 
+def _pattern(path: Column) -> Column:
+    """The regular expression of a robots path with * or a last $; null for a plain path."""
+    plain = F.regexp_replace(path, r"([\\.\[\]{}()+?^|])", r"\\$1")
+    open_ = F.regexp_replace(F.regexp_replace(plain, r"\$(?!$)", r"\\\$"), r"\*+", ".*")
+    return F.when(path.contains("*") | path.endswith("$"), F.concat(F.lit("(?s)^"), open_))
+
+
 def allowed(df: DataFrame, robots: DataFrame, agent: str = "*", compat_full_url: bool = False) -> DataFrame:
-    """df (url) with allowed: the longest robots rule whose path begins the url's path decides; allow on a tie and where there is none.
+    """df (url) with allowed: the longest robots rule that fits the url's path decides; allow on a tie and where there is none.
 
-    robots: domain, agent, path, allow. Rules of the named agent come before those of *. compat_full_url matches rules with the whole url.
+    robots: domain, agent, path, allow. A rule fits if it begins the path; in it * stands for any characters, and $ at its end for the path's end. A group's agent
+    fits if it begins the given one, in any case; the longest such group's rules count, else those of *. compat_full_url matches rules with the whole url.
     """
     target = F.col("url") if compat_full_url else F.concat(F.regexp_extract("url", r"(?s)^(?:[^:/?#]+:)?(?://[^/?#]*)?([^#]*)", 1))
-    named = robots.where(F.col("agent").isin(agent, "*")).withColumn("own", (F.col("agent") == agent).cast("int"))
+    name = F.lower("agent")
+    named = robots.where((name == "*") | F.lit(agent.lower()).startswith(name)).withColumn("own", F.when(name == "*", 0).otherwise(F.length("agent")))
     group = named.withColumn("best", F.max("own").over(Window.partitionBy("domain"))).where("own = best")
-    of = group.groupBy(F.col("domain").alias("__domain")).agg(F.collect_list(F.struct(F.length("path").alias("n"), "allow", "path")).alias("__rules"))
+    of = group.groupBy(F.col("domain").alias("__domain")).agg(F.collect_list(F.struct(F.length("path").alias("n"), "allow", "path", _pattern(F.col("path")).alias("pattern"))).alias("__rules"))
     rows = df.withColumn("__domain", urls.crawler_domain(F.col("url"))).join(of, "__domain", "left")
-    fits = F.filter("__rules", lambda r: target.startswith(r["path"]) & (r["path"] != ""))
+    fits = F.filter("__rules", lambda r: (r["path"] != "") & F.when(r["pattern"].isNull(), target.startswith(r["path"])).otherwise(F.regexp_like(target, r["pattern"])))
     return rows.withColumn("allowed", F.coalesce(F.array_max(fits)["allow"], F.lit(True))).drop("__domain", "__rules")
 
 

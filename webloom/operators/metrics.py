@@ -49,6 +49,14 @@ def replay(df: DataFrame, key: str, order: list[str], fields: list[str], fold: C
     return df.groupBy(key).agg(folds.history(order, fields).alias("events")).select(key, fold.alias("result"))
 
 
+def cache_outcomes(df: DataFrame, key: str, order: list[str], ttl_s: float) -> DataFrame:
+    """outcome, n over all keys: lookups (t, in seconds) by outcome, counted within each key's fold."""
+    found = replay(df, key, order, [], folds.cache_counts(F.col("events"), ttl_s))
+    names = ("hit", "stale_revalidate", "miss")
+    sums = found.agg(*[F.coalesce(F.sum(f"result.{x}"), F.lit(0)).alias(x) for x in names])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(x).alias("outcome"), F.col(x).alias("n")) for x in names])).alias("x")).select("x.*").where("n > 0")
+
+
 def totals(results: DataFrame) -> DataFrame:
     """Sums over page results: pages, links, images, words."""
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

@@ -7,6 +7,7 @@ Thresholds that the data are too sparse for are scaled to days; the operators' d
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def domain_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("url", urls.frontier_domain(u).alias("frontier_domain"), urls.crawler_domain(u).alias("crawler_domain"), urls.web_domain(u).alias("web_domain"))
 
 
-_EDGES = """select url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1, 'is')) as href from pages"""
+_EDGES = """select url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1, 'is')) as href from pages"""
 _LINKS = f"select url, href from ({_EDGES}) where href <> '' and href not like '#%' and href not like 'javascript:%'"
 
 
@@ -132,34 +133,35 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.page_links(_pages(spark, sf_dir)).select("url", urls.resolve_link(F.col("url"), F.col("href")).alias("link")).distinct()
 
 
-_ENTITIES = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+def _unescaped(x: str) -> str:
+    """SQL: x with the character references that the pages hold, also where one is cut before its semicolon."""
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{character}', 'g')"
+    return x
 
 
-@query(f"""select url, trim({_ENTITIES.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}) as title from pages where not regexp_matches(html, '<title>[^<]*&(am?|quot?|amp[^;<]|a[^m<])[^<]*</title>') and html not like '%&amp</title>%' and html not like '%&am</title>%' and html not like '%&a</title>%' and html not like '%&quo</title>%'""")
+_TITLE = f"""trim({_unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")})"""
+_ARTICLE = f"""trim(regexp_replace(regexp_replace(replace({_unescaped("regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', chr(1), 'g')")}, chr(1), ''), '[ \t\r\f]{{2,}}', ' ', 'g'), '\n{{3,}}', '\n\n', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
+
+
+@query(f"select url, {_TITLE} as title from pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose title ends within a character reference are left to the tests."""
-    pages = _pages(spark, sf_dir)
-    odd = F.col("html").rlike("<title>[^<]*&(am?|quot?|amp[^;<]|a[^m<])[^<]*</title>") | F.col("html").rlike("&(amp|am|a|quo)</title>")
-    return documents.page_results(pages.where(~odd)).select("url", "title")
+    return documents.page_results(_pages(spark, sf_dir), ["title"])
 
 
-@query(
-    f"""with a as (select url, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', '', 'g') as t from pages where not regexp_matches(html, '&(amp|am|a|quo|quot)<'))
-    select url, trim(regexp_replace(regexp_replace({_ENTITIES.format("t")}, '[ \t\r\f]{{2,}}', ' ', 'g'), '\n{{3,}}', '\n\n', 'g')) as content from a"""
-)
+@query(f"select url, {_ARTICLE} as content from pages")
 def page_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in which an element ends within a character reference are left to the tests."""
-    return documents.page_results(_pages(spark, sf_dir).where(~F.col("html").rlike("&(amp|am|a|quo|quot)<"))).select("url", "content")
+    return documents.page_results(_pages(spark, sf_dir), ["content"])
 
 
 @query()
 def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.page_results(_pages(spark, sf_dir)).select("url", "content", "content_length", "word_count", "headings", "meta_description", "images", "extras")
+    return documents.page_results(_pages(spark, sf_dir), ["content", "content_length", "word_count", "headings", "meta_description", "images", "extras"])
 
 
 @query(f"select (select count(*) from pages) as pages, (select count(*) from ({_LINKS})) as links, 0::bigint as images from (select 1)")
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.totals(documents.page_results(_pages(spark, sf_dir))).select("pages", "links", "images")
+    return metrics.totals(documents.page_results(_pages(spark, sf_dir), ["links", "images", "word_count"])).select("pages", "links", "images")
 
 
 @query("select o_orderkey from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
@@ -199,7 +201,7 @@ def status_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("domain", text.status_class(F.col("s")).alias("class"), text.badge(F.col("s")).alias("badge")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""select event_id::varchar as url, 'json' as parser, list_sort(regexp_extract_all(props, ':\\s*"(https?://[^"]*)"', 1)) as links, props as text, null::varchar as error from events""")
 def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.lit("application/json").alias("content_type"), F.col("props").alias("body"))
     return documents.parse(docs).select("url", "parser", "links", "text", "error")
@@ -308,14 +310,13 @@ def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     select outcome, count(*) as n from r where i > 0 group by outcome"""
 )
 def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.replay(_log(spark, sf_dir), "key", ["t", "event_id"], [], folds.cache_outcomes(F.col("events"), 86400.0))
-    return found.select(F.explode("result").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return metrics.cache_outcomes(_log(spark, sf_dir), "key", ["t", "event_id"], 86400.0)
 
 
 _RECRAWL = """with recursive e as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as i, floor(epoch_us(ts) / 1000000)::bigint as t, event_type <> 'view' as changed from events),
     r as (select key, i, t as last, 86400.0::double as ema from e where i = 1
       union all select r.key, e.i, case when e.changed then e.t else r.last end,
-        case when e.changed then round_even(least(greatest(0.3::double * (e.t - r.last)::double + 0.7::double * r.ema, 300), 2592000), 0) else round_even(least(r.ema * 1.2::double, 2592000), 0) end
+        case when e.changed and e.t - r.last >= 2592000 then 86400.0::double when e.changed then round_even(least(greatest(0.3::double * (e.t - r.last)::double + 0.7::double * r.ema, 300), 2592000), 0) else round_even(least(r.ema * 1.2::double, 2592000), 0) end
       from r join e on e.key = r.key and e.i = r.i + 1)
     select key, last, ema, last + ema::bigint as next_crawl from r qualify row_number() over (partition by key order by i desc) = 1"""
 
@@ -427,7 +428,13 @@ def rate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("key", F.round(text.rate_score(F.col("rate"), F.col("mean")), 6).alias("score"))
 
 
-@query()
+_ITEM = "'<div class=''g''><a href=''' || url || '''><h3>page ' || page_id || '</h3></a><span class=''VwiC3b''>text</span></div>'"
+
+
+@query(
+    f"""with r as (select {_CRAWLER} as query, url, page_id, row_number() over (partition by {_CRAWLER} order by {_ITEM}) as n from pages)
+    select query, 2::int as source, n::int as rank, 'page ' || page_id as title, url, 'text' as snippet from r where n <= 10"""
+)
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits from result pages that are made of the table's urls."""
     from webloom.sources import results
@@ -437,7 +444,9 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.hits(pages.withColumn("source", F.lit(2)), 10)
 
 
-@query()
+@query(f"""with p as (select *, page_id % 10 as n, {_TITLE} as t, {_ARTICLE} as c from pages)
+    select url, case n when 0 then 0 when 1 then 404 else 200 end::int as status_code, case n when 0 then 'Fetch error: timeout' when 1 then 'HTTP 404' else t end as title,
+    case when n < 2 then 0 else strlen(c) end::int as content_length, case when n < 2 then 0 else len(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: w <> '')) end::int as word_count from p""")
 def snapshot_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.sources import results
 
@@ -447,7 +456,8 @@ def snapshot_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.snapshot_results(pages).select("url", "status_code", "title", "content_length", "word_count")
 
 
-@query()
+@query(f"""with d as (select {_CRAWLER} as domain, min(page_id) as page_id from pages group by 1)
+    select domain, '*' as agent, '/private' as path, false as allow from d union all select domain, '*', '/' || page_id, true from d union all select domain, 'bot', '/', false from d""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.sources import results
 
@@ -506,5 +516,110 @@ def stream_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"ratio": F.round("ratio", 9), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
+#: Known cases as rows: (case, most, timeout, [(seconds, op, success)], expected state, allowed, rejected). States: 0 closed, 1 open, 2 half-open.
+_BREAKER = [
+    ("closed", 3, 5.0, [(0, "allow", None)], (0, 1, 0)),
+    ("trips", 3, 5.0, [(t, op, ok) for t in (0, 1, 2) for op, ok in (("allow", None), ("record", False))] + [(3, "allow", None)], (1, 3, 1)),
+    ("recovers", 3, 0.05, [(0, op, ok) for _ in range(3) for op, ok in (("allow", None), ("record", False))] + [(0.06, "allow", None), (0.06, "record", True)], (0, 4, 0)),
+    ("one probe", 1, 0.01, [(0, "allow", None), (0, "record", False)] + [(0.02, "allow", None)] * 5000, (2, 2, 4999)),
+    ("failed probe", 1, 0.01, [(0, "allow", None), (0, "record", False), (0.02, "allow", None), (0.02, "record", False)], (1, 2, 0)),
+]
+_LIMITER = [
+    ("start", 5, 100, "", (5, 0, 0, 0)), ("aimd", 2, 100, "s" * 10 + "fff", (2, 0, 0, 0)), ("raised", 2, 100, "s" * 10, (12, 0, 0, 0)), ("cap", 1, 5, "s" * 100, (5, 0, 0, 0)),
+    ("waits", 2, 5, "aaa", (2, 2, 2, 1)), ("released", 2, 5, "aaar", (2, 2, 3, 0)), ("slot of a success", 2, 5, "aaas", (3, 3, 3, 0)), ("over the ceiling", 1, 8, "sssaaaaf", (2, 4, 4, 0)), ("drained", 2, 5, "aarr", (2, 0, 2, 0)),
+]
+_OPS = {"a": "acquire", "r": "release", "s": "success", "f": "failure"}
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    """SQL of literal rows."""
+    one = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"select * from (values {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(f"select name, state::bigint as state, allowed::bigint as allowed, rejected::bigint as rejected from ({_rows([(n, *x) for n, _, _, _, x in _BREAKER], 'name, state, allowed, rejected')})")
+def breaker_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breaker with requests and results as events of their own."""
+    out = []
+    for name, most, timeout, events, _ in _BREAKER:
+        rows = spark.createDataFrame([(name, i, float(t), op, ok) for i, (t, op, ok) in enumerate(events)], "name string, i int, t double, op string, ok boolean")
+        out.append(metrics.replay(rows, "name", ["i"], ["t", "op", "ok"], folds.breaker_log(F.col("events"), most, timeout)))
+    return reduce(DataFrame.unionByName, out).select("name", "result.state", "result.allowed", "result.rejected")
+
+
+@query(f"select name, ceiling::bigint as ceiling, in_flight::bigint as in_flight, acquired::bigint as acquired, waiting::bigint as waiting from ({_rows([(n, *x) for n, _, _, _, x in _LIMITER], 'name, ceiling, in_flight, acquired, waiting')})")
+def limiter_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive limiter with slots taken and returned."""
+    out = []
+    for name, low, high, ops, _ in _LIMITER:
+        rows = spark.createDataFrame([(name, i, _OPS[op]) for i, op in enumerate(ops)] or [(name, 0, "none")], "name string, i int, op string")
+        out.append(metrics.replay(rows, "name", ["i"], ["op"], folds.limiter_log(F.col("events"), low, high)))
+    return reduce(DataFrame.unionByName, out).select("name", "result.*")
+
+
+_ODD_PAGE = """<a data-href="/no" href="/yes">1</a><!-- <a href="/comment">2</a> --><a href=/bare>3</a><a href="/p?a=1&amp;b=2">4</a><a href="/it's">5</a><A HREF='/upper'>6</A>
+<a href="#top">7</a><a href="javascript:x()">8</a><a href="">9</a><a>10</a><script>"<a href='/script'>"</script><a href="//cdn.c/x">11</a><a href="http://o.c/y">12</a><a href="rel">13</a>"""
+_ODD_LINKS = ["/yes", "/bare", "/p?a=1&b=2", "/it's", "/upper", "//cdn.c/x", "http://o.c/y", "rel"]
+_ODD_RESOLVED = ["https://a.b/yes", "https://a.b/bare", "https://a.b/p?a=1&b=2", "https://a.b/it's", "https://a.b/upper", "https://cdn.c/x", "http://o.c/y", ""]
+
+
+@query(f"select pos::int as pos, href, link from ({_rows([(i, h, r) for i, (h, r) in enumerate(zip(_ODD_LINKS, _ODD_RESOLVED, strict=True))], 'pos, href, link')})")
+def link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of a page with references, comments, unquoted and other attributes."""
+    found = documents.page_links(spark.createDataFrame([("https://a.b/d/e", _ODD_PAGE), ("https://none/", None)], "url string, html string"))
+    return found.select("pos", "href", urls.resolve_link(F.col("url"), F.col("href")).alias("link"))
+
+
+_ROBOTS_CASES = [
+    ("/private/x", "any", False), ("/private/open", "any", True), ("/a.pdf", "any", False), ("/a.pdf?x", "any", True), ("/x/y/secret", "any", False), ("/", "any", True),
+    ("/private/x", "ScraperBot/1.0", True), ("/only", "ScraperBot/1.0", False), ("/only", "scraperbotnews", True), ("/news", "scraperbotnews", False),
+]
+_ROBOTS_TXT = """User-agent: *
+Disallow: /private
+Allow: /private/open
+Disallow: /*.pdf$
+Disallow: /x/*/secret
+
+User-agent: scraperbot
+Disallow: /only
+
+User-agent: ScraperBotNews
+Disallow: /news
+"""
+
+
+@query(_rows(_ROBOTS_CASES, "path, agent, allowed"))
+def robots_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcards, ends, longest rules, and agents by their beginning in any case."""
+    from webloom.sources import results
+
+    rules = results.robots_rules(spark.createDataFrame([("a.b", 200, _ROBOTS_TXT)], "domain string, status int, body string"))
+    out = []
+    for agent in dict.fromkeys(a for _, a, _ in _ROBOTS_CASES):
+        rows = spark.createDataFrame([(p, f"https://a.b{p}") for p, a, _ in _ROBOTS_CASES if a == agent], "path string, url string")
+        out.append(joins.allowed(rows, rules, agent).select("path", F.lit(agent).alias("agent"), "allowed"))
+    return reduce(DataFrame.unionByName, out)
+
+
+_DOCUMENTS = [  # url, content type, body, encoding; expected parser, links, error
+    ("rss", "application/rss+xml", "<rss><channel><item><link>http://a/1</link><link> http://a/2 </link></item><item><title>t</title></item></channel></rss>", ("xml", [" http://a/2 "], None)),
+    ("atom", "application/atom+xml", "<feed xmlns='http://www.w3.org/2005/Atom'><entry><link href='http://a/3'/></entry><entry><link>http://a/4</link></entry></feed>", ("xml", ["http://a/4"], None)),
+    ("cells", "text/csv", "a,b\nhttp://c/1,x\n", ("csv", ["http://c/1"], None)),
+    ("uneven", "text/csv", "a,b\nc\n", ("csv", [], "csv: rows of unequal length")),
+    ("plain", "image/png", "http://p/1", ("text", [], None)),
+    ("nested", "application/json", '{"z": "http://j/2", "a": ["http://j/1", {"b": "ftp://x"}]}', ("json", ["http://j/1", "http://j/2"], None)),
+    ("page", "", "<a href='/1'>x</a><a href='#y'>z</a>", ("html", ["/1"], None)),
+]
+
+
+@query(" union all ".join(f"select '{u}' as url, '{p}' as parser, {'[' + ', '.join(repr(x) for x in links) + ']' if links else '[]'}::varchar[] as links, {repr(e) if e else 'null'}::varchar as error" for u, _, _, (p, links, e) in _DOCUMENTS))
+def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds, tables, text and JSON, compressed, through the readers that their types name."""
+    import gzip
+
+    rows = [(u, kind, gzip.compress(body.encode()), " GZip") for u, kind, body, _ in _DOCUMENTS]
+    return documents.parse(spark.createDataFrame(rows, "url string, content_type string, body binary, encoding string")).select("url", "parser", "links", "error")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier_fair_batch(spark, sf_dir)

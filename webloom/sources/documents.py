@@ -11,10 +11,11 @@ import io
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ from webloom.sources import dom
 MAX_BYTES = 10 << 20
 CONTENT_BYTES, MAX_HEADINGS, MAX_LINKS, MAX_IMAGES = 50 * 1024, 20, 100, 30
 PARSED = "url string, content_type string, parser string, title string, text string, links array<string>, fields map<string,string>, error string"
-PAGE = "url string, title string, content string, content_length int, links array<string>, headings array<string>, meta_description string, word_count int, images array<string>, extras map<string,string>"
 #: Selectors of the web profile.
 NOISE = "script, style, nav, footer, header, aside, noscript, [role='complementary'], [role='navigation'], svg, iframe"
 PRICE = "[class*='price'], [itemprop='price'], .a-price-whole, .product-price"
@@ -99,7 +99,7 @@ def read_json(body: str) -> dict:
 
 
 def read_xml(body: str) -> dict:
-    """Feeds: the text of channel/item/link and of entry/link."""
+    """Feeds: the text, as it stands, of the last link of each channel/item and of each entry; a link without text gives none."""
     out = _empty() | {"text": body}
     try:
         root = ElementTree.fromstring(body)
@@ -107,8 +107,9 @@ def read_xml(body: str) -> dict:
         return out
     for node in root.iter():
         node.tag = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
-    found = [*root.findall("channel/item/link"), *root.findall("entry/link")]
-    out["links"] = [x.text.strip() for x in found if x.text and x.text.strip()]
+    found = [links[-1] for x in (*root.findall("channel/item"), *root.findall("entry")) if (links := x.findall("link"))]
+    texts = ["".join([x.text or "", *(c.tail or "" for c in x)]) for x in found]
+    out["links"] = [t for t in texts if t]
     return out
 
 
@@ -181,45 +182,72 @@ def clean_text(root: dom.Node) -> str:
     return _LINES.sub("\n\n", _SPACES.sub(" ", source.text(noise))).strip()
 
 
-def read_page(url: str, html: str) -> dict:
-    """Web profile of a page."""
-    root = dom.parse(html)
-    title, content = dom.first(root, "title"), clean_text(root)
-    data = content.encode()
-    meta = [n.attrs["content"] for n in dom.select(root, "meta[name='description']") if "content" in n.attrs]
+def _extras(root: dom.Node) -> dict[str, str]:
     extras = {n.attrs["property"]: n.attrs["content"] for n in dom.select(root, "meta[property]") if n.attrs.get("content") and n.attrs["property"].startswith(("og:", "product:"))}
     for key, selector, most in (("price", PRICE, 1 << 30), ("rating", RATING, 20)):
         texts = (n.text().strip() for n in dom.select(root, selector))
         found = next((t for t in texts if t and len(t.encode()) < most), None)
         if found and not extras.get(key):
             extras[key] = found
-    headings = [t for n in dom.select(root, "h1, h2, h3") if (t := n.text().strip())]
-    return {
-        "url": url, "title": title.text().strip() if title else "", "content": data[:CONTENT_BYTES].decode("utf-8", "ignore"), "content_length": len(data),
-        "links": [n.attrs["href"] for n in dom.select(root, "a[href]") if is_link(n.attrs["href"])][:MAX_LINKS], "headings": headings[:MAX_HEADINGS],
-        "meta_description": meta[-1] if meta else "", "word_count": len(content.split()),
-        "images": [n.attrs["src"] for n in dom.select(root, "img[src]") if n.attrs["src"]][:MAX_IMAGES], "extras": extras,
-    }
+    return extras
 
 
-def page_results(pages: DataFrame) -> DataFrame:
-    """The web profile of pages (url, html), one row each; null html is an empty page."""
+def _title(root: dom.Node) -> str:
+    found = dom.first(root, "title")
+    return found.text().strip() if found else ""
+
+
+def _description(root: dom.Node) -> str:
+    found = [n.attrs["content"] for n in dom.select(root, "meta[name='description']") if "content" in n.attrs]
+    return found[-1] if found else ""
+
+
+_STRINGS = pa.list_(pa.string())
+#: The fields of the web profile: their types, and what gives them from the tree and the readable text.
+FIELDS: dict[str, tuple[str, pa.DataType, Callable[[dom.Node, str], object]]] = {
+    "title": ("string", pa.string(), lambda root, _: _title(root)),
+    "content": ("string", pa.string(), lambda _, text: text.encode()[:CONTENT_BYTES].decode("utf-8", "ignore")),
+    "content_length": ("int", pa.int32(), lambda _, text: len(text.encode())),
+    "links": ("array<string>", _STRINGS, lambda root, _: [n.attrs["href"] for n in dom.select(root, "a[href]") if is_link(n.attrs["href"])][:MAX_LINKS]),
+    "headings": ("array<string>", _STRINGS, lambda root, _: [t for n in dom.select(root, "h1, h2, h3") if (t := n.text().strip())][:MAX_HEADINGS]),
+    "meta_description": ("string", pa.string(), lambda root, _: _description(root)),
+    "word_count": ("int", pa.int32(), lambda _, text: len(text.split())),
+    "images": ("array<string>", _STRINGS, lambda root, _: [n.attrs["src"] for n in dom.select(root, "img[src]") if n.attrs["src"]][:MAX_IMAGES]),
+    "extras": ("map<string,string>", pa.map_(pa.string(), pa.string()), lambda root, _: _extras(root)),
+}
+TEXTUAL = {"content", "content_length", "word_count"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([read_page(u, h or "") for u, h in zip(batch["url"], batch["html"], strict=True)], columns=[c.split()[0] for c in PAGE.split(", ")])
 
-    return pages.select("url", "html").mapInPandas(run, PAGE)
+def read_page(url: str, html: str, fields: Iterable[str] = tuple(FIELDS)) -> dict:
+    """Web profile of a page; only what the wanted fields need is worked out."""
+    root = dom.parse(html)
+    text = clean_text(root) if TEXTUAL.intersection(fields) else ""
+    return {"url": url} | {f: FIELDS[f][2](root, text) for f in fields}
+
 
+def page_results(pages: DataFrame, fields: Iterable[str] = tuple(FIELDS), keep: Iterable[str] = ()) -> DataFrame:
+    """The wanted fields of the web profile of pages (url, html), and the columns to keep as they are, one row each; null html is an empty page."""
+    fields, keep = list(fields), ["url", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_page("", html or "", fields) for html in batch.column(len(keep)).to_pylist()]
+            columns = [pa.array([list(x[f].items()) if f == "extras" else x[f] for x in found], FIELDS[f][1]) for f in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *fields])
 
-#: Anchors of well-formed pages can be read without leaving the JVM.
-_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+    ready = pages.select(*keep, "html")
+    return ready.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in ready.dtypes[:-1]] + [f"{f} {FIELDS[f][0]}" for f in fields]))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """url, pos, href: crawlable links of pages (url, html), by a pattern; duplicates stay."""
-    hrefs = F.filter(F.regexp_extract_all("html", F.lit(_HREF), 1), lambda h: (h != "") & ~h.startswith("#") & ~h.startswith("javascript:"))
-    return pages.select("url", F.posexplode(hrefs).alias("pos", "href"))
+    """url, pos, href: the crawlable links of pages (url, html) in document order, as ``read_html`` finds them; duplicates stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[h for h in dom.hrefs(html or "") if is_link(h)] for html in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _STRINGS)], ["url", "hrefs"])
+
+    return pages.select("url", "html").mapInArrow(run, "url string, hrefs array<string>").select("url", F.posexplode("hrefs").alias("pos", "href"))
 
 
 def seeds(text: str) -> list[str]:

@@ -84,9 +84,9 @@ def snapshot_results(pages: DataFrame) -> DataFrame:
     title = F.when(failed, F.concat(F.lit("Fetch error: "), "error")).when(refused, F.concat(F.lit("HTTP "), "status_code"))
     body = F.when(failed | refused, F.lit("")).otherwise(F.decode(F.substring(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 1, PAGE_BYTES), "utf-8"))
     ready = pages.select("url", body.alias("html"), title.alias("__title"), F.when(failed, 0).otherwise(F.col("status_code")).alias("status_code"), "fetch_time_ms", F.col("fetched_at").alias("scraped_at"))
-    read = documents.page_results(ready.where("__title is null"))
-    known = ready.where("__title is null").select("url", "status_code", "fetch_time_ms", "scraped_at").dropDuplicates(["url"])
+    known = ("status_code", "fetch_time_ms", "scraped_at")
+    read = documents.page_results(ready.where("__title is null"), keep=known)
     empty = {"content": F.lit(""), "content_length": F.lit(0), "meta_description": F.lit(""), "word_count": F.lit(0), "extras": F.expr("cast(map() as map<string,string>)")}
     empty |= {c: F.array().cast("array<string>") for c in ("links", "headings", "images")}
     bad = ready.where("__title is not null").drop("html").withColumnRenamed("__title", "title").withColumns(empty)
-    return read.join(known, "url").unionByName(bad.select(*read.columns, "status_code", "fetch_time_ms", "scraped_at"))
+    return read.unionByName(bad.select(*read.columns))

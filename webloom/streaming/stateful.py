@@ -62,13 +62,13 @@ def breaker(events: DataFrame, most: int = 5, timeout_s: float = 30.0) -> DataFr
 
 
 def recrawl(events: DataFrame) -> DataFrame:
-    """key, last, ema after each micro-batch. events: key, event_id, t (whole seconds), changed. State older than thirty days starts anew."""
+    """key, last, ema after each micro-batch. events: key, event_id, t (whole seconds), changed. A change thirty days or more after the last one starts anew."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ema = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         for t, changed in zip(rows["t"], rows["changed"], strict=True):
-            if last is None:
+            if last is None or changed and t - last >= folds.MAX_INTERVAL:
                 last, ema = int(t), folds.FIRST_INTERVAL
             elif changed:
                 seen = folds.ALPHA * float(t - last) + (1 - folds.ALPHA) * ema
