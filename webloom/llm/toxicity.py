@@ -7,7 +7,7 @@ text is thus a sum over its distinct words, each looked up in a bounded cache.
 Grades of the training rows: 0 for toxic = 0; toxic rows are divided by how many distinct telling words they have (words with features
 that are far more frequent in toxic rows), at the quantiles of ``GRADES``. The labels hold no severity, so this is what orders them.
 
-Training: at most ``PER_CLASS`` labelled rows of each class, taken by a hash of doc_id, at most ``PER_ROW`` features of each, and of near copies
+Training: at most ``PER_CLASS`` labelled rows of each class, taken by a hash of doc_id, with all distinct words of each, and of near copies
 only one (a documented bound; all documents are scored). The model has ``MAX_FEATURES`` weights at most, which bounds what
 the tasks get.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import chunks, lean, packed, unpacked
 
-PER_CLASS, PER_ROW, MAX_FEATURES = 3000, 4000, 20_000
+PER_CLASS, MAX_FEATURES = 3000, 20_000
 PREFIXES = (4, 5, 6, 7)
 BUCKETS, CHANCE = 1 << 20, 0.5
 GRADES = (0.5,)
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, 4 << 20):
-            rows = [sorted(set(WORD.findall((t or "").lower())))[:PER_ROW] for t in batch.column(1).to_pylist()]
+            rows = [sorted(set(WORD.findall((t or "").lower()))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(x) for x in rows], pa.string())], ["doc_id", "toxic", "words"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
