@@ -2,7 +2,8 @@
 
 Each task packs its own part of the input, so no text is shuffled and a lost executor only repeats its parts. A part is
 taken in shards of about ``SHARD`` tokens. A shard has a BM25 inverted index over token ids; the window's seed is the document
-that the previous window cut, else the next unused one, and the index returns its unused neighbours, which fill the window greedily.
+that the previous window cut, else the next unused one, and the index returns its unused neighbours, which fill the window greedily. A seed asks with its
+``terms`` strongest distinct terms (``QUERY_TERMS``; 0: with all of them); this only orders the neighbours, as each document is packed whole, whether found or not.
 A document that doesn't fit is cut, and its rest opens the next window. What is left at the end of a part is cut into sequences
 whose lengths are powers of two, so nothing is padded.
 
@@ -91,7 +92,7 @@ def ids_by(path: str) -> Ids:
 class Index:
     """BM25 over the documents of one shard; terms are token ids."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], terms: int = QUERY_TERMS) -> None:
         n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
         width = 1 + max((int(d.max()) for d in docs if d.size), default=0)
         keys, counts = np.unique(np.repeat(np.arange(n), sizes) * width + np.concatenate(docs), return_counts=True)
@@ -102,7 +103,7 @@ class Index:
         # the strongest terms of each document that occur elsewhere are its query
         strong = np.lexsort((term, -np.where(df[term] > 1, impact, 0), doc))
         rank = np.arange(keys.size) - np.searchsorted(doc, doc)
-        best = strong[rank < QUERY_TERMS]
+        best = strong[rank < terms] if terms else strong
         best = best[df[term[best]] > 1]
         self.ask = np.searchsorted(doc[best], np.arange(n + 1))
         self.asked = term[best]
@@ -125,7 +126,8 @@ class Index:
 class Packer:
     """Fills windows; pieces of closed ones go to rows."""
 
-    def __init__(self, part: int) -> None:
+    def __init__(self, part: int, terms: int = QUERY_TERMS) -> None:
+        self.terms = terms
         self.sequence, self.used, self.open, self.rows = part << 33, 0, [], []
 
     def close(self) -> None:
@@ -146,7 +148,7 @@ class Packer:
         return was
 
     def shard(self, docs: list[tuple[int | None, bytes]]) -> None:
-        index, at, seed = Index([np.frombuffer(b, "<u4").astype(np.int64) for _, b in docs]), 0, None
+        index, at, seed = Index([np.frombuffer(b, "<u4").astype(np.int64) for _, b in docs], self.terms), 0, None
         while True:
             while at < len(docs) and not index.free[at]:
                 at += 1
@@ -183,7 +185,7 @@ class Packer:
                     room = 1 << max(0, left.bit_length() - 1)
 
 
-def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD, terms: int = QUERY_TERMS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "offset", "sequence_id"]
@@ -196,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names).select(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer, held, tokens = None, Packer(TaskContext.get().partitionId()), [], 0
+        ids, packer, held, tokens = None, Packer(TaskContext.get().partitionId(), terms), [], 0
         end = END.to_bytes(4, "little")
         for batch in chunks(batches, 1, 1 << 20):
             ids = ids or ids_by(tokenizer)
