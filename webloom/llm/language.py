@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import checkpoint, chunks
 
 DIM, N, PER_LANG, ROOM = 512, 3, 400, 60_000
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
@@ -110,8 +110,9 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     """Each language's prototype."""
     teach = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     turn = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # first within 64 parts of each language, so that a common one isn't gathered
+    # first within 64 parts of each language, then within eight, so that a common one isn't gathered
     few = teach.distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(64))).withColumn("turn", turn("part")).where(F.col("turn") <= PER_LANG)
+    few = few.withColumn("some", F.col("part") % 8).withColumn("turn", turn("some")).where(F.col("turn") <= PER_LANG)
     picked = few.withColumn("turn", turn()).where(F.col("turn") <= PER_LANG).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,8 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 
     picked = checkpoint(picked)
     # a few hundred rows a language: sent to all tasks unless there are very many languages
-    side = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    size = picked.agg(F.coalesce(F.sum(F.octet_length("lang") + 32), F.lit(0)).alias("bytes")).first()["bytes"]
+    side = F.broadcast(picked) if size <= BROADCAST_BYTES else picked
     texts = docs.select("doc_id", "lang", "text").join(side, ["doc_id", "lang"]).select("lang", "text")
     places = texts.mapInArrow(run, "lang string, total array<double>").selectExpr("lang", "posexplode(total) as (place, x)")
     rows = places.groupBy("lang", "place").agg(F.sum("x").alias("x")).collect()  # DIM numbers a language
