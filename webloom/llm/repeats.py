@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import checkpoint, chunks, lean, likely, narrow, packed, release, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
