@@ -6,8 +6,9 @@ Comparison: two 64-bit fingerprints within ``radius`` bits agree on all but ``ra
 linked pair shares one masked value (a bucket). Buckets shard the exact comparison: inside a bucket the rows are
 cut into tiles, numpy takes exclusive-or and bit counts of tile pairs, and tile pairs whose population counts
 differ by more than the radius are skipped. ``m`` follows from the number of distinct fingerprints alone, to keep the
-expected bucket short; a bucket above ``TILE`` rows is dealt out as pairs of tiles over many tasks, so that
-none is ever gathered. A tile reports a spanning forest of its links, never all pairs.
+expected bucket short; a bucket above ``TILE`` rows is cut into tiles by population count (and by a hash, where one count has more rows than that), and
+only tile pairs whose counts are within the radius are dealt out over the tasks, so that none is ever gathered and far pairs never meet. A tile
+reports a spanning forest of its links, never all pairs.
 
 Nulls: a null text is treated as empty; texts without words have fingerprint zero and are linked like any other. A
 null doc_id keeps its row; the component's id is the smallest id that is not null (null if there is none). Repeated rows stay
@@ -122,16 +123,20 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     fps = fps.select("fp").distinct()
     spark = fps.sparkSession
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(x - (1 << BITS) if x >> (BITS - 1) else x)).alias("v")) for i, x in enumerate(masks(fps.count(), radius))])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.xxhash64("k.t", "k.v").alias("bucket"))
-    big = rows.groupBy("bucket").count().where(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    spread = rows.join(big, "bucket", "left").withColumn("mine", F.when(F.col("tiles").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")))
-    # a row of tile t in a large bucket goes to the cells {t, 0} .. {t, tiles-1}; the cell {t, t} compares the tile with itself
-    cells = F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
-    dealt = spread.select("fp", "bucket", "mine", F.explode(cells).alias("other")).select(
+    rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("k")).select("fp", "pop", F.xxhash64("k.t", "k.v").alias("bucket"))
+    sizes = rows.groupBy("bucket", "pop").agg(F.count("*").alias("n"))
+    big = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("salts"))).alias("tiles")).where(F.col("n") > tile)
+    number = lambda pop, salt: pop.cast("long") * (1 << 32) + salt
+    own = F.filter("tiles", lambda t: t["pop"] == F.col("pop"))[0]["salts"]
+    near = F.filter("tiles", lambda t: F.abs(t["pop"] - F.col("pop")) <= radius)
+    # a row of tile t in a large bucket goes to the cells {t, u} of all tiles u with near counts; the cell {t, t} compares the tile with itself
+    cells = F.flatten(F.transform(near, lambda t: F.transform(F.sequence(F.lit(0), t["salts"] - 1), lambda salt: number(t["pop"], salt))))
+    spread = rows.join(big.select("bucket", "tiles"), "bucket", "left").withColumn("mine", number(F.col("pop"), F.pmod(F.xxhash64("fp"), own)))
+    dealt = spread.select("fp", "pop", "bucket", "mine", F.explode(F.coalesce(cells, F.array(F.lit(-1).cast("long")))).alias("other")).select(
         "fp",
         F.when(F.col("mine").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"),
         F.when(F.col("mine").isNull() | (F.col("mine") == F.col("other")), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-        F.bit_count("fp").alias("pop"),
+        "pop",
     )
 
     def compare(cell: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
