@@ -572,7 +572,7 @@ def link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROBOTS_CASES = [
     ("/private/x", "any", False), ("/private/open", "any", True), ("/a.pdf", "any", False), ("/a.pdf?x", "any", True), ("/x/y/secret", "any", False), ("/", "any", True),
-    ("/private/x", "ScraperBot/1.0", True), ("/only", "ScraperBot/1.0", False), ("/only", "scraperbotnews", True), ("/news", "scraperbotnews", False),
+    ("/private/x", "ExampleBot/1.0", True), ("/only", "ExampleBot/1.0", False), ("/only", "examplebotnews", True), ("/news", "examplebotnews", False),
 ]
 _ROBOTS_TXT = """User-agent: *
 Disallow: /private
@@ -580,10 +580,10 @@ Allow: /private/open
 Disallow: /*.pdf$
 Disallow: /x/*/secret
 
-User-agent: scraperbot
+User-agent: examplebot
 Disallow: /only
 
-User-agent: ScraperBotNews
+User-agent: ExampleBotNews
 Disallow: /news
 """
 
