@@ -2,15 +2,16 @@
 
 A passage is a window of words of a whole text; windows overlap by half, and are so wide that any item's words fit into one. Words
 are runs of letters, digits and underscores in lower case. An item is a question and an answer (its last line, if it has several).
-It counts as leaked by a passage that has at least ``SIMILARITY`` of the item's 5-word shingles, or of those of its question alone
-if that has ``QUESTION`` words or more.
+It counts as leaked by a text that has at least ``SIMILARITY`` of the item's 5-word shingles, or of those of its question alone
+if that has ``QUESTION`` words or more, wherever they stand: question and answer may be far apart.
 
-The threshold of each item follows from that: a passage that qualifies lacks at most a fifth of the shingles, so it scores at
-least the item's own score without the strongest terms that so many shingles can take with them (``least_score``). Impacts are divided by the item's
-threshold, and all items that reach 1 are retrieved, so that the search loses none. Before the search, a passage is skipped if for every
+Passages retrieve items by their longer part. The threshold of each item follows: a text that qualifies lacks at most a fifth of all the
+item's shingles, so the passage with the longer part scores at least that part's own score without the strongest terms that so many shingles
+can take with them (``least_score``). Impacts are divided by the item's threshold, and all items that reach 1 are retrieved. The search
+loses none whose longer part (or question, where that counts alone) is within one passage. Before the search, a passage is skipped if for every
 item the impacts of the item's essential terms, plus all of its other ones, stay below 1. An item's other terms are its most frequent ones,
-as long as their impacts add up to ``LOW`` at most. What is retrieved is verified on the shingles of
-the document's words around the passage.
+as long as their impacts add up to ``LOW`` at most. What the passages of a
+text retrieve is verified on the shingles of the whole text.
 
 The index goes to every task, for at most ``BLOCK_ITEMS`` items at a time (and ``BLOCK_WORDS`` words); larger benchmarks are searched block by block.
 
@@ -26,7 +27,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,6 @@ class Index:
     rare_impact: np.ndarray | None = None
     need: np.ndarray | None = None  # what the essential terms must add
     stride: int = 32
-    lengths: tuple[int, ...] = (SHINGLE,)  # of the shingles; short answers have short ones
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index:
@@ -113,7 +113,6 @@ class Index:
             return out
         words = [q + a for _, q, a in rows]
         out.sets = [(shingles(q) | shingles(a), shingles(q) if len(q) >= QUESTION else set()) for _, q, a in rows]
-        out.lengths = tuple(sorted({len(s) for whole, _ in out.sets for s in whole}))
         out.stride = max(32, max(map(len, words)))
         df: dict[str, int] = defaultdict(int)
         for w in words:
@@ -129,14 +128,13 @@ class Index:
                 tf[x] += 1
             impact = {x: float(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5))) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
 
-            def least(*segments: list[str], impact: dict[str, float] = impact) -> float:
-                segments = [x for x in segments if x]
-                places = sum(max(1, len(x) - SHINGLE + 1) for x in segments)
-                distinct = len(set().union(*map(shingles, segments)))
+            def least(part: list[str], of: set, impact: dict[str, float] = impact) -> float:
                 # a shingle that occurs twice is one of the set but several places
-                return least_score(segments, impact, int((1 - SIMILARITY) * distinct + 1e-9) + places - distinct)
+                again = max(1, len(part) - SHINGLE + 1) - len(shingles(part))
+                return least_score([part], impact, int((1 - SIMILARITY) * len(of) + 1e-9) + again)
 
-            bounds = [least(q, a)] + ([least(q)] if out.sets[i][1] else [])
+            longer = max(q, a, key=lambda x: len(shingles(x)))
+            bounds = [least(longer, out.sets[i][0])] + ([least(q, out.sets[i][1])] if out.sets[i][1] else [])
             bound = max(1e-9, min(bounds) * (1 - 1e-9))
             for x in sorted(impact, key=lambda x: (-df[x], x)):
                 s = impact[x] / bound
@@ -213,7 +211,7 @@ class Index:
         return len(whole & seen) / len(whole), len(question & seen) / len(question) if question else 0.0
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float]]:
-        """(text's index, item's index, overlap, question's overlap) of verified items; the best passage of a text counts."""
+        """(text's index, item's index, overlap, question's overlap) of verified items."""
         if not self.items:
             return
         docs = [WORD.findall((t or "").lower()) for t in texts]
@@ -227,23 +225,20 @@ class Index:
             starts.append(at)
             at += 2 + len(words) // self.stride  # an empty block before each text keeps texts apart
         first = np.array(starts)
-        best: dict[tuple[int, int], tuple[float, float]] = {}
+        candidates: dict[int, set[int]] = defaultdict(set)
         for b in self.passages(np.concatenate(terms), np.concatenate(blocks)).tolist():
             d = int(np.searchsorted(first, b, "right")) - 1
             lo = max(0, (b - starts[d] - 1) * self.stride)
             words = docs[d][lo : (b - starts[d] + 1) * self.stride]
-            if not words:
-                continue
-            items = self.search(set(words))
-            if not items:
-                continue
-            seen = set().union(*(shingles(words, k) for k in self.lengths))
-            for i in items:
+            if words and (items := self.search(set(words))):
+                candidates[d].update(items)
+        for d, items in sorted(candidates.items()):
+            wanted = set().union(*(self.sets[i][0] for i in items))
+            seen = {x for k in {len(x) for x in wanted} for x in zip(*(islice(docs[d], j, None) for j in range(k))) if x in wanted}
+            for i in sorted(items):
                 o, q = self.overlap(i, seen)
                 if max(o, q) >= SIMILARITY - 1e-9:
-                    best[d, i] = max(best.get((d, i), (0.0, 0.0)), (o, q))
-        for (d, i), (o, q) in sorted(best.items()):
-            yield d, i, o, q
+                    yield d, i, o, q
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
