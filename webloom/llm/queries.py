@@ -57,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_token_counts, op7_language, op8_neighbours, op9_suffix_array, op10_packing)}
-#: What SQL can express. op5's is for pages as the tables hold them: one article of headings and paragraphs.
+#: What SQL can express. op5's is for pages as the tables hold them: one article of headings and paragraphs; op9's for ids that don't repeat.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": r"""
     with lines as (select item_id, line, i from (select item_id, unnest(string_split(lower(text), chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from benchmark) where regexp_matches(line, '[\p{L}\p{N}_]')),
@@ -78,4 +78,17 @@ ORACLE_SQL: dict[str, str] = {
     b as (select page_id, url, list_transform(string_split_regex(h, '</?(p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as blocks from a),
     t as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from b)
     select page_id, url, text, length(text) as n_chars from t""",
+    "op9_suffix_array": r"""
+    with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    pieces as (select doc_id, base, substr(h, 2 * base + 1, 800) as piece from (select *, unnest(range(0, length(h) // 2 - 99, 300)) as base from d where length(h) >= 200)),
+    strings as materialized (select doc_id, base + i as pos, substr(piece, 2 * i + 1, 200) as s from (select *, unnest(range(0, least(300, length(piece) // 2 - 99))) as i from pieces)),
+    firsts as (select s, min((doc_id, pos)) as earliest from strings group by s having count(*) > 1),
+    again as (select doc_id, pos from strings join firsts using (s) where (doc_id, pos) > earliest),
+    ordered as (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from again),
+    runs as (select doc_id, pos, sum(case when before is null or pos > before + 100 then 1 else 0 end) over (partition by doc_id order by pos) as run from ordered),
+    spans as (select doc_id, min(pos) as lo, max(pos) + 100 as hi from runs group by doc_id, run),
+    edges as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as kept_from from spans),
+    kept as (select doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (lo - kept_from)), '' order by lo) as head, max(hi) as last, sum(hi - lo) as n_removed, count(*) as n_spans from edges join d using (doc_id) group by doc_id)
+    select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+    from d left join kept using (doc_id)""",
 }
