@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions import folds
+from webloom.functions import folds, machines
+from webloom.operators.replay import replay as ordered
 
 #: Upper bounds of 15 buckets that double.
 LATENCY = [0.01 * 2**k for k in range(15)]
@@ -45,15 +46,15 @@ def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 
 
 def replay(df: DataFrame, key: str, order: list[str], fields: list[str], fold: Column) -> DataFrame:
-    """key and result: a fold (an expression on the column events) of each key's events in order."""
+    """key and result: a fold (an expression on the column events) of each key's events in order, gathered in one row; for keys of any size see operators.replay."""
     return df.groupBy(key).agg(folds.history(order, fields).alias("events")).select(key, fold.alias("result"))
 
 
 def cache_outcomes(df: DataFrame, key: str, order: list[str], ttl_s: float) -> DataFrame:
-    """outcome, n over all keys: lookups (t, in seconds) by outcome, counted within each key's fold."""
-    found = replay(df, key, order, [], folds.cache_counts(F.col("events"), ttl_s))
+    """outcome, n over all keys: lookups (t, in seconds) by outcome, counted in each key's state."""
+    found = ordered(df, key, order, machines.cache_outcomes(ttl_s))
     names = ("hit", "stale_revalidate", "miss")
-    sums = found.agg(*[F.coalesce(F.sum(f"result.{x}"), F.lit(0)).alias(x) for x in names])
+    sums = found.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(x).alias("outcome"), F.col(x).alias("n")) for x in names])).alias("x")).select("x.*").where("n > 0")
 
 

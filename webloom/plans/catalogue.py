@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import folds, text, urls
-from webloom.operators import frontier, graph, joins, metrics
+from webloom.functions import folds, machines, text, urls
+from webloom.operators import frontier, graph, joins, metrics, replay
 from webloom.session import table
 from webloom.sources import documents
 from webloom.streaming import stateful
@@ -263,7 +263,7 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from events group by user_id"""
 )
 def aimd_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.replay(_log(spark, sf_dir), "key", ["ts", "event_id"], ["ok"], folds.aimd(F.col("events"), 2, 100)).select("key", F.col("result").alias("ceiling"))
+    return replay.replay(_log(spark, sf_dir), "key", ["ts", "event_id"], machines.aimd(2, 100))
 
 
 _EWMA = """with o as (select user_id, row_number() over w as i, count(*) over (partition by user_id) as n, avg(case when event_type <> 'error' then 1.0::double else 0.0::double end) over w as rate, avg(value) over w as ms
@@ -272,7 +272,7 @@ _EWMA = """with o as (select user_id, row_number() over w as i, count(*) over (p
 
 
 def _ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.replay(_log(spark, sf_dir), "key", ["ts", "event_id"], ["ok", "ms"], folds.ewma_score(F.col("events"))).select("key", F.round("result", 6).alias("score"))
+    return replay.replay(_log(spark, sf_dir), "key", ["ts", "event_id"], machines.ewma_score()).select("key", F.round("score", 6).alias("score"))
 
 
 @query(_EWMA)
@@ -297,8 +297,7 @@ def best_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     select key, state, failures, allowed, rejected from r qualify row_number() over (partition by key order by i desc) = 1"""
 )
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.replay(_log(spark, sf_dir), "key", ["t", "event_id"], ["ok"], folds.breaker(F.col("events"), 2, 86400.0))
-    return found.select("key", "result.state", "result.failures", "result.allowed", "result.rejected")
+    return replay.replay(_log(spark, sf_dir), "key", ["t", "event_id"], machines.breaker(2, 86400.0)).drop("failed_at")
 
 
 @query(
@@ -313,21 +312,41 @@ def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cache_outcomes(_log(spark, sf_dir), "key", ["t", "event_id"], 86400.0)
 
 
-_RECRAWL = """with recursive e as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as i, floor(epoch_us(ts) / 1000000)::bigint as t, event_type <> 'view' as changed from events),
-    r as (select key, i, t as last, 86400.0::double as ema from e where i = 1
-      union all select r.key, e.i, case when e.changed then e.t else r.last end,
-        case when e.changed and e.t - r.last >= 2592000 then 86400.0::double when e.changed then round_even(least(greatest(0.3::double * (e.t - r.last)::double + 0.7::double * r.ema, 300), 2592000), 0) else round_even(least(r.ema * 1.2::double, 2592000), 0) end
-      from r join e on e.key = r.key and e.i = r.i + 1)
+#: What the tracker keeps lives for a day here, so that it expires in these data.
+_TRACKER_S = 86_400
+_RECRAWL = f"""with recursive e as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as i, floor(epoch_us(ts) / 1000000)::bigint as t, event_type <> 'view' as changed from events),
+    r as (select key, 0::bigint as i, null::bigint as last, null::double as ema, null::bigint as set_at from (select distinct key from e)
+      union all select key, i, case when changed then t else last end, case when not changed and not coalesce(t - set_at < {_TRACKER_S}, false) then ema
+          when not changed then round_even(least(ema * 1.2::double, 2592000), 0) when coalesce(t - last >= {_TRACKER_S}, true) then 86400.0::double
+          else round_even(least(greatest(0.3::double * (t - last)::double + 0.7::double * (case when coalesce(t - set_at < {_TRACKER_S}, false) then ema else (t - last)::double end), 300), 2592000), 0) end,
+          case when changed or coalesce(t - set_at < {_TRACKER_S}, false) then t else set_at end
+      from (select r.key, e.i, r.last, r.ema, r.set_at, e.t, e.changed from r join e on e.key = r.key and e.i = r.i + 1))
     select key, last, ema, last + ema::bigint as next_crawl from r qualify row_number() over (partition by key order by i desc) = 1"""
 
 
 @query(_RECRAWL)
 def recrawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir).withColumns({"t": F.floor("t"), "changed": F.col("event_type") != "view"})
-    found = metrics.replay(log, "key", ["ts", "event_id"], ["t", "changed"], folds.recrawl(F.col("events"))).select("key", "result.last", "result.ema")
+    found = replay.replay(log, "key", ["ts", "event_id"], machines.recrawl(_TRACKER_S)).select("key", "last", "ema")
     return found.withColumn("next_crawl", F.col("last") + F.col("ema").cast("long"))
 
 
+@query(
+    """with recursive e as (select user_id as key, event_id, row_number() over (partition by user_id order by ts, event_id) as i, epoch_us(ts) / 1e6 as t, event_type <> 'error' as found, value <= 100 as allow from events),
+    r as (select key, 0::bigint as i, null::bigint as event_id, null::double as loaded, null::boolean as allowed, null::varchar as outcome from (select distinct key from e)
+      union all select r.key, e.i, e.event_id, case when coalesce(e.t - r.loaded <= 86400, false) then r.loaded else e.t end, case when coalesce(e.t - r.loaded <= 86400, false) then r.allowed else not e.found or e.allow end,
+        case when coalesce(e.t - r.loaded <= 86400, false) then 'hit' else 'miss' end from r join e on e.key = r.key and e.i = r.i + 1)
+    select key, event_id, outcome, allowed from r where i > 0"""
+)
+def robots_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event looks up its domain's robots file, which an error can't load (so all is allowed for a day) and which forbids high values."""
+    return replay.replay_events(_lookups(_log(spark, sf_dir)), "key", ["ts", "event_id"], machines.robots_cache(), ["event_id"])
+
+
+def _lookups(log: DataFrame) -> DataFrame:
+    return log.select("key", "event_id", "ts", "t", F.col("ok").alias("found"), (F.col("ms") <= 100).alias("allow"))
+
+
 @query(
     """with c as (select event_type <> lag(event_type) over (partition by user_id order by ts, event_id) as changed from events)
     select case when changed is null then 'first' when changed then 'changed' else 'unchanged' end as result, count(*) as n from c group by all"""
