@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import folds, machines, text, urls
-from webloom.operators import frontier, graph, joins, metrics, replay
-from webloom.session import table
+from webloom.operators import crawl, frontier, graph, joins, metrics, replay
+from webloom.session import checkpoint, table
 from webloom.sources import documents
 from webloom.streaming import stateful
 
@@ -416,6 +416,80 @@ def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.weighted_pick(rows, _POOL).groupBy("label").agg(F.count("*").alias("n"))
 
 
+_NUMBER = "(l_orderkey * 7919 + l_linenumber * 104729)"
+
+
+@query(
+    f"""with pool as (select p_partkey, p_brand, sum(p_size) over (order by p_partkey) - p_size as lo, sum(p_size) over () as total from part where p_size > 0),
+    n as (select {_NUMBER} % (select any_value(total) from pool) + 0.5 as at from lineitem)
+    select p_brand, count(*) as n, sum(p_partkey)::bigint as parts, (select any_value(total) from pool)::bigint as weight_sum from n asof join pool on n.at > pool.lo group by p_brand"""
+)
+def pool_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order line draws a part, with the parts' sizes as weights."""
+    pool = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_partkey").alias("pos"), F.col("p_size").cast("long").alias("weight"))
+    total = joins.weight_sum(pool)
+    numbers = table(spark, sf_dir, "lineitem").select((F.expr(_NUMBER) % total + 0.5).alias("at"))
+    found = joins.range_pick(numbers, pool, "at").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("parts"))
+    return found.withColumn("weight_sum", total)
+
+
+@query(
+    """with c as (select distinct client_id, ts, click_id from clicks where client_id is not null and ts is not null),
+    s as (select client_id, valid_at, max(seq) as seq from client_changes where client_id is not null and valid_at is not null and seq is not null group by all)
+    select click_id, s.seq from c asof left join s on s.client_id = c.client_id and c.ts >= s.valid_at"""
+)
+def clicks_as_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the number of its client's last change then; one client has very many of both."""
+    clicks = table(spark, sf_dir, "clicks").where("client_id is not null and ts is not null").select("client_id", "ts", "click_id").distinct()
+    changes = table(spark, sf_dir, "client_changes").where("seq is not null").select("client_id", F.col("valid_at").alias("ts"), "seq")
+    return joins.as_of(clicks, changes, "client_id", "ts", "click_id").select("click_id", "seq")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages by number, and links between them: a page's links lead to pages whose numbers follow from its own and the links' lengths."""
+    pages = _pages(spark, sf_dir)
+    n = pages.agg(F.count("*")).scalar()
+    hrefs = documents.page_links(pages.select(F.col("page_id").cast("string").alias("url"), "html")).select(F.col("url").cast("long").alias("page_id"), F.length("href").alias("n"))
+    at = pages.select("page_id", "url")
+    to = hrefs.select("page_id", ((F.col("page_id") * 13 + F.col("n") * 37) % n).alias("to")).distinct()
+    links = to.join(at, "page_id").select(F.col("url").alias("src"), "to").join(at.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+    return pages, links
+
+
+@query(
+    f"""with recursive p as (select page_id, url, case when contains(url, '/de/') then 'robots' when page_id % 10 = 3 then 'missing' when page_id % 10 = 1 then 'fetch: timeout' end as reason from pages),
+    l as (select distinct page_id, (page_id * 13 + length(href) * 37) % (select count(*) from pages) as dst from (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*"([^"]*)"', 1, 'is')) as href from pages) where href <> '' and href not like '#%' and href not like 'javascript:%'),
+    r as (select page_id from p where page_id < 3 union select l.dst from r join p on p.page_id = r.page_id and p.reason is null join l on l.page_id = r.page_id)
+    select url, case when reason is null then 'crawled' else 'dropped' end as outcome, reason from r join p using (page_id)"""
+)
+def crawl_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the first three pages lead to, with the reason of each url that was dropped."""
+    pages, links = _graph(spark, sf_dir)
+    stored = checkpoint(links)
+    snapshots = pages.where("page_id % 10 <> 3").select("url", F.when(F.col("page_id") % 10 == 1, "timeout").alias("error"))
+    robots = pages.select(urls.crawler_domain(F.col("url")).alias("domain")).distinct().select("domain", F.lit("*").alias("agent"), F.lit("/*/de/").alias("path"), F.lit(False).alias("allow"))
+    robots = robots.unionByName(robots.withColumn("path", F.lit("/de/")))
+    return crawl.crawl(snapshots, stored, pages.where("page_id < 3").select("url"), robots).select("url", "outcome", "reason")
+
+
+@query(
+    f"""with u as (select page_id, url, {_CRAWLER} as domain, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as path, date '2024-01-01' + (page_id % 40)::int as at from pages),
+    r as (select domain, left(path, 4 + page_id % 5) as path, page_id % 3 = 0 as allow, date '2024-01-01' + (page_id % 30)::int as since, case when page_id % 4 > 0 then date '2024-01-01' + (page_id % 30 + 10)::int end as until from u)
+    select u.page_id, coalesce(arg_max(r.allow, (length(r.path), r.allow)), true) as allowed from u left join r on r.domain = u.domain and starts_with(u.path, r.path) and r.since <= u.at and (r.until is null or u.at < r.until) group by u.page_id"""
+)
+def robots_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as many as pages, which hold for a time, against pages visited on different days."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
+    pages = _pages(spark, sf_dir).select("page_id", "url", day(F.col("page_id") % 40).alias("at"))
+    n = F.col("page_id") % 30
+    rules = pages.select(
+        urls.crawler_domain(F.col("url")).alias("domain"), F.lit("*").alias("agent"), F.substring(path, F.lit(1), (F.col("page_id") % 5 + 4).cast("int")).alias("path"), (F.col("page_id") % 3 == 0).alias("allow"),
+        day(n).alias("valid_from"), F.when(F.col("page_id") % 4 > 0, day(n + 10)).alias("valid_to"),
+    )
+    return joins.allowed(pages, rules, at="at").select("page_id", "allowed")
+
+
 @query(
     """with recursive s as (select distinct url from pages) select (select count(*) from s) as urls, (select count(*) from (select distinct url from pages union select url from s)) as after_union"""
 )
@@ -485,54 +559,101 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.robots_rules(files.select("domain", F.lit(200).alias("status"), body.alias("body")))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """What a stream over the events' files gives when it has read them all."""
-    import uuid
-
-    path = f"{sf_dir}/events.parquet"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    # a stream reads folders; a table of one file is picked out of its folder
-    stream = build(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path))
-    sink = f"{name}_{uuid.uuid4().hex[:8]}"
-    writer = stream.writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/{sink}")
-    running = writer.start()
-    running.awaitTermination()
-    return spark.table(sink)
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of four slices of time, with a watermark on ts."""
+    return stateful.with_time(stateful.in_slices(table(spark, sf_dir, "events"), "ts"), late="1 hour")
 
 
 def _streamed_log(events: DataFrame) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    return events.select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(ts) / 1e6).alias("t"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") != "view").alias("changed"))
+    return events.select(
+        F.col("user_id").alias("key"), "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("t"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") != "view").alias("changed"), F.col("value").alias("ms")
+    )
 
 
-@query("select user_id as key, count(*) as n from (select distinct user_id from events) group by all")
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _streamed(spark, sf_dir, "dedup", lambda e: stateful.deduplicated(e.select(F.col("user_id").alias("key")), "key"), "append")
-    return found.groupBy("key").agg(F.count("*").alias("n"))
+def _latest(found: DataFrame, *columns: str) -> DataFrame:
+    """Each key's columns as of its last micro-batch."""
+    return found.groupBy("key").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("key", *[F.col(f"s.{c}").alias(c) for c in columns])
 
 
 @query(ORACLE_SQL["breaker_replay"])
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, "breaker", lambda e: stateful.breaker(_streamed_log(e), 2, 86400.0), "update")
+    found, _ = stateful.collected(stateful.breaker(_streamed_log(_sliced(spark, sf_dir)), 2, 86400.0), "update")
+    return _latest(found, "state", "failures", "allowed", "rejected")
 
 
 @query(_RECRAWL.replace(", last + ema::bigint as next_crawl", ""))
 def stream_recrawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, "recrawl", lambda e: stateful.recrawl(_streamed_log(e).withColumn("t", F.floor("t"))), "update")
+    log = _streamed_log(_sliced(spark, sf_dir)).withColumn("t", F.floor("t"))
+    found, _ = stateful.collected(stateful.recrawl(log, _TRACKER_S), "update")
+    return _latest(found.where("not expired"), "last", "ema")
+
+
+@query(ORACLE_SQL["robots_cache"])
+def stream_robots_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = stateful.collected(stateful.robots_cache(_lookups(_streamed_log(_sliced(spark, sf_dir)))), "append")
+    return found.drop("batch")
+
+
+@query(_EWMA)
+def stream_proxy_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = stateful.collected(stateful.ewma_score(_streamed_log(_sliced(spark, sf_dir))), "update")
+    return _latest(found, "score").withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE_SQL["aimd_ceiling"])
+def stream_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = stateful.collected(stateful.limiter(_streamed_log(_sliced(spark, sf_dir)), 2, 100), "update")
+    return _latest(found, "ceiling")
 
 
 @query(ORACLE_SQL["disallow_ratio_sliding"])
 def stream_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build(events: DataFrame) -> DataFrame:
-        return stateful.windowed_ratio(stateful.with_time(events, late="40 days"), F.col("event_type") == "error", "7 days", "1 day")
+    """Windows are written when they are complete: those still open at the end are closed by the last micro-batch's rest, which the complete mode gives."""
+    found, _ = stateful.collected(stateful.windowed_ratio(_sliced(spark, sf_dir), F.col("event_type") == "error", "7 days", "1 day"), "update")
+    last = found.groupBy("window_start").agg(F.max_by(F.struct("n", "ratio"), "batch").alias("s"))
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "s.n", F.round("s.ratio", 9).alias("ratio"))
 
-    found = _streamed(spark, sf_dir, "ratio", build, "complete")
-    return found.withColumns({"ratio": F.round("ratio", 9), "window_start": F.col("window_start").cast("timestamp_ntz")})
+
+@query(
+    """with o as (select user_id, event_type, ts, event_id, ts - lag(ts) over (partition by user_id, event_type order by ts, event_id) as gap from events)
+    select user_id, event_type, count(*) filter (where gap is null or gap >= interval 12 hour) as sessions, count(*) as n from o group by all"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user's events of a kind, closed by twelve hours without one; written once complete."""
+    events = stateful.with_time(stateful.in_slices(_with_end(table(spark, sf_dir, "events").select("user_id", "event_type", "ts")), "ts"), late="1 hour")
+    found, _ = stateful.collected(stateful.sessions(events, ["user_id", "event_type"], "12 hours"), "append")
+    return found.where("event_type is not null").groupBy("user_id", "event_type").agg(F.count("*").alias("sessions"), F.sum("n").cast("long").alias("n"))
+
+
+def _with_end(rows: DataFrame, *also: str) -> DataFrame:
+    """rows and one more, of nulls, a year after the last, so that the watermark passes all others."""
+    end = rows.agg(*[(F.max(c) + F.make_dt_interval(F.lit(365))).alias(c) for c in ("ts", *also)])
+    return rows.unionByName(end, allowMissingColumns=True)
+
+
+#: Arrivals of a month are a micro-batch. Spark drops a late row by the watermark that it closed windows by a micro-batch before.
+_MONTHS = ["2024-02-01", "2024-03-01", "2024-04-01"]
+
+
+@query(
+    """with c as (select *, greatest(0, month(arrived_at) - 1) as batch, time_bucket(interval 6 hour, ts) as w from clicks where ts is not null and arrived_at is not null),
+    m as (select batch, max(ts) as top from c group by batch), l as (select a.batch, max(b.top) - interval 1 hour as mark from m a join m b on b.batch <= a.batch - 2 group by a.batch)
+    select kind, w as window_start, count(*) as n from c left join l using (batch) where kind is not null and (mark is null or w + interval 6 hour > mark) group by all"""
+)
+def stream_late_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks in windows of six hours as they arrive, month by month: what comes after its window has been written is dropped."""
+    clicks = _with_end(table(spark, sf_dir, "clicks").where("ts is not null and arrived_at is not null").select("kind", "ts", "arrived_at"), "arrived_at")
+    stream = stateful.with_time(stateful.in_slices(clicks, "arrived_at", cuts=_MONTHS), late="1 hour")
+    found, _ = stateful.collected(stateful.windowed_counts(stream, ["kind"], "6 hours"), "append")
+    return found.where("kind is not null").select("kind", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("select kind, count(*) as n, round(sum(value), 2) as value from (select distinct click_id, kind, value from clicks) group by kind")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks that the table repeats count once, also where the copies come in different micro-batches."""
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "kind", "value", "arrived_at")
+    found, _ = stateful.collected(stateful.deduplicated(stateful.in_slices(clicks, "arrived_at", cuts=_MONTHS), "click_id"), "append")
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
 #: Known cases as rows: (case, most, timeout, [(seconds, op, success)], expected state, allowed, rejected). States: 0 closed, 1 open, 2 half-open.

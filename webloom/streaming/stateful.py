@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webloom.functions import folds
+from webloom.functions import machines
+from webloom.functions.machines import Fold
+from webloom.session import new_folder
 
 
 def with_time(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -37,65 +39,191 @@ def windowed_ratio(events: DataFrame, flag: F.Column, width: str = "1 hour", ste
     return events.groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg(flag.cast("double")).alias("ratio")).select(F.col("w.start").alias("window_start"), "n", "ratio")
 
 
+def sessions(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    """keys, session_start, session_end, n: runs of events of a key without a pause of gap; events carry a watermark on ts, and a session is complete once that passes its end."""
+    rows = events.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return rows.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def windowed_counts(events: DataFrame, keys: list[str], width: str) -> DataFrame:
+    """keys, window_start, n: events of a key in windows of ts; events that come when their window has been written are dropped."""
+    return events.groupBy(*keys, F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("window_start"), "n")
+
+
+def folded(events: DataFrame, key: str, order: list[str], fold: Fold, keep: list[str] | None = None) -> DataFrame:
+    """key and the fold's state after each micro-batch; with keep, instead, key, those columns and what the fold says about each event. State never expires."""
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    out = f"{key} {types[key]}, {fold.state}" if keep is None else ", ".join([f"{key} {types[key]}", *[f"{c} {types[c]}" for c in keep], fold.out])
+    columns = [c.split()[0] for c in out.split(", ")]
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)
+        after, said = fold.advance(state.get if state.exists else fold.start, *[rows[f].to_numpy() for f in fold.fields])
+        state.update(after)
+        if keep is None:
+            yield pd.DataFrame([(group[0], *after)], columns=columns)
+        else:
+            yield pd.DataFrame([(group[0], *r, *s) for r, s in zip(rows[keep].itertuples(index=False), said, strict=True)], columns=columns)
+
+    return events.groupBy(key).applyInPandasWithState(run, out, fold.state, "update" if keep is None else "append", GroupStateTimeout.NoTimeout)
+
+
 def breaker(events: DataFrame, most: int = 5, timeout_s: float = 30.0) -> DataFrame:
     """key, state, failures, allowed, rejected after each micro-batch. events: key, event_id, t (seconds), ok."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, failures, failed_at, allowed, rejected = state.get if state.exists else (0, 0, 0.0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        for t, ok in zip(rows["t"], rows["ok"], strict=True):
-            if now != 0 and t - failed_at < timeout_s:
-                rejected += 1
-                continue
-            allowed += 1
-            if ok:
-                now, failures = 0, 0
-            else:
-                failures, failed_at = failures + 1, float(t)
-                now = 1 if failures >= most else (2 if now == 1 else now)
-        state.update((now, failures, failed_at, allowed, rejected))
-        yield pd.DataFrame([(key[0], now, failures, allowed, rejected)], columns=["key", "state", "failures", "allowed", "rejected"])
-
-    return events.groupBy("key").applyInPandasWithState(
-        run, "key long, state long, failures long, allowed long, rejected long", "state long, failures long, failed_at double, allowed long, rejected long", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def recrawl(events: DataFrame) -> DataFrame:
-    """key, last, ema after each micro-batch. events: key, event_id, t (whole seconds), changed. A change thirty days or more after the last one starts anew."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ema = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        for t, changed in zip(rows["t"], rows["changed"], strict=True):
-            if last is None or changed and t - last >= folds.MAX_INTERVAL:
-                last, ema = int(t), folds.FIRST_INTERVAL
-            elif changed:
-                seen = folds.ALPHA * float(t - last) + (1 - folds.ALPHA) * ema
-                last, ema = int(t), float(round(min(max(seen, folds.MIN_INTERVAL), folds.MAX_INTERVAL)))
-            else:
-                ema = float(round(min(ema * 1.2, folds.MAX_INTERVAL)))
-        state.update((last, ema))
-        yield pd.DataFrame([(key[0], last, ema)], columns=["key", "last", "ema"])
-
-    return events.groupBy("key").applyInPandasWithState(run, "key long, last long, ema double", "last long, ema double", "update", GroupStateTimeout.NoTimeout)
+    return folded(events, "key", ["t", "event_id"], machines.breaker(most, timeout_s)).drop("failed_at")
 
 
 def cache_outcomes(lookups: DataFrame, ttl_s: float = 300.0) -> DataFrame:
     """host, event_id, outcome of each lookup: hit, stale_revalidate or miss. lookups: host, event_id, t (seconds)."""
+    return folded(lookups, "host", ["t", "event_id"], machines.cache_outcomes(ttl_s), ["event_id"])
+
+
+def ewma_score(events: DataFrame) -> DataFrame:
+    """key, n, good, ms, score after each micro-batch. events: key, event_id, t, ok, ms."""
+    return folded(events, "key", ["t", "event_id"], machines.ewma_score())
+
+
+def limiter(events: DataFrame, low: int, high: int) -> DataFrame:
+    """key, ceiling after each micro-batch. events: key, event_id, t, ok."""
+    return folded(events, "key", ["t", "event_id"], machines.aimd(low, high))
+
+
+class _Timed(StatefulProcessor):
+    """A processor with timers at the times at which parts of its state die: old ones go, new ones come, and what has died is cleared when event time gets there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def _times(self, before: set[int], after: set[int]) -> None:
+        for ms in before - after:
+            self.handle.deleteTimer(ms)
+        for ms in after - before:
+            self.handle.registerTimer(ms)
+
+    def close(self) -> None:
+        pass
+
+
+class Tracker(_Timed):
+    """The change tracker's two variables of a url: the last change, and the interval with the time at which it was set. Each dies ttl_s after it was set."""
+
+    COLUMNS = "key long, last long, ema double, expired boolean"
+
+    def __init__(self, ttl_s: float) -> None:
+        self.ttl_s, self.fold = ttl_s, machines.recrawl(ttl_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last, self.ema = handle.getValueState("last", "last long"), handle.getValueState("ema", "ema double, set_at long")
+
+    def _state(self) -> tuple:
+        return (self.last.get() if self.last.exists() else (None,)) + (self.ema.get() if self.ema.exists() else (None, None))
+
+    def _deaths(self, state: tuple) -> set[int]:
+        return {int((x + self.ttl_s) * 1000) for x in (state[0], state[2]) if x is not None}
+
+    def _row(self, key: tuple, expired: bool) -> pd.DataFrame:
+        last, ema, _ = self._state()
+        return pd.DataFrame({"key": [key[0]], "last": pd.array([last], "Int64"), "ema": pd.array([ema], "Float64"), "expired": [expired]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new, before = pd.concat(list(rows)).sort_values(["t", "event_id"]), self._state()
+        after, _ = self.fold.advance(before, new["t"].to_numpy(), new["changed"].to_numpy())
+        if after[0] is not None:
+            self.last.update((after[0],))
+        if after[1] is not None:
+            self.ema.update((after[1], after[2]))
+        self._times(self._deaths(before), self._deaths(after))
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, state = expiredTimerInfo.getExpiryTimeInMs() / 1000, self._state()
+        if state[0] is not None and state[0] + self.ttl_s <= now:
+            self.last.clear()
+        if state[2] is not None and state[2] + self.ttl_s <= now:
+            self.ema.clear()
+        yield self._row(key, True)
+
+
+class RobotsCache(_Timed):
+    """The robots entry of a domain, also of a load that failed; it dies when it may no longer serve."""
+
+    COLUMNS = "key long, event_id long, outcome string, allowed boolean"
+
+    def __init__(self, ttl_s: float) -> None:
+        self.ttl_s, self.fold = ttl_s, machines.robots_cache(ttl_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.entry = handle.getValueState("entry", self.fold.state)
+
+    def _deaths(self, loaded: float | None) -> set[int]:
+        return set() if loaded is None else {int((loaded + self.ttl_s) * 1000) + 1}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new, before = pd.concat(list(rows)).sort_values(["t", "event_id"]), self.entry.get() if self.entry.exists() else self.fold.start
+        after, said = self.fold.advance(before, *[new[f].to_numpy() for f in self.fold.fields])
+        self.entry.update(after)
+        self._times(self._deaths(before[0]), self._deaths(after[0]))
+        yield pd.DataFrame([(key[0], e, *s) for e, s in zip(new["event_id"], said, strict=True)], columns=["key", "event_id", "outcome", "allowed"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.entry.clear()
+        yield pd.DataFrame({"key": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "outcome": pd.Series(dtype="str"), "allowed": pd.Series(dtype="bool")})
+
+
+def _with_state(events: DataFrame, processor: Tracker | RobotsCache, mode: str) -> DataFrame:
+    """The processor over events (key, ts with a watermark, and more), its state in the store that such processors need."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.groupBy("key").transformWithStateInPandas(processor, processor.COLUMNS, mode, "EventTime")
+
+
+def recrawl(events: DataFrame, ttl_s: float = machines.TRACKER_TTL_S) -> DataFrame:
+    """key, last, ema, expired after each micro-batch, and when something of a key expires. events: key, event_id, ts (with a watermark), t (whole seconds), changed."""
+    return _with_state(events, Tracker(ttl_s), "Update")
+
+
+def robots_cache(lookups: DataFrame, ttl_s: float = machines.ROBOTS_TTL_S) -> DataFrame:
+    """key, event_id, outcome, allowed of each lookup. lookups: key, event_id, ts (with a watermark), t (seconds), found, allow."""
+    return _with_state(lookups, RobotsCache(ttl_s), "Append")
+
+
+def in_slices(df: DataFrame, ts: str, slices: int = 3, files: int = 1, cuts: list[str] | None = None) -> DataFrame:
+    """A stream that reads df in micro-batches, one slice of time after the other; the slices are stored once in the shared folder. Rows without ts come first.
+
+    Slices are about equally large, where cuts aren't given as times. files: of each slice, which its readers share.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "slices")
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0)).cast("double")
+    if cuts is None:
+        bounds = df.select(at.alias("at")).approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
+    else:
+        bounds = [float(r[0]) for r in spark.createDataFrame([(c,) for c in cuts], "at string").select(F.unix_micros(F.col("at").cast("timestamp"))).collect()]
+    for lo, hi in zip([-1.0, *bounds], [*bounds, float("inf")], strict=True):  # one after the other: a stream of files takes older ones first
+        df.where((at >= lo) & (at < hi)).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def collected(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """What a stream has written when it has read all that there is, with the number of the micro-batch of each row as batch; and the ended query.
+
+    Each micro-batch goes to a folder of its own in the shared folder, so a repeated one overwrites itself, and nothing goes through the driver.
+    """
+    spark = stream.sparkSession
+    path = new_folder(spark, "stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_once(batch, batch_id, f"{path}/rows")
+        if keep is not None:
+            keep(batch, batch_id)
+
+    running = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start()
+    running.awaitTermination()
+    return spark.read.schema(f"{_ddl(stream)}, batch long").parquet(f"{path}/rows"), running
+
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        loaded = state.get[0] if state.exists else None
-        rows, out = pd.concat(list(batches)).sort_values(["t", "event_id"]), []
-        for t, event in zip(rows["t"], rows["event_id"], strict=True):
-            live = loaded is not None and t - loaded < ttl_s
-            stale = live and t - loaded > 0.8 * ttl_s
-            loaded = loaded if live and not stale else float(t)
-            out.append((key[0], event, "stale_revalidate" if stale else "hit" if live else "miss"))
-        state.update((loaded,))
-        yield pd.DataFrame(out, columns=["host", "event_id", "outcome"])
-
-    return lookups.groupBy("host").applyInPandasWithState(run, "host string, event_id long, outcome string", "loaded double", "append", GroupStateTimeout.NoTimeout)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def every(stream: DataFrame, seconds: int, tick: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
