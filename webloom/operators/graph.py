@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.session import checkpoint
 
 
 def bounded_bfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, depth: nodes within depth levels of the roots (which have depth 1), at the least depth. edges: src, dst; roots: node.
 
-    A join and an anti join per level, so what is visited is shuffled on the node and never gathered.
+    A join and an anti join per level, so what is visited is shuffled on the node and never gathered. Edges and levels are stored, so that no level repeats another's work.
     """
-    visited = level = roots.select("node").distinct().withColumn("depth", F.lit(1))
+    edges = checkpoint(edges.select("src", "dst"))
+    levels = [checkpoint(roots.select("node").distinct().withColumn("depth", F.lit(1)))]
     for d in range(2, depth + 1):
-        near = level.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        level = near.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        visited = visited.unionByName(level)
-    return visited
+        near = levels[-1].select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        visited = reduce(DataFrame.unionByName, levels)
+        levels.append(checkpoint(near.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def same_domain(edges: DataFrame) -> DataFrame:

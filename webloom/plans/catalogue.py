@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import folds, machines, text, urls
-from webloom.operators import crawl, frontier, graph, joins, metrics, replay
+from webloom.operators import crawl, frontier, graph, joins, membership, metrics, observed, replay
 from webloom.session import checkpoint, table
 from webloom.sources import documents
 from webloom.streaming import stateful
@@ -201,10 +201,17 @@ def status_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("domain", text.status_class(F.col("s")).alias("class"), text.badge(F.col("s")).alias("badge")).agg(F.count("*").alias("n"))
 
 
-@query("""select event_id::varchar as url, 'json' as parser, list_sort(regexp_extract_all(props, ':\\s*"(https?://[^"]*)"', 1)) as links, props as text, null::varchar as error from events""")
+#: A JSON document around an event: text, and names of columns.
+_NESTED = ['{"id": ', "event_id", ', "http://key": "no", "list": [1, {"deep": [{"url": "https://x.example/', "event_id", '?q=\\"a\\""}, "http:\\/\\/y.example\\/"]}], "props": ', "props", ', "not": "ftp://z", "s": "a:"}']
+_NESTED_SQL = " || ".join(x if x in ("event_id", "props") else f"'{x}'" for x in _NESTED)
+
+
+@query(f"""select event_id::varchar as url, list_sort(['https://x.example/' || event_id || '?q="a"', 'http://y.example/'] || regexp_extract_all(props, ':\\s*"(https?://[^"]*)"', 1)) as links, strlen({_NESTED_SQL}) as n from events""")
 def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.lit("application/json").alias("content_type"), F.col("props").alias("body"))
-    return documents.parse(docs).select("url", "parser", "links", "text", "error")
+    """Urls at any depth of JSON documents made of the events, with keys that look like urls and escapes."""
+    body = F.concat(*[F.col(x).cast("string") if x in ("event_id", "props") else F.lit(x) for x in _NESTED])
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), body.alias("body"))
+    return documents.json_documents(docs).select("url", "links", F.octet_length("text").cast("long").alias("n"))
 
 
 @query("select source, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) ::bigint as words, sum(strlen(text))::bigint as bytes from documents group by source")
@@ -416,6 +423,66 @@ def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.weighted_pick(rows, _POOL).groupBy("label").agg(F.count("*").alias("n"))
 
 
+_DELETED = "o_orderkey % 7 = 0"
+
+
+@query(f"select o_orderkey from orders o where {_DELETED} or not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
+def seen_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that the seen-set lacks; it was filled in two parts, and then every seventh order deleted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    words = 1 << 16
+    parts = [membership.members(seen.where(f"o_orderkey % 2 = {i}"), "o_orderkey", words) for i in range(2)]
+    gone = seen.where(_DELETED)
+    filter_ = membership.without(membership.merged(*parts), gone, "o_orderkey", words)
+    return membership.unseen(orders, frontier.delete_seen(seen, gone, "o_orderkey"), filter_, "o_orderkey", words)
+
+
+_FIELDS = '[{"name": "heading", "selector": "h1"}, {"name": "charset", "selector": "meta[charset]", "attr": "charset"}]'
+
+
+@query(f"""select page_id, 'link' as name, href as value, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1, 'is')) as href from pages)
+    where href <> '' and href not like '#%' and href not like 'javascript:%' group by all
+    union all select page_id, 'charset', regexp_extract(html, '<meta charset="([^"]*)"', 1), 1 from pages where regexp_matches(html, '<meta charset="')""")
+def lateral_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and fields of pages by table functions in SQL."""
+    from webloom.sources import table_functions
+
+    table_functions.register(spark)
+    rules = _FIELDS.replace("{", "{{").replace("}", "}}")
+    return spark.sql(
+        f"""select page_id, 'link' as name, href as value, count(*) as n from {{pages}}, lateral page_links(html) group by all
+        union all select page_id, name, value, count(*) as n from {{pages}}, lateral page_fields(html, '{rules}') where name = 'charset' group by all""",
+        pages=_pages(spark, sf_dir),
+    )
+
+
+@query(
+    """select 'events' as metric, count(*)::double as value from events union all select 'errors', count(*) filter (where event_type = 'error') from events
+    union all select 'ms', round(sum(value), 2) from events union all select 'slowest', max(value) from events"""
+)
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that a stream over the events reports while it runs, added up from the table that the listener keeps."""
+    from webloom.session import new_folder
+
+    listener = observed.MetricsTable(spark, new_folder(spark, "metrics"))
+    spark.streams.addListener(listener)
+    try:
+        log = _streamed_log(_sliced(spark, sf_dir)).observe("crawl", F.count("*").alias("events"), F.count(F.when(~F.col("ok"), 1)).alias("errors"), F.sum("ms").alias("ms"), F.max("ms").alias("slowest"))
+        stateful.collected(log.select("key", "event_id"), "append")
+        found = listener.table()
+    finally:
+        spark.streams.removeListener(listener)
+    total = F.when(F.first("metric") == "slowest", F.max("value")).otherwise(F.round(F.sum("value"), 2))
+    return found.groupBy("metric").agg(total.alias("value"))
+
+
+@query("select time_bucket(interval 1 hour, ts) as window_start, count(*) as n, round(count(*) / 3600.0::double, 9) as per_second from events group by 1")
+def fetch_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = observed.rates(_log(spark, sf_dir), "ts", "1 hour")
+    return found.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "per_second": F.round("per_second", 9)})
+
+
 _NUMBER = "(l_orderkey * 7919 + l_linenumber * 104729)"
 
 

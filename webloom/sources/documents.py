@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import media_type, parser_of
@@ -89,6 +89,26 @@ def json_links(value: object) -> list[str]:
     return sorted(found)
 
 
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'
+
+
+def json_urls(body: Column) -> Column:
+    """The urls among the string values, at any depth, of a JSON document, sorted; none if it isn't JSON. Keys don't count.
+
+    A built-in function takes all strings with the colon that makes one a key, so nesting needs neither recursion nor Python; those that stay are unescaped together.
+    """
+    strings = F.filter(F.regexp_extract_all(body, F.lit(_JSON_STRING), 0), lambda x: ~x.endswith(":") | x.endswith(':"'))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    found = F.array_sort(F.filter(values, lambda x: x.startswith("http://") | x.startswith("https://")))
+    return F.when(F.try_parse_json(body).isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
+def json_documents(docs: DataFrame) -> DataFrame:
+    """url, links, text of JSON documents (url, body string), as parse gives them, without Python."""
+    body = F.coalesce("body", F.lit(""))
+    return docs.select("url", F.coalesce(json_urls(body), F.array().cast("array<string>")).alias("links"), body.alias("text"))
+
+
 def read_json(body: str) -> dict:
     out = _empty() | {"text": body}
     try:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import truncated
 from webloom.sources import documents, dom
 
 HITS = "query string, source int, rank int, title string, url string, snippet string"
@@ -56,7 +57,7 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
     Lines are unfolded with built-in functions. A group's agents are those that stand above its first rule; a rule gets the last such run of agents.
     """
-    text = F.decode(F.substring(F.col("body").cast("binary"), 1, ROBOTS_BYTES), "utf-8")
+    text = F.make_valid_utf8(F.substring(F.col("body").cast("binary"), 1, ROBOTS_BYTES).cast("string"))  # a cut may split a character, and files may be no UTF-8 at all
     lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.substring_index(x, "#", 1))), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     zero = F.struct(
@@ -82,7 +83,7 @@ def snapshot_results(pages: DataFrame) -> DataFrame:
     """
     failed, refused = F.col("error").isNotNull(), F.coalesce("status_code", F.lit(0)) >= 400
     title = F.when(failed, F.concat(F.lit("Fetch error: "), "error")).when(refused, F.concat(F.lit("HTTP "), "status_code"))
-    body = F.when(failed | refused, F.lit("")).otherwise(F.decode(F.substring(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 1, PAGE_BYTES), "utf-8"))
+    body = F.when(failed | refused, F.lit("")).otherwise(truncated(F.make_valid_utf8(F.coalesce("html", F.lit(""))), PAGE_BYTES))
     ready = pages.select("url", body.alias("html"), title.alias("__title"), F.when(failed, 0).otherwise(F.col("status_code")).alias("status_code"), "fetch_time_ms", F.col("fetched_at").alias("scraped_at"))
     known = ("status_code", "fetch_time_ms", "scraped_at")
     read = documents.page_results(ready.where("__title is null"), keep=known)
