@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from webloom.engine import Engine
 from webloom.functions import folds
 from webloom.operators import metrics
-from webloom.plans import catalogue
 from webloom.sources import documents, results
 
+import test_known_cases
+
 
 def test_links_equal_the_tree_reader(spark):
-    pages = [("https://a.b/", catalogue._ODD_PAGE), ("https://c/", "<a href='x' href='y'>1</a><base href=z><p><a\nhref = q>2"), ("https://e/", ""), (None, "<a href=/n>")]
+    pages = [("https://a.b/", test_known_cases._ODD_PAGE), ("https://c/", "<a href='x' href='y'>1</a><base href=z><p><a\nhref = q>2"), ("https://e/", ""), (None, "<a href=/n>")]
     got: dict = {}
     for r in documents.page_links(spark.createDataFrame(pages, "url string, html string")).orderBy("url", "pos").collect():
         got.setdefault(r["url"], []).append(r["href"])
@@ -18,7 +19,7 @@ def test_links_equal_the_tree_reader(spark):
 
 
 def test_crawl_follows_odd_links(spark):
-    pages = spark.createDataFrame([("https://a.b/", 200, catalogue._ODD_PAGE), ("https://a.b/p?a=1&b=2", 200, ""), ("https://a.b/bare", 200, ""), ("https://a.b/no", 200, "")], "url string, status_code int, html string")
+    pages = spark.createDataFrame([("https://a.b/", 200, test_known_cases._ODD_PAGE), ("https://a.b/p?a=1&b=2", 200, ""), ("https://a.b/bare", 200, ""), ("https://a.b/no", 200, "")], "url string, status_code int, html string")
     found = {r["url"] for r in Engine(pages).crawl("https://a.b/", 2).collect()}
     assert {"https://a.b/p?a=1&b=2", "https://a.b/bare"} <= found and "https://a.b/no" not in found
 

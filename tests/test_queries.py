@@ -11,7 +11,7 @@ import pytest
 from webloom.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks client_changes".split()
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
 
 

@@ -86,6 +86,11 @@ def output_record(url: Column, domain: Column, content_hash: Column, status: Col
     )
 
 
+def rfc3339(ts: Column) -> Column:
+    """A time in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def content_hash(text: Column) -> Column:
     """XXH64 (seed 0) in hex without leading zeros; the built-in function has another seed."""
 

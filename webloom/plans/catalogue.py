@@ -7,7 +7,6 @@ Thresholds that the data are too sparse for are scaled to days; the operators' d
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -557,19 +556,27 @@ def robots_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.allowed(pages, rules, at="at").select("page_id", "allowed")
 
 
-@query(
-    """with recursive s as (select distinct url from pages) select (select count(*) from s) as urls, (select count(*) from (select distinct url from pages union select url from s)) as after_union"""
-)
+@query("select user_id, min(step) as step from (select user_id, 1 as step from events where event_type = 'signup' union all select user_id, 2 from events where event_type = 'error') group by user_id")
 def seen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    both = frontier.add_seen(pages.select("url").distinct(), pages)
-    return pages.agg(F.countDistinct("url").alias("urls")).withColumn("after_union", both.agg(F.count("*")).scalar())
+    """Users added to the seen-set in two steps, with the step that added them."""
+    events = table(spark, sf_dir, "events")
+    first = frontier.add_seen(events.limit(0), events.where("event_type = 'signup'"), "user_id")
+    second = frontier.add_seen(first, events.where("event_type = 'error'"), "user_id")
+    new = frontier.unseen(second, first, "user_id").withColumn("step", F.lit(2))
+    return first.withColumn("step", F.lit(1)).unionByName(new)
 
 
-@query("select event_id as rec_id, user_id as domain, floor(epoch_us(ts) / 1000000)::bigint as fetched_at, strlen(props)::int as body_size from events")
+@query(
+    """select 'https://e/' || event_id as url, user_id::varchar as domain, case when event_type = 'error' then 500 else 200 end as status_code, floor(epoch_us(ts) / 1000000)::bigint as fetched_at, strlen(props)::int as body_size,
+    event_type as field_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from events"""
+)
 def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the output stream, one field flattened, and the RFC 3339 time beside the unix seconds."""
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), F.col("user_id").alias("domain"), F.unix_seconds(ts).alias("fetched_at"), F.octet_length("props").alias("body_size"))
+    url, status = F.concat(F.lit("https://e/"), F.col("event_id").cast("string")), F.when(F.col("event_type") == "error", 500).otherwise(200)
+    record = text.output_record(url, F.col("user_id").cast("string"), F.lit("0"), status, ts, F.col("props"), F.create_map(F.lit("type"), F.col("event_type")))
+    rows = table(spark, sf_dir, "events").select(record.alias("r"), text.rfc3339(ts).alias("stamp"))
+    return rows.select("r.url", "r.domain", "r.status_code", "r.fetched_at", "r.body_size", F.col("r.fields")["field_type"].alias("field_type"), "stamp")
 
 
 @query(
@@ -723,110 +730,5 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-#: Known cases as rows: (case, most, timeout, [(seconds, op, success)], expected state, allowed, rejected). States: 0 closed, 1 open, 2 half-open.
-_BREAKER = [
-    ("closed", 3, 5.0, [(0, "allow", None)], (0, 1, 0)),
-    ("trips", 3, 5.0, [(t, op, ok) for t in (0, 1, 2) for op, ok in (("allow", None), ("record", False))] + [(3, "allow", None)], (1, 3, 1)),
-    ("recovers", 3, 0.05, [(0, op, ok) for _ in range(3) for op, ok in (("allow", None), ("record", False))] + [(0.06, "allow", None), (0.06, "record", True)], (0, 4, 0)),
-    ("one probe", 1, 0.01, [(0, "allow", None), (0, "record", False)] + [(0.02, "allow", None)] * 5000, (2, 2, 4999)),
-    ("failed probe", 1, 0.01, [(0, "allow", None), (0, "record", False), (0.02, "allow", None), (0.02, "record", False)], (1, 2, 0)),
-]
-_LIMITER = [
-    ("start", 5, 100, "", (5, 0, 0, 0)), ("aimd", 2, 100, "s" * 10 + "fff", (2, 0, 0, 0)), ("raised", 2, 100, "s" * 10, (12, 0, 0, 0)), ("cap", 1, 5, "s" * 100, (5, 0, 0, 0)),
-    ("waits", 2, 5, "aaa", (2, 2, 2, 1)), ("released", 2, 5, "aaar", (2, 2, 3, 0)), ("slot of a success", 2, 5, "aaas", (3, 3, 3, 0)), ("over the ceiling", 1, 8, "sssaaaaf", (2, 4, 4, 0)), ("drained", 2, 5, "aarr", (2, 0, 2, 0)),
-]
-_OPS = {"a": "acquire", "r": "release", "s": "success", "f": "failure"}
-
-
-def _rows(rows: list[tuple], names: str) -> str:
-    """SQL of literal rows."""
-    one = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"select * from (values {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
-
-
-@query(f"select name, state::bigint as state, allowed::bigint as allowed, rejected::bigint as rejected from ({_rows([(n, *x) for n, _, _, _, x in _BREAKER], 'name, state, allowed, rejected')})")
-def breaker_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The breaker with requests and results as events of their own."""
-    out = []
-    for name, most, timeout, events, _ in _BREAKER:
-        rows = spark.createDataFrame([(name, i, float(t), op, ok) for i, (t, op, ok) in enumerate(events)], "name string, i int, t double, op string, ok boolean")
-        out.append(metrics.replay(rows, "name", ["i"], ["t", "op", "ok"], folds.breaker_log(F.col("events"), most, timeout)))
-    return reduce(DataFrame.unionByName, out).select("name", "result.state", "result.allowed", "result.rejected")
-
-
-@query(f"select name, ceiling::bigint as ceiling, in_flight::bigint as in_flight, acquired::bigint as acquired, waiting::bigint as waiting from ({_rows([(n, *x) for n, _, _, _, x in _LIMITER], 'name, ceiling, in_flight, acquired, waiting')})")
-def limiter_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adaptive limiter with slots taken and returned."""
-    out = []
-    for name, low, high, ops, _ in _LIMITER:
-        rows = spark.createDataFrame([(name, i, _OPS[op]) for i, op in enumerate(ops)] or [(name, 0, "none")], "name string, i int, op string")
-        out.append(metrics.replay(rows, "name", ["i"], ["op"], folds.limiter_log(F.col("events"), low, high)))
-    return reduce(DataFrame.unionByName, out).select("name", "result.*")
-
-
-_ODD_PAGE = """<a data-href="/no" href="/yes">1</a><!-- <a href="/comment">2</a> --><a href=/bare>3</a><a href="/p?a=1&amp;b=2">4</a><a href="/it's">5</a><A HREF='/upper'>6</A>
-<a href="#top">7</a><a href="javascript:x()">8</a><a href="">9</a><a>10</a><script>"<a href='/script'>"</script><a href="//cdn.c/x">11</a><a href="http://o.c/y">12</a><a href="rel">13</a>"""
-_ODD_LINKS = ["/yes", "/bare", "/p?a=1&b=2", "/it's", "/upper", "//cdn.c/x", "http://o.c/y", "rel"]
-_ODD_RESOLVED = ["https://a.b/yes", "https://a.b/bare", "https://a.b/p?a=1&b=2", "https://a.b/it's", "https://a.b/upper", "https://cdn.c/x", "http://o.c/y", ""]
-
-
-@query(f"select pos::int as pos, href, link from ({_rows([(i, h, r) for i, (h, r) in enumerate(zip(_ODD_LINKS, _ODD_RESOLVED, strict=True))], 'pos, href, link')})")
-def link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of a page with references, comments, unquoted and other attributes."""
-    found = documents.page_links(spark.createDataFrame([("https://a.b/d/e", _ODD_PAGE), ("https://none/", None)], "url string, html string"))
-    return found.select("pos", "href", urls.resolve_link(F.col("url"), F.col("href")).alias("link"))
-
-
-_ROBOTS_CASES = [
-    ("/private/x", "any", False), ("/private/open", "any", True), ("/a.pdf", "any", False), ("/a.pdf?x", "any", True), ("/x/y/secret", "any", False), ("/", "any", True),
-    ("/private/x", "ExampleBot/1.0", True), ("/only", "ExampleBot/1.0", False), ("/only", "examplebotnews", True), ("/news", "examplebotnews", False),
-]
-_ROBOTS_TXT = """User-agent: *
-Disallow: /private
-Allow: /private/open
-Disallow: /*.pdf$
-Disallow: /x/*/secret
-
-User-agent: examplebot
-Disallow: /only
-
-User-agent: ExampleBotNews
-Disallow: /news
-"""
-
-
-@query(_rows(_ROBOTS_CASES, "path, agent, allowed"))
-def robots_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wildcards, ends, longest rules, and agents by their beginning in any case."""
-    from webloom.sources import results
-
-    rules = results.robots_rules(spark.createDataFrame([("a.b", 200, _ROBOTS_TXT)], "domain string, status int, body string"))
-    out = []
-    for agent in dict.fromkeys(a for _, a, _ in _ROBOTS_CASES):
-        rows = spark.createDataFrame([(p, f"https://a.b{p}") for p, a, _ in _ROBOTS_CASES if a == agent], "path string, url string")
-        out.append(joins.allowed(rows, rules, agent).select("path", F.lit(agent).alias("agent"), "allowed"))
-    return reduce(DataFrame.unionByName, out)
-
-
-_DOCUMENTS = [  # url, content type, body, encoding; expected parser, links, error
-    ("rss", "application/rss+xml", "<rss><channel><item><link>http://a/1</link><link> http://a/2 </link></item><item><title>t</title></item></channel></rss>", ("xml", [" http://a/2 "], None)),
-    ("atom", "application/atom+xml", "<feed xmlns='http://www.w3.org/2005/Atom'><entry><link href='http://a/3'/></entry><entry><link>http://a/4</link></entry></feed>", ("xml", ["http://a/4"], None)),
-    ("cells", "text/csv", "a,b\nhttp://c/1,x\n", ("csv", ["http://c/1"], None)),
-    ("uneven", "text/csv", "a,b\nc\n", ("csv", [], "csv: rows of unequal length")),
-    ("plain", "image/png", "http://p/1", ("text", [], None)),
-    ("nested", "application/json", '{"z": "http://j/2", "a": ["http://j/1", {"b": "ftp://x"}]}', ("json", ["http://j/1", "http://j/2"], None)),
-    ("page", "", "<a href='/1'>x</a><a href='#y'>z</a>", ("html", ["/1"], None)),
-]
-
-
-@query(" union all ".join(f"select '{u}' as url, '{p}' as parser, {'[' + ', '.join(repr(x) for x in links) + ']' if links else '[]'}::varchar[] as links, {repr(e) if e else 'null'}::varchar as error" for u, _, _, (p, links, e) in _DOCUMENTS))
-def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds, tables, text and JSON, compressed, through the readers that their types name."""
-    import gzip
-
-    rows = [(u, kind, gzip.compress(body.encode()), " GZip") for u, kind, body, _ in _DOCUMENTS]
-    return documents.parse(spark.createDataFrame(rows, "url string, content_type string, body binary, encoding string")).select("url", "parser", "links", "error")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier_fair_batch(spark, sf_dir)
