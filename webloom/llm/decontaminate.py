@@ -5,10 +5,10 @@ are runs of letters, digits and underscores in lower case. An item is a question
 It counts as leaked by a text that has at least ``SIMILARITY`` of the item's 5-word shingles, or of those of its question alone
 if that has ``QUESTION`` words or more, wherever they stand: question and answer may be far apart.
 
-Passages retrieve items by their longer part. The threshold of each item follows: a text that qualifies lacks at most a fifth of all the
+Passages retrieve items by their longer part. An item may also be scattered over passages, so texts whose passages together may reach an item's threshold (the impacts of its terms
+anywhere in the text, against what all of its shingles but a fifth must leave) are searched as a whole, too; no item that the definition counts is lost. The threshold of each item follows: a text that qualifies lacks at most a fifth of all the
 item's shingles, so the passage with the longer part scores at least that part's own score without the strongest terms that so many shingles
-can take with them (``least_score``). Impacts are divided by the item's threshold, and all items that reach 1 are retrieved. The search
-loses none whose longer part (or question, where that counts alone) is within one passage. Before the search, a passage is skipped if for every
+can take with them (``least_score``). Impacts are divided by the item's threshold, and all items that reach 1 are retrieved. Before the search, a passage is skipped if for every
 item the impacts of the item's essential terms, plus all of its other ones, stay below 1. An item's other terms are its most frequent ones,
 as long as their impacts add up to ``LOW`` at most. What the passages of a
 text retrieve is verified on the shingles of the whole text.
@@ -100,7 +100,8 @@ class Index:
     rare_at: np.ndarray | None = None
     rare_item: np.ndarray | None = None
     rare_impact: np.ndarray | None = None
-    need: np.ndarray | None = None  # what the essential terms must add
+    need: np.ndarray | None = None  # what the essential terms must add in a passage
+    text_need: np.ndarray | None = None  # what they must add in a whole text
     stride: int = 32
 
     @classmethod
@@ -120,7 +121,7 @@ class Index:
                 df[x] += 1
         mean = sum(map(len, words)) / n
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        low = np.zeros(n)
+        low, whole = np.zeros(n), np.zeros(n)
         essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, (w, (_, q, a)) in enumerate(zip(words, rows, strict=True)):
             tf: dict[str, int] = defaultdict(int)
@@ -128,14 +129,15 @@ class Index:
                 tf[x] += 1
             impact = {x: float(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5))) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
 
-            def least(part: list[str], of: set, impact: dict[str, float] = impact) -> float:
+            def least(parts_: list[list[str]], of: set, impact: dict[str, float] = impact) -> float:
                 # a shingle that occurs twice is one of the set but several places
-                again = max(1, len(part) - SHINGLE + 1) - len(shingles(part))
-                return least_score([part], impact, int((1 - SIMILARITY) * len(of) + 1e-9) + again)
+                again = sum(max(1, len(p) - SHINGLE + 1) for p in parts_) - len(set().union(*map(shingles, parts_)))
+                return least_score(parts_, impact, int((1 - SIMILARITY) * len(of) + 1e-9) + again)
 
             longer = max(q, a, key=lambda x: len(shingles(x)))
-            bounds = [least(longer, out.sets[i][0])] + ([least(q, out.sets[i][1])] if out.sets[i][1] else [])
-            bound = max(1e-9, min(bounds) * (1 - 1e-9))
+            alone = [least([q], out.sets[i][1])] if out.sets[i][1] else []
+            bound = max(1e-9, min([least([longer], out.sets[i][0]), *alone]) * (1 - 1e-9))
+            whole[i] = min([least([x for x in (q, a) if x], out.sets[i][0]), *alone]) * (1 - 1e-9) / bound
             for x in sorted(impact, key=lambda x: (-df[x], x)):
                 s = impact[x] / bound
                 postings[x].append((i, s))
@@ -146,7 +148,7 @@ class Index:
         for x, ps in postings.items():
             impacts = [p[1] for p in ps]
             out.lists[x] = ([p[0] for p in ps], impacts, [max(impacts[k : k + POSTINGS]) for k in range(0, len(ps), POSTINGS)], max(impacts))
-        out.need = 1 - low
+        out.need, out.text_need = 1 - low, whole - low
         terms = sorted(essential)
         out.rare = {w: k for k, w in enumerate(terms)}
         out.rare_at = np.concatenate(([0], np.cumsum([len(essential[w]) for w in terms]))).astype(np.int64)
@@ -156,19 +158,32 @@ class Index:
 
     def passages(self, terms: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Blocks b of words such that the passage of blocks b and b + 1 may reach an item's threshold. terms: the essential terms' places; block: theirs."""
+        key, total = self._sums(np.concatenate((terms, terms)), np.concatenate((block, block - 1)))
+        return np.unique(key[total >= self.need[key % len(self.items)]] // len(self.items))
+
+    def texts(self, terms: np.ndarray, text: np.ndarray) -> dict[int, set[int]]:
+        """For each text the items whose threshold it may reach as a whole. terms: the essential terms' places; text: theirs."""
+        n = len(self.items)
+        key, total = self._sums(terms, text)
+        key = key[total >= self.text_need[key % n]]
+        out: dict[int, set[int]] = defaultdict(set)
+        for d, i in zip((key // n).tolist(), (key % n).tolist(), strict=True):
+            out[d].add(i)
+        return out
+
+    def _sums(self, terms: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of impacts for each place and item that share an essential term; as (place x items + item, sum). A term counts once in a place."""
         n, width = len(self.items), max(1, len(self.rare))
-        pairs = np.sort(np.concatenate((block * width + terms, (block - 1) * width + terms)))
-        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: pairs.size]]  # a term counts once in a passage
-        block, terms = pairs // width, pairs % width
+        pairs = np.sort(place * width + terms)
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: pairs.size]]
+        place, terms = pairs // width, pairs % width
         counts = self.rare_at[terms + 1] - self.rare_at[terms]
         entry = np.repeat(self.rare_at[terms] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        key, impact = np.repeat(block, counts) * n + self.rare_item[entry], self.rare_impact[entry]
+        key, impact = np.repeat(place, counts) * n + self.rare_item[entry], self.rare_impact[entry]
         order = np.argsort(key, kind="stable")
         key, impact = key[order], impact[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: key.size])
-        total = np.add.reduceat(impact, starts) if starts.size else impact
-        key = key[starts]
-        return np.unique(key[total >= self.need[key % n]] // n)
+        return key[starts], np.add.reduceat(impact, starts) if starts.size else impact
 
     def search(self, words: set[str]) -> list[int]:
         """All items that reach their threshold with these words: WAND over the inverted lists, with the maxima of blocks."""
@@ -225,13 +240,17 @@ class Index:
             starts.append(at)
             at += 2 + len(words) // self.stride  # an empty block before each text keeps texts apart
         first = np.array(starts)
-        candidates: dict[int, set[int]] = defaultdict(set)
+        candidates: dict[int, set[int]] = defaultdict(set)  # of each text
         for b in self.passages(np.concatenate(terms), np.concatenate(blocks)).tolist():
             d = int(np.searchsorted(first, b, "right")) - 1
             lo = max(0, (b - starts[d] - 1) * self.stride)
             words = docs[d][lo : (b - starts[d] + 1) * self.stride]
             if words and (items := self.search(set(words))):
                 candidates[d].update(items)
+        text = np.repeat(np.arange(len(docs)), [x.size for x in terms])
+        for d, items in self.texts(np.concatenate(terms), text).items():
+            if not items <= candidates[d]:  # scattered over passages, if at all
+                candidates[d].update(items.intersection(self.search(set(docs[d]))))
         for d, items in sorted(candidates.items()):
             wanted = set().union(*(self.sets[i][0] for i in items))
             seen = {x for k in {len(x) for x in wanted} for x in zip(*(islice(docs[d], j, None) for j in range(k))) if x in wanted}

@@ -6,7 +6,8 @@ language's prototype the sum of the normalised profiles of its training texts. A
 the largest cosine with its profile; the mean of the prototypes is taken off first, as it tells no languages apart.
 
 Words are runs of letters in lower case with a blank on each side. Prototypes come from at most ``PER_LANG`` training texts of each language,
-taken by a hash of doc_id (a documented bound; every text is predicted, whole). Memory: vectors of at most ``ROOM`` n-grams are kept.
+taken by a hash of doc_id (a documented bound; every text is predicted, whole). Memory: texts are taken ``WINDOW`` letters at a time, and vectors of at most
+``ROOM`` n-grams are made and kept, so a very long text with ever new n-grams takes no more.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from. Rows with a null lang or
 doc_id teach nothing; a null doc_id counts as not held out. Ties go to the language that sorts first. Repeated rows stay repeated. Other columns
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpoint, chunks
 
-DIM, N, PER_LANG, ROOM = 512, 3, 400, 60_000
+DIM, N, PER_LANG, ROOM = 512, 3, 400, 20_000
+#: Letters of a text that are taken at once.
+WINDOW = 1 << 19
 BROADCAST_BYTES = 16 << 20
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
@@ -44,14 +47,17 @@ class Profiles:
 
     def codes(self, text: str) -> np.ndarray:
         """Code points in lower case, with one blank (32) for each run of what isn't a letter, and at both ends."""
-        c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        letter = np.zeros(c.size, bool)
-        near = c < _LETTER.size
-        letter[near] = _LETTER[c[near]]
-        for i in np.flatnonzero(~near):
-            letter[i] = chr(c[i]).isalpha()
-        c = np.where(letter, c, 32)
-        return c[letter | np.concatenate(([True], letter[:-1]))]
+        low, out, before = " " + text.lower() + " ", [], True
+        for at in range(0, len(low), WINDOW):
+            c = np.frombuffer(low[at : at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+            letter = np.zeros(c.size, bool)
+            near = c < _LETTER.size
+            letter[near] = _LETTER[c[near]]
+            far, where = np.unique(c[~near], return_inverse=True)
+            letter[~near] = np.array([chr(x).isalpha() for x in far.tolist()], bool)[where]
+            out.append(np.where(letter, c, 32).astype(np.uint32)[letter | np.concatenate(([before], letter[:-1]))])
+            before = bool(letter[-1])
+        return np.concatenate(out)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """The places of the n-grams' vectors; keys are sorted and distinct."""
@@ -72,26 +78,33 @@ class Profiles:
             self.keys, self.grams = self.keys[order], self.grams[order]
         return np.searchsorted(self.keys, keys)
 
+    def _bundle(self, key: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+        """Adds the vectors of the n-grams to their texts' rows, at most ROOM n-grams at a time."""
+        grams, column = np.unique(key, return_inverse=True)
+        pairs, counts = np.unique(column * len(out) + text, return_counts=True)  # by n-gram, then text
+        for lo in range(0, grams.size, ROOM):
+            some = grams[lo : lo + ROOM]
+            first, last = np.searchsorted(pairs, [lo * len(out), (lo + some.size) * len(out)])
+            dense = np.zeros((len(out), some.size), np.float32)
+            dense[pairs[first:last] % len(out), pairs[first:last] // len(out) - lo] = counts[first:last]
+            where = self.lookup(some)
+            out += dense @ self.grams[where]
+
     def of(self, texts: list[str | None]) -> np.ndarray:
         """A row of length 1 for each text, or of zeros if it has no letter."""
         codes = [self.codes(t or "") for t in texts]
         sizes = np.array([c.size if c.size > 2 else 0 for c in codes])  # two blanks: no letter
-        flat = np.concatenate([c for c, s in zip(codes, sizes.tolist(), strict=True) if s] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([c for c, s in zip(codes, sizes.tolist(), strict=True) if s] or [np.zeros(0, np.uint32)])
         out = np.zeros((len(texts), self.dim), np.float32)
-        if not flat.size:
-            return out
-        text = np.repeat(np.arange(len(texts)), sizes)
-        key = np.zeros(flat.size - self.n + 1, np.int64)
-        for i in range(self.n):
-            key |= flat[self.n - 1 - i : flat.size - i] << (21 * i)
-        inside = text[: key.size] == text[self.n - 1 :]
-        key, text = key[inside], text[: inside.size][inside]
-        grams, column = np.unique(key, return_inverse=True)
-        pairs, counts = np.unique(text * grams.size + column, return_counts=True)
-        dense = np.zeros((len(texts), grams.size), np.float32)
-        dense[pairs // grams.size, pairs % grams.size] = counts
-        where = self.lookup(grams)
-        out = dense @ self.grams[where]
+        ends = np.cumsum(sizes)
+        for at in range(0, max(0, flat.size - self.n + 1), WINDOW):
+            part = flat[at : at + WINDOW + self.n - 1].astype(np.int64)
+            text = np.searchsorted(ends, np.arange(at, at + part.size), "right")
+            key = np.zeros(part.size - self.n + 1, np.int64)
+            for i in range(self.n):
+                key |= part[self.n - 1 - i : part.size - i] << (21 * i)
+            inside = text[: key.size] == text[self.n - 1 :]
+            self._bundle(key[inside], text[: inside.size][inside], out)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
