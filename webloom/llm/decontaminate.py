@@ -6,7 +6,7 @@ It counts as leaked by a text that has at least ``SIMILARITY`` of the item's 5-w
 if that has ``QUESTION`` words or more, wherever they stand: question and answer may be far apart.
 
 Passages retrieve items by their longer part. An item may also be scattered over passages, so texts whose passages together may reach an item's threshold (the impacts of its terms
-anywhere in the text, against what all of its shingles but a fifth must leave) are searched as a whole, too; no item that the definition counts is lost. The threshold of each item follows: a text that qualifies lacks at most a fifth of all the
+anywhere in the text, against what all of its shingles but a fifth must leave) are verified as a whole, too, first by hashes of their shingles; no item that the definition counts is lost. The threshold of each item follows: a text that qualifies lacks at most a fifth of all the
 item's shingles, so the passage with the longer part scores at least that part's own score without the strongest terms that so many shingles
 can take with them (``least_score``). Impacts are divided by the item's threshold, and all items that reach 1 are retrieved. Before the search, a passage is skipped if for every
 item the impacts of the item's essential terms, plus all of its other ones, stay below 1. An item's other terms are its most frequent ones,
@@ -49,6 +49,15 @@ def shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """63-bit hashes of the runs of k ids."""
+    h = np.zeros(max(0, ids.size - k + 1), np.uint64)
+    for j in range(k):
+        h = (h ^ ids[j : j + h.size].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
 def parts(text: str) -> tuple[list[str], list[str]]:
     """The words of an item's question and of its answer."""
     lines = [WORD.findall(x) for x in text.lower().split("\n")]
@@ -96,13 +105,16 @@ class Index:
     items: list[int]
     sets: list[tuple[set, set]] = field(default_factory=list)  # all shingles, those of a question that counts alone
     lists: dict[str, tuple[list[int], list[float], list[float], float]] = field(default_factory=dict)  # items, impacts, maxima of blocks and of all
-    rare: dict[str, int] = field(default_factory=dict)
+    terms: dict[str, int] = field(default_factory=dict)  # numbers of all terms
+    rare: np.ndarray | None = None  # the place among essential terms of each, or -1
     rare_at: np.ndarray | None = None
     rare_item: np.ndarray | None = None
     rare_impact: np.ndarray | None = None
     need: np.ndarray | None = None  # what the essential terms must add in a passage
     text_need: np.ndarray | None = None  # what they must add in a whole text
     stride: int = 32
+    tables: dict[int, tuple] = field(default_factory=dict)  # by length of a shingle: hashes, marks of their first bits, where each one's items begin, and these (twice the item, and 1 if in its question)
+    sizes: np.ndarray | None = None  # shingles of the whole and of the question
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index:
@@ -150,30 +162,67 @@ class Index:
             out.lists[x] = ([p[0] for p in ps], impacts, [max(impacts[k : k + POSTINGS]) for k in range(0, len(ps), POSTINGS)], max(impacts))
         out.need, out.text_need = 1 - low, whole - low
         terms = sorted(essential)
-        out.rare = {w: k for k, w in enumerate(terms)}
+        out.terms = {w: k for k, w in enumerate(sorted(postings))}
+        out.rare = np.full(len(out.terms) + 1, -1, np.int64)  # the last is for words that are no term
+        out.rare[[out.terms[w] for w in terms]] = np.arange(len(terms))
         out.rare_at = np.concatenate(([0], np.cumsum([len(essential[w]) for w in terms]))).astype(np.int64)
         flat = [p for w in terms for p in essential[w]]
         out.rare_item, out.rare_impact = np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat])
+        out.number_shingles()
         return out
 
+    def number_shingles(self) -> None:
+        """Tables, by length, of the hashes of the items' shingles, and the items of each."""
+        of: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, (whole, question) in enumerate(self.sets):
+            for g in whole:
+                h = int(_hashes(np.array([self.terms[w] for w in g], np.int64), len(g))[0])
+                of[len(g)][h].append(2 * i + (g in question))
+        self.tables = {}
+        for k, found in of.items():
+            hashes = np.array(sorted(found), np.int64)
+            marks = np.zeros(1 << 20, bool)
+            marks[hashes >> 43] = True
+            lists = [found[h] for h in hashes.tolist()]
+            self.tables[k] = (hashes, marks, np.concatenate(([0], np.cumsum(list(map(len, lists))))), np.array([x for y in lists for x in y], np.int64))
+        self.sizes = np.array([[len(w), len(q) or LAST] for w, q in self.sets])
+
+    def likely(self, ids: np.ndarray, text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Those of the wanted pairs (text x items + item) that have enough shingles, by their hashes. ids: the terms of whole texts, one behind the other; text: theirs."""
+        n, pairs = len(self.items), []
+        for k, (hashes, marks, at, items) in self.tables.items():
+            if ids.size < k:
+                continue
+            h = _hashes(ids, k)
+            hit = np.flatnonzero(marks[h >> 43] & (text[: h.size] == text[k - 1 :]))
+            place = np.minimum(np.searchsorted(hashes, h[hit]), hashes.size - 1)
+            same = hashes[place] == h[hit]
+            # a shingle counts once in a text
+            both = np.unique(text[hit[same]] * hashes.size + place[same])
+            where, place = both // hashes.size, both % hashes.size
+            counts = at[place + 1] - at[place]
+            entry = np.repeat(at[place] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            pairs.append(np.repeat(where, counts) * 2 * n + items[entry])
+        found, times = np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)]), return_counts=True)
+        key, question = found // 2, found % 2
+        whole = np.bincount(np.searchsorted(wanted, key[np.isin(key, wanted)]), times[np.isin(key, wanted)], wanted.size)
+        alone = np.bincount(np.searchsorted(wanted, key[np.isin(key, wanted)]), (times * question)[np.isin(key, wanted)], wanted.size)
+        sizes = self.sizes[wanted % n]
+        return wanted[(whole >= (SIMILARITY - 1e-9) * sizes[:, 0]) | (alone >= (SIMILARITY - 1e-9) * sizes[:, 1])]
+
     def passages(self, terms: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Blocks b of words such that the passage of blocks b and b + 1 may reach an item's threshold. terms: the essential terms' places; block: theirs."""
         key, total = self._sums(np.concatenate((terms, terms)), np.concatenate((block, block - 1)))
         return np.unique(key[total >= self.need[key % len(self.items)]] // len(self.items))
 
-    def texts(self, terms: np.ndarray, text: np.ndarray) -> dict[int, set[int]]:
-        """For each text the items whose threshold it may reach as a whole. terms: the essential terms' places; text: theirs."""
-        n = len(self.items)
+    def texts(self, terms: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The pairs (text x items + item), sorted, such that the text may reach the item's threshold as a whole. terms: the essential terms' places; text: theirs."""
         key, total = self._sums(terms, text)
-        key = key[total >= self.text_need[key % n]]
-        out: dict[int, set[int]] = defaultdict(set)
-        for d, i in zip((key // n).tolist(), (key % n).tolist(), strict=True):
-            out[d].add(i)
-        return out
+        return key[total >= self.text_need[key % len(self.items)]]
 
     def _sums(self, terms: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of impacts for each place and item that share an essential term; as (place x items + item, sum). A term counts once in a place."""
-        n, width = len(self.items), max(1, len(self.rare))
+        n, width = len(self.items), max(1, len(self.rare_at))
         pairs = np.sort(place * width + terms)
         pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: pairs.size]]
         place, terms = pairs // width, pairs % width
@@ -230,10 +279,12 @@ class Index:
         if not self.items:
             return
         docs = [WORD.findall((t or "").lower()) for t in texts]
-        get, none = self.rare.get, repeat(-1)
-        starts, at, terms, blocks = [], 0, [], []
+        get, none = self.terms.get, repeat(-1)
+        starts, at, terms, blocks, numbers = [], 0, [], [], []
         for words in docs:
-            found = np.fromiter(map(get, words, none), np.int64, len(words))
+            ids = np.fromiter(map(get, words, none), np.int64, len(words))
+            numbers.append(ids)
+            found = self.rare[ids]
             hit = np.flatnonzero(found >= 0)
             terms.append(found[hit])
             blocks.append(at + 1 + hit // self.stride)
@@ -247,10 +298,14 @@ class Index:
             words = docs[d][lo : (b - starts[d] + 1) * self.stride]
             if words and (items := self.search(set(words))):
                 candidates[d].update(items)
-        text = np.repeat(np.arange(len(docs)), [x.size for x in terms])
-        for d, items in self.texts(np.concatenate(terms), text).items():
-            if not items <= candidates[d]:  # scattered over passages, if at all
-                candidates[d].update(items.intersection(self.search(set(docs[d]))))
+        # items scattered over passages
+        n = len(self.items)
+        wanted = self.texts(np.concatenate(terms), np.repeat(np.arange(len(docs)), [x.size for x in terms]))
+        some = np.unique(wanted // n)
+        if some.size:
+            ids, text = np.concatenate([numbers[d] for d in some.tolist()]), np.repeat(some, [numbers[d].size for d in some.tolist()])
+            for x in self.likely(ids, text, wanted).tolist():
+                candidates[x // n].add(x % n)
         for d, items in sorted(candidates.items()):
             wanted = set().union(*(self.sets[i][0] for i in items))
             seen = {x for k in {len(x) for x in wanted} for x in zip(*(islice(docs[d], j, None) for j in range(k))) if x in wanted}
