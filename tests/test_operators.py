@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.engine import Engine, RequestError
-from webloom.functions import folds
+from webloom.functions import folds, machines
 from webloom.operators import frontier, graph, joins, metrics
 from webloom.streaming import stateful
 
@@ -40,7 +40,7 @@ def test_breaker(spark):
 
 
 def test_cache(spark):
-    run = lambda times, ttl: fold(spark, [(t,) for t in times], "t double", lambda e: folds.cache_outcomes(e, ttl))
+    run = lambda times, ttl: [o for (o,) in machines.cache_outcomes(ttl).advance((None, 0, 0, 0), times)[1]]
     assert run([0.0, 0.0, 0.085], 0.1) == ["miss", "hit", "stale_revalidate"]
     assert run([0.0, 0.06], 0.05) == ["miss", "miss"]
 

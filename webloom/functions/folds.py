@@ -1,7 +1,7 @@
 """Ordered folds over the events of a key, as column expressions on a sorted array of structs.
 
-The array of a key holds its events only as the fields that a fold needs. Keys with more events than fit into one row
-belong in the stateful operators of webloom.streaming, which keep the same state between batches.
+The array of a key holds its events only as the fields that a fold needs: for short histories. Keys of any size are folded by operators.replay and webloom.streaming,
+with the machines of functions.machines.
 """
 
 from __future__ import annotations
@@ -98,50 +98,20 @@ def limiter_log(events: Column, low: int, high: int) -> Column:
     return F.aggregate(events, zero, step)
 
 
-def cache_outcomes(events: Column, ttl_s: float) -> Column:
-    """For each lookup of a host (field t, seconds) hit, stale_revalidate or miss; after 80 % of ttl_s the entry is renewed at once. For counts alone see cache_counts."""
-    zero = F.struct(F.lit(None).cast("double").alias("loaded"), F.array().cast("array<string>").alias("out"))
+def recrawl(events: Column, ttl_s: float = MAX_INTERVAL) -> Column:
+    """(last, ema): last change and re-crawl interval, in seconds, after events (t, changed), as machines.recrawl has them: either is forgotten ttl_s after it was set."""
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("double").alias("ema"), F.lit(None).cast("long").alias("set_at"))
 
     def step(a: Column, e: Column) -> Column:
-        live = a["loaded"].isNotNull() & (e["t"] - a["loaded"] < ttl_s)
-        stale = live & (e["t"] - a["loaded"] > ttl_s * 0.8)
-        outcome = F.when(stale, "stale_revalidate").when(live, "hit").otherwise("miss")
-        return F.struct(F.when(live & ~stale, a["loaded"]).otherwise(e["t"]).alias("loaded"), F.concat(a["out"], F.array(outcome)).alias("out"))
-
-    return F.aggregate(events, zero, step, lambda a: a["out"])
-
-
-def cache_counts(events: Column, ttl_s: float) -> Column:
-    """(hit, stale_revalidate, miss): how many lookups of a host had each outcome; linear in their number."""
-    number = F.lit(0).cast("long")
-    zero = F.struct(F.lit(None).cast("double").alias("loaded"), number.alias("hit"), number.alias("stale_revalidate"), number.alias("miss"))
-
-    def step(a: Column, e: Column) -> Column:
-        live = a["loaded"].isNotNull() & (e["t"] - a["loaded"] < ttl_s)
-        stale = live & (e["t"] - a["loaded"] > ttl_s * 0.8)
+        live = F.coalesce(e["t"] - a["set_at"] < ttl_s, F.lit(False))
+        first = F.coalesce(e["t"] - a["last"] >= ttl_s, F.lit(True))
+        seen = (e["t"] - a["last"]).cast("double")
+        mean = F.lit(ALPHA) * seen + F.lit(1 - ALPHA) * F.when(live, a["ema"]).otherwise(seen)
+        changed = F.when(first, F.lit(FIRST_INTERVAL)).otherwise(F.bround(F.least(F.greatest(mean, F.lit(MIN_INTERVAL)), F.lit(MAX_INTERVAL)), 0))
+        same = F.when(live, F.bround(F.least(a["ema"] * 1.2, F.lit(MAX_INTERVAL)), 0)).otherwise(a["ema"])
         return F.struct(
-            F.when(live & ~stale, a["loaded"]).otherwise(e["t"]).alias("loaded"), (a["hit"] + (live & ~stale).cast("long")).alias("hit"),
-            (a["stale_revalidate"] + stale.cast("long")).alias("stale_revalidate"), (a["miss"] + (~live).cast("long")).alias("miss"),
+            F.when(e["changed"], e["t"]).otherwise(a["last"]).alias("last"), F.when(e["changed"], changed).otherwise(same).alias("ema"),
+            F.when(e["changed"] | live, e["t"]).otherwise(a["set_at"]).alias("set_at"),
         )
 
-    return F.aggregate(events, zero, step)
-
-
-def recrawl(events: Column) -> Column:
-    """(last, ema): last change and re-crawl interval, in seconds, after events (t, changed); the interval is stored in whole seconds.
-
-    The first event sets a day. A change takes 0.3 of the time since the last one, within five minutes and thirty days; no change adds a fifth.
-    A change that comes thirty days or more after the last one finds its state expired and is a first event again.
-    """
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("double").alias("ema"))
-
-    def step(a: Column, e: Column) -> Column:
-        seen = F.lit(ALPHA) * (e["t"] - a["last"]).cast("double") + F.lit(1 - ALPHA) * a["ema"]
-        changed = F.bround(F.least(F.greatest(seen, F.lit(MIN_INTERVAL)), F.lit(MAX_INTERVAL)), 0)
-        same = F.bround(F.least(a["ema"] * 1.2, F.lit(MAX_INTERVAL)), 0)
-        first = a["last"].isNull() | (e["changed"] & (e["t"] - a["last"] >= MAX_INTERVAL))
-        last = F.when(first | e["changed"], e["t"]).otherwise(a["last"])
-        ema = F.when(first, F.lit(FIRST_INTERVAL)).when(e["changed"], changed).otherwise(same)
-        return F.struct(last.alias("last"), ema.alias("ema"))
-
-    return F.aggregate(events, zero, step)
+    return F.aggregate(events, zero, step, lambda a: F.struct(a["last"].alias("last"), a["ema"].alias("ema")))
