@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import frontier as frontiers
 from webloom.operators import joins
-from webloom.session import new_folder
+from webloom.session import checkpoint, new_folder
 
 RESULTS = "url string, step int, outcome string, reason string"
 FRONTIER = "url string, score double"
@@ -37,9 +37,9 @@ def finished_steps(spark: SparkSession, folder: str) -> int:
 
 
 def decided(batch: DataFrame, pages: DataFrame, robots: DataFrame | None, agent: str) -> DataFrame:
-    """url, outcome (crawled or dropped), reason for each url of a batch: robots forbid it, there is no snapshot of it, or the snapshot is an error (its text)."""
-    known = pages.select(F.col("url").alias("__page"), F.lit(True).alias("__there"), (F.col("error") if "error" in pages.columns else F.lit(None).cast("string")).alias("__error"))
-    rows = batch.join(known.dropDuplicates(["__page"]), F.col("url") == F.col("__page"), "left")
+    """url, outcome (crawled or dropped), reason for each url of a batch (pages: url, once each, and error): robots forbid it, there is no snapshot of it, or the snapshot is an error (its text)."""
+    known = pages.select(F.col("url").alias("__page"), F.lit(True).alias("__there"), F.col("error").alias("__error"))
+    rows = batch.join(known, F.col("url") == F.col("__page"), "left")
     rows = joins.allowed(rows, robots, agent) if robots is not None else rows.withColumn("allowed", F.lit(True))
     reason = F.when(~F.col("allowed"), "robots").when(F.col("__there").isNull(), "missing").when(F.col("__error").isNotNull(), F.concat(F.lit("fetch: "), "__error"))
     return rows.select("url", F.when(reason.isNull(), "crawled").otherwise("dropped").alias("outcome"), reason.alias("reason"))
@@ -57,6 +57,10 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, robots: DataFram
         first = seeds.select(F.col("url"), F.lit(IMPORTANCE).alias("score")).where("url is not null").distinct()
         first.write.mode("overwrite").parquet(f"{folder}/step=0/frontier")
     step = done = finished_steps(spark, folder)
+    # what every step reads is worked out once
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    pages = checkpoint(pages.select("url", error.alias("error")).dropDuplicates(["url"]))
+    robots = None if robots is None else checkpoint(robots)
     while most_steps is None or step < done + most_steps:
         frontier = _read(spark, FRONTIER, [f"{folder}/step={step}/frontier"])
         if frontier.isEmpty():

@@ -524,7 +524,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"""with recursive p as (select page_id, url, case when contains(url, '/de/') then 'robots' when page_id % 10 = 3 then 'missing' when page_id % 10 = 1 then 'fetch: timeout' end as reason from pages),
-    l as (select distinct page_id, (page_id * 13 + length(href) * 37) % (select count(*) from pages) as dst from (select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*"([^"]*)"', 1, 'is')) as href from pages) where href <> '' and href not like '#%' and href not like 'javascript:%'),
+    l as (select distinct page_id, (page_id * 13 + length(href) * 37) % (select count(*) from pages) as dst from (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1, 'is')) as href from pages) where href <> '' and href not like '#%' and href not like 'javascript:%'),
     r as (select page_id from p where page_id < 3 union select l.dst from r join p on p.page_id = r.page_id and p.reason is null join l on l.page_id = r.page_id)
     select url, case when reason is null then 'crawled' else 'dropped' end as outcome, reason from r join p using (page_id)"""
 )
