@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from webloom.llm import html_text
 from webloom.llm.common import table
 
@@ -33,10 +35,32 @@ def test_tables_have_templates(spark):
     found = html_text.parsed(pages)
     gone = html_text.templates(found).collect()
     assert gone and all(r["n"] >= html_text.MIN_PAGES for r in gone)
+    n, by_template, by_structure = html_text.deletions(pages).agg(F.sum("n_blocks"), F.sum("by_template"), F.sum("by_structure")).first()
+    assert by_template > 1000 and by_template + by_structure < n
+
+
+def test_templates_go_before_the_main_part_is_chosen(spark):
+    """A recurring article element with a teaser doesn't hide the main element, and a recurring menu without marks goes from within an article."""
+    teaser = "<div><article>Subscribe to us today</article></div>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{teaser}<main><p>{'the tale of number ' * 8}{i}</main></body>") for i in range(9)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<body><article><p>story {i} {'goes on ' * 9}</p>{MENU}</article></body>") for i in range(9)]
+    with_it = {r["page_id"]: r["text"] for r in html_text.texts(frame(spark, rows)).collect()}
+    without = {r["page_id"]: r["text"] for r in html_text.texts(frame(spark, rows), min_pages=100).collect()}
+    assert [with_it[i] for i in range(9)] == ["the tale of number " * 8 + str(i) for i in range(9)]
+    assert [with_it[20 + i] for i in range(9)] == [f"story {i} {'goes on ' * 9}".strip() for i in range(9)]
+    assert without[3] == "Subscribe to us today" and without[23].endswith("Call us any day")
+
+
+def test_lists_of_templates_beyond_the_broadcast(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    sets = [html_text.judged(pages, min_pages=2, broadcast_bytes=n).orderBy("page_id").collect() for n in (0, 1 << 20)]
+    assert sets[0] == sets[1] and any(x < 0 for r in sets[0] for x in r["levels"])
 
 
 def text_of(html):
-    return "\n".join(html_text.Page(html).main()[0])
+    page = html_text.Page(html)
+    levels = page.levels()
+    return "\n".join(b for b, x in zip(page.blocks, levels, strict=True) if x == max(levels) > 0)
 
 
 def test_nothing_else_is_dropped():
@@ -57,5 +81,6 @@ def test_hostile_pages_are_linear():
     ]
     for html in pages:
         began = time.thread_time()
-        html_text.Page(html).main()
+        page = html_text.Page(html)
+        page.parts(page.main(page.levels()))
         assert time.thread_time() - began < 8, html[:20]

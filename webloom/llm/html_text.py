@@ -1,15 +1,18 @@
 """Main text of web pages, with site template removal.
 
-One pass over the tags of a page, linear in its length whatever its tags, finds its blocks of text and a hash of each container element's subtree (its tag and,
-in order, its text and the hashes of its children; menus, headers and footers included).
+One pass over the tags of a page, linear in its length whatever its tags, finds all its blocks of text, menus, headers and footers included, and a hash of each
+container element's subtree (its tag and, in order, its text and the hashes of its children).
 
 1. Site templates: the hashes are counted per host in Spark, over distinct main texts, so that copies of a page count once. A subtree that recurs on at
-   least ``MIN_PAGES`` main texts of its host, and on ``SHARE`` of them or on ``MANY``, is deleted wherever it stands. Paragraphs, headings and other text blocks are
-   no containers, and a subtree with ``BODY`` of a page's main text or more is never a template there, so articles that share passages or bodies stay whole.
-2. What doesn't recur is judged by structure: if there is an article (else a main) element, only what stands in it counts. Scripts, styles, forms and elements
+   least ``MIN_PAGES`` main texts of its host, and on ``SHARE`` of them or on ``MANY``, is deleted from the whole page wherever it stands. Paragraphs, headings and other text
+   blocks are no containers, and a subtree with ``BODY`` of a page's main text or more is never a template there, so articles that share passages or bodies stay whole.
+2. Only what is left is judged by structure: if an article (else a main) element still has text, only what stands in it counts. Forms and elements
    whose tag, role, class or id marks a menu, header, footer, sidebar, notice, advert or reader comments are left out. A class or id word counts as such
    a mark only if all of its parts are marks or words for parts of a layout: related-posts is one, related-work is not.
 
+Scripts, styles and the like are no text at all. The main text that counts and guards in step 1 is the innermost part by structure that holds ``PART`` of what isn't marked,
+so a short recurring article element doesn't stand for the page.
+
 Nulls: a null or empty html has an empty text; a null url or one without :// has the host ''. A null page_id stays null. Repeated rows stay
 repeated. Very long pages are read whole. An empty table gives no rows. Other columns are ignored.
 """
@@ -18,8 +21,9 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpoint, chunks, lean, stored
 
-MIN_PAGES, SHARE, MANY, BODY = 5, 0.02, 50, 0.8
+MIN_PAGES, SHARE, MANY, BODY, PART = 5, 0.02, 50, 0.8, 0.25
 BROADCAST_BYTES = 16 << 20
 
 #: Possessive, and a quote that is never closed stands for itself: so a tag only fails to match if no > follows at all.
@@ -91,10 +95,11 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Page:
-    """Blocks of text that structure doesn't leave out, spans of blocks of article and main elements, and the containers: (hash, first block, end), with text or not."""
+    """Blocks of text, whether structure leaves each out, spans of blocks of article and main elements, and the containers with text: (hash, first block, end)."""
 
     def __init__(self, html: str) -> None:
         self.blocks: list[str] = []
+        self.marked: list[bool] = []
         self.containers: list[tuple[int, int, int]] = []
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
@@ -125,7 +130,8 @@ class Page:
         self._flush()
 
     def _add(self, text: str) -> None:
-        (self._gone if self._out else self._text).append(text)
+        if not self._raw:
+            (self._gone if self._out else self._text).append(text)
 
     def _flush(self) -> None:
         for held in (self._text, self._gone):
@@ -134,9 +140,9 @@ class Page:
             text = "".join(held)
             text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if text:
-                if held is self._text:
-                    self.blocks.append(text)
-                if self._stack and not self._raw:
+                self.blocks.append(text)
+                self.marked.append(held is self._gone)
+                if self._stack:
                     self._stack[-1][3].append(xxhash.xxh3_64_intdigest(text))
             held.clear()
 
@@ -196,21 +202,29 @@ class Page:
             elif tag == "main":
                 self.mains.append((first, len(self.blocks)))
 
-    def main(self) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """The blocks of the main part, and all containers by the places of these blocks: from lo to hi, which are equal where none of them is in it."""
-        spans = self.articles or self.mains or [(0, len(self.blocks))]
-        blocks: list[str] = []
-        place = []  # of each block among those of the main part
-        for lo, hi in spans:
-            place += [len(blocks)] * (lo - len(place))
-            place += range(len(blocks), len(blocks) + hi - lo)
-            blocks += self.blocks[lo:hi]
-        place += [len(blocks)] * (len(self.blocks) + 1 - len(place))
+    def levels(self) -> list[int]:
+        """Of each block: 3 in an article, 2 in a main element, 1 elsewhere, 0 where it is left out."""
+        level = [1] * len(self.blocks)
+        for value, spans in ((2, self.mains), (3, self.articles)):
+            for lo, hi in spans:
+                level[lo:hi] = [value] * (hi - lo)
+        return [0 if out else x for x, out in zip(level, self.marked, strict=True)]
+
+    def main(self, levels: list[int]) -> list[bool]:
+        """Whether each block counts as main text before templates are known."""
+        sizes = [0] * 4
+        for block, level in zip(self.blocks, levels, strict=True):
+            sizes[level] += len(block)
+        above = [sum(sizes[x:]) for x in range(4)]
+        least = max((x for x in (1, 2, 3) if above[x] and above[x] >= PART * above[1]), default=1)
+        return [x >= least for x in levels]
+
+    def parts(self, own: list[bool]) -> list[tuple[int, int, int]]:
+        """The containers without those that hold BODY of the page's main text."""
         sizes = [0]
-        for x in blocks:
-            sizes.append(sizes[-1] + len(x))
-        found = ((h, place[lo], place[hi]) for h, lo, hi in self.containers)
-        return blocks, [(h, lo, hi) for h, lo, hi in found if lo == hi or sizes[hi] - sizes[lo] < BODY * sizes[-1]]
+        for block, mine in zip(self.blocks, own, strict=True):
+            sizes.append(sizes[-1] + len(block) * mine)
+        return [(h, lo, hi) for h, lo, hi in self.containers if sizes[hi] == sizes[lo] or sizes[hi] - sizes[lo] < BODY * sizes[-1]]
 
 
 def host(url: F.Column) -> F.Column:
@@ -219,23 +233,30 @@ def host(url: F.Column) -> F.Column:
     return F.coalesce(F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
+_CONTAINERS = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_PARSED = "page_id long, url string, host string, content long, page long, blocks array<string>, levels array<tinyint>, containers array<struct<h:bigint,lo:int,hi:int>>"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, content, blocks, containers (h, lo, hi): a row per row of pages."""
-    container = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+    """page_id, url, host, content and page (hashes of the main text and of all that was found), blocks, levels, containers (h, lo, hi): a row per row of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 3, 4 << 20):
-            blocks, containers, contents = [], [], []
+            found: list[tuple] = []
             for html in batch.column(3).to_pylist():
-                own, spans = Page(html or "").main()
-                blocks.append(own)
-                containers.append([{"h": h, "lo": lo, "hi": hi} for h, lo, hi in spans])
-                contents.append(xxhash.xxh3_64_intdigest("\n".join(own)) - (1 << 63))
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(contents, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(containers, container)]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "content", "blocks", "containers"])
+                page = Page(html or "")
+                levels = page.levels()
+                own = page.main(levels)
+                spans = page.parts(own)
+                content = xxhash.xxh3_64_intdigest("\n".join([b for b, mine in zip(page.blocks, own, strict=True) if mine]))
+                whole = xxhash.xxh3_64_intdigest(f"{content} {levels} {spans}")
+                found.append((content - (1 << 63), whole - (1 << 63), page.blocks, levels, [{"h": h, "lo": lo, "hi": hi} for h, lo, hi in spans]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int8()), _CONTAINERS)
+            columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], [c.split()[0] for c in _PARSED.split(", ")])
 
     ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
-    return ready.mapInArrow(lean(run), "page_id long, url string, host string, content long, blocks array<string>, containers array<struct<h:bigint,lo:int,hi:int>>")
+    return ready.mapInArrow(lean(run), _PARSED)
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
@@ -246,14 +267,58 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     return often.join(total, "host").where((F.col("n") >= share * F.col("contents")) | (F.col("n") >= many)).select("host", "h", "n")
 
 
+def _after(levels: pa.ListArray, containers: pa.ListArray, recurs: Callable[[int, np.ndarray], np.ndarray]) -> pa.Array:
+    """levels with -1 for blocks in containers whose hashes recur; recurs(row, hashes)."""
+    out = []
+    for row, (level, held) in enumerate(zip(levels, containers, strict=True)):
+        left = level.values.to_numpy().copy()
+        parts = held.values
+        if left.size and len(parts):
+            h, lo, hi = (parts.field(i).to_numpy() for i in range(3))
+            gone = recurs(row, h)
+            edges = np.zeros(left.size + 1, np.int64)
+            np.add.at(edges, lo[gone], 1)
+            np.add.at(edges, hi[gone], -1)
+            left[np.cumsum(edges[:-1]) > 0] = -1
+        out.append(left)
+    return pa.array(out, pa.list_(pa.int8()))
+
+
+def judged(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, blocks, levels: all blocks of a page with the levels of Page.levels, and -1 for those that went with a template; a row per row of pages."""
+    found = stored(parsed(pages))
+    recurring = checkpoint(templates(found, min_pages, share, many).select("host", "h"))
+    size = recurring.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= broadcast_bytes:
+        by_host = {r["host"]: np.array(r["hs"], np.int64) for r in recurring.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("hs")).collect()}
+        sent = pages.sparkSession.sparkContext.broadcast(by_host)
+
+        @F.arrow_udf("array<tinyint>")
+        def left(host: pa.Array, levels: pa.Array, containers: pa.Array) -> pa.Array:
+            hosts, none = host.to_pylist(), np.zeros(0, np.int64)
+            return _after(levels, containers, lambda row, h: np.isin(h, sent.value.get(hosts[row], none)))
+
+        return found.select("page_id", "url", "blocks", left("host", "levels", "containers").alias("levels"))
+    own = found.select("host", "page", F.explode("containers.h").alias("h")).distinct().join(recurring, ["host", "h"])
+    lists = own.groupBy("host", "page").agg(F.collect_list("h").alias("hs"))  # no longer than a page's containers
+
+    @F.arrow_udf("array<tinyint>")
+    def left_by_list(levels: pa.Array, containers: pa.Array, hs: pa.Array) -> pa.Array:
+        return _after(levels, containers, lambda row, h: np.isin(h, hs[row].values.to_numpy()) if hs[row].is_valid else np.zeros(h.size, bool))
+
+    return found.join(lists, ["host", "page"], "left").select("page_id", "url", "blocks", left_by_list("levels", "containers", "hs").alias("levels"))
+
+
 def texts(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars: a row per row of pages."""
-    found = stored(parsed(pages))
-    spans = found.select("host", "content", F.inline("containers")).where("lo < hi").distinct()  # others hold nothing of a main text
-    gone = spans.join(templates(found, min_pages, share, many), ["host", "h"]).groupBy("host", "content").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    gone = checkpoint(gone)
-    size = gone.agg(F.coalesce(F.sum(F.octet_length("host") + 8 * F.size("gone") + 32), F.lit(0)).alias("bytes")).first()["bytes"]
-    side = F.broadcast(gone) if size <= BROADCAST_BYTES else gone  # else the pages are shuffled to their lists
-    kept = F.filter("blocks", lambda b, i: ~F.exists("gone", lambda g: (i >= g["lo"]) & (i < g["hi"])))
-    text = F.concat_ws("\n", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(kept))
-    return found.join(side, ["host", "content"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = judged(pages, min_pages, share, many).withColumn("top", F.array_max("levels"))
+    text = F.concat_ws("\n", F.filter("blocks", lambda b, i: (F.col("top") > 0) & (F.get("levels", i) == F.col("top"))))
+    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def deletions(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """page_id, n_blocks, by_template, by_structure: how many of a page's blocks are left out by either step."""
+    found = judged(pages, min_pages, share, many).withColumn("top", F.greatest(F.array_max("levels"), F.lit(1)))
+    count = lambda keep: F.size(F.filter("levels", keep)).cast("long")
+    by_structure = count(lambda x: (x >= 0) & (x != F.coalesce("top", F.lit(1))))
+    return found.select("page_id", F.size("blocks").cast("long").alias("n_blocks"), count(lambda x: x < 0).alias("by_template"), by_structure.alias("by_structure"))
