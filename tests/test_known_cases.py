@@ -8,7 +8,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions import folds, urls
+from webloom.functions import folds, machines, urls
 from webloom.operators import joins, metrics
 from webloom.sources import documents, results
 
@@ -63,6 +63,8 @@ def test_breaker(spark, case):
     rows = spark.createDataFrame([(name, i, float(t), op, ok) for i, (t, op, ok) in enumerate(events)], "name string, i int, t double, op string, ok boolean")
     found = metrics.replay(rows, "name", ["i"], ["t", "op", "ok"], folds.breaker_log(F.col("events"), most, timeout)).select("result.state", "result.allowed", "result.rejected")
     assert tuple(found.first()) == want
+    state, _ = machines.breaker_log(most, timeout).advance((0, 0, 0.0, 0, 0), *zip(*events, strict=True)) if events else ((0, 0, 0.0, 0, 0), [])
+    assert (state[0], *state[3:]) == want
 
 
 def test_limiter(spark):
@@ -70,6 +72,8 @@ def test_limiter(spark):
     for name, low, high, ops, want in _LIMITER:
         rows = spark.createDataFrame([(name, i, _OPS[op]) for i, op in enumerate(ops)] or [(name, 0, "none")], "name string, i int, op string")
         assert tuple(metrics.replay(rows, "name", ["i"], ["op"], folds.limiter_log(F.col("events"), low, high)).select("result.*").first()) == want, name
+        fold = machines.limiter_log(low, high)
+        assert fold.advance(fold.start, [_OPS[op] for op in ops])[0] == want, name
 
 
 def test_links(spark):

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from webloom.functions import machines
-from webloom.operators import replay
+from webloom.functions import folds, machines
+from webloom.operators import metrics, replay
 
 SCHEMA = "key long, t double, n long, ok boolean, ms double, changed boolean, found boolean, allow boolean"
 FOLDS = {
@@ -73,3 +74,17 @@ def test_tracker_forgets():
     assert run((0, True), (50, False), (120, True)) == (120, 86400.0, 120)  # the last change is forgotten, the interval isn't: a first change
     assert run((0, True), (99, True)) == (99, 60510.0, 99)
     assert fold.advance((0, None, None), [99], [True])[0] == (99, 300.0, 99)  # without an interval the time since the last change counts
+
+
+def test_logs_in_many_blocks(spark):
+    """Requests and results of a key that fills several blocks, as the column folds over its whole history give them."""
+    dice = random.Random(8)
+    rows = [("hot" if i % 3 else f"k{i % 5}", i, i * 0.7, dice.choice(["allow", "record"]), dice.random() < 0.4, dice.choice(["acquire", "release", "success", "failure"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, i int, t double, op string, ok boolean, slot string").repartition(5)
+    got = replay.replay(df, "key", ["t", "i"], machines.breaker_log(2, 5.0), blocks=6).drop("failed_at")
+    want = metrics.replay(df, "key", ["t", "i"], ["t", "op", "ok"], folds.breaker_log(F.col("events"), 2, 5.0)).select("key", "result.state", "result.failures", "result.allowed", "result.rejected")
+    assert sorted(got.collect()) == sorted(want.collect())
+    slots = df.select("key", "i", F.col("slot").alias("op"))
+    got = replay.replay(slots, "key", ["i"], machines.limiter_log(2, 6), blocks=6)
+    want = metrics.replay(slots, "key", ["i"], ["op"], folds.limiter_log(F.col("events"), 2, 6)).select("key", "result.*")
+    assert sorted(got.collect()) == sorted(want.collect())

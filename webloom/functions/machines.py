@@ -76,6 +76,49 @@ def breaker(most: int = 5, timeout_s: float = 30.0) -> Fold:
     return Fold(("t", "ok"), "state long, failures long, failed_at double, allowed long, rejected long", (0, 0, 0.0, 0, 0), advance)
 
 
+def breaker_log(most: int = 5, timeout_s: float = 30.0) -> Fold:
+    """Circuit breaker whose requests and results are events of their own: t (seconds), op (allow or record) and ok (of a record).
+
+    An open breaker lets one probe through after the timeout and is half-open then: until a result is recorded, all others are rejected.
+    """
+
+    def advance(state: tuple, t: Sequence, op: Sequence, ok: Sequence) -> tuple:
+        now, failures, failed_at, allowed, rejected = state
+        for at, what, good in zip(t, op, ok, strict=True):
+            if what == "allow":
+                probe = now == 1 and at - failed_at >= timeout_s
+                if probe:
+                    now = 2
+                allowed, rejected = (allowed + 1, rejected) if probe or now == 0 else (allowed, rejected + 1)
+            elif good:
+                now, failures = 0, 0
+            else:
+                failures, failed_at = failures + 1, float(at)
+                now = 1 if failures >= most else now
+        return (now, failures, failed_at, allowed, rejected), []
+
+    return Fold(("t", "op", "ok"), "state long, failures long, failed_at double, allowed long, rejected long", (0, 0, 0.0, 0, 0), advance)
+
+
+def limiter_log(low: int, high: int) -> Fold:
+    """Adaptive limiter over events with op acquire, release, success or failure: an acquire beyond the ceiling waits for the next slot that a release or a raised ceiling leaves."""
+
+    def advance(state: tuple, op: Sequence) -> tuple:
+        ceiling, in_flight, acquired, waiting = state
+        for what in op:
+            if what == "success":
+                ceiling = min(ceiling + 1, high)
+            elif what == "failure":
+                ceiling = max(ceiling // 2, low)
+            in_flight -= what == "release"
+            waiting += what == "acquire"
+            taken = max(0, min(waiting, ceiling - in_flight))
+            in_flight, acquired, waiting = in_flight + taken, acquired + taken, waiting - taken
+        return (int(ceiling), int(in_flight), int(acquired), int(waiting)), []
+
+    return Fold(("op",), "ceiling long, in_flight long, acquired long, waiting long", (low, 0, 0, 0), advance)
+
+
 def cache_outcomes(ttl_s: float = 300.0) -> Fold:
     """A cache that renews an entry once 80 % of its time have passed: counts of hits, stale hits and misses, and the outcome of each lookup."""
 

@@ -306,6 +306,52 @@ def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(_log(spark, sf_dir), "key", ["t", "event_id"], machines.breaker(2, 86400.0)).drop("failed_at")
 
 
+#: Requests and their results as events of their own: a result comes as many minutes after its request as the event's value says.
+_STEPS = """select user_id as key, event_id, step, epoch_us(ts) + case when step = 0 then 0 else floor(coalesce(value, 0) * 60000000)::bigint end as us, event_type <> 'error' as ok from events, range(0, 3) s(step)"""
+
+
+def _steps(log: DataFrame) -> DataFrame:
+    """key, event_id, step, ts, t, ok: three rows an event, of which the first is the request, the others come with its result."""
+    rows = log.select("key", "event_id", "ts", "ok", "ms", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("step"))
+    us = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("step") == 0, 0).otherwise(F.floor(F.coalesce("ms", F.lit(0.0)) * 60_000_000))
+    return rows.select("key", "event_id", "step", F.timestamp_micros(us).alias("ts"), (us / 1e6).alias("t"), "ok")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(_log(spark, sf_dir)).where("step < 2").withColumn("op", F.when(F.col("step") == 0, "allow").otherwise("record"))
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("ok"), "success").otherwise("failure")
+    return _steps(_log(spark, sf_dir)).withColumn("op", F.when(F.col("step") == 0, "acquire").when(F.col("step") == 1, outcome).otherwise("release"))
+
+
+@query(
+    f"""with recursive s as ({_STEPS}), e as (select key, row_number() over (partition by key order by us, event_id, step) as i, us / 1e6 as t, step = 0 as asks, ok from s where step < 2),
+    r as (select key, 0::bigint as i, 0::bigint as state, 0::bigint as failures, 0::double as failed_at, 0::bigint as allowed, 0::bigint as rejected from (select distinct key from e)
+      union all select key, i, case when asks then (case when state = 1 and t - failed_at >= 86400 then 2 else state end) when ok then 0 when failures + 1 >= 2 then 1 else state end,
+        case when asks then failures when ok then 0 else failures + 1 end, case when not asks and not ok then t else failed_at end,
+        allowed + (asks and (state = 0 or (state = 1 and t - failed_at >= 86400)))::bigint, rejected + (asks and not (state = 0 or (state = 1 and t - failed_at >= 86400)))::bigint
+      from (select r.key, e.i, r.state, r.failures, r.failed_at, r.allowed, r.rejected, e.t, e.asks, e.ok from r join e on e.key = r.key and e.i = r.i + 1))
+    select key, state, failures, allowed, rejected from r qualify row_number() over (partition by key order by i desc) = 1"""
+)
+def breaker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(_requests(spark, sf_dir), "key", ["t", "event_id", "step"], machines.breaker_log(2, 86400.0)).drop("failed_at")
+
+
+@query(
+    f"""with recursive s as ({_STEPS}), e as (select key, row_number() over (partition by key order by us / 1e6, event_id, step) as i, case step when 0 then 'acquire' when 2 then 'release' else (case when ok then 'success' else 'failure' end) end as op from s),
+    r as (select key, 0::bigint as i, 2::bigint as ceiling, 0::bigint as in_flight, 0::bigint as acquired, 0::bigint as waiting from (select distinct key from e)
+      union all select key, i, ceiling, busy + taken, acquired + taken, want - taken
+      from (select *, greatest(least(want, ceiling - busy), 0) as taken
+        from (select r.key, e.i, r.acquired, case e.op when 'success' then least(r.ceiling + 1, 20) when 'failure' then greatest(r.ceiling // 2, 2) else r.ceiling end as ceiling,
+          r.in_flight - (e.op = 'release')::bigint as busy, r.waiting + (e.op = 'acquire')::bigint as want from r join e on e.key = r.key and e.i = r.i + 1)))
+    select key, ceiling, in_flight, acquired, waiting from r qualify row_number() over (partition by key order by i desc) = 1"""
+)
+def limiter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(_slots(spark, sf_dir), "key", ["t", "event_id", "step"], machines.limiter_log(2, 20))
+
+
 @query(
     """with recursive e as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as i, epoch_us(ts) / 1e6 as t from events),
     r as (select key, 0::bigint as i, null::double as loaded, null::varchar as outcome from (select distinct key from e)
@@ -655,6 +701,22 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(found, "state", "failures", "allowed", "rejected")
 
 
+def _in_time(log: DataFrame) -> DataFrame:
+    return stateful.with_time(stateful.in_slices(log, "ts"), late="1 hour")
+
+
+@query(ORACLE_SQL["breaker_log"])
+def stream_breaker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = stateful.collected(stateful.breaker_log(_in_time(_requests(spark, sf_dir)), 2, 86400.0), "update")
+    return _latest(found, "state", "failures", "allowed", "rejected")
+
+
+@query(ORACLE_SQL["limiter_log"])
+def stream_limiter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = stateful.collected(stateful.limiter_log(_in_time(_slots(spark, sf_dir)), 2, 20), "update")
+    return _latest(found, "ceiling", "in_flight", "acquired", "waiting")
+
+
 @query(_RECRAWL.replace(", last + ema::bigint as next_crawl", ""))
 def stream_recrawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _streamed_log(_sliced(spark, sf_dir)).withColumn("t", F.floor("t"))

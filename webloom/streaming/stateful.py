@@ -73,6 +73,16 @@ def breaker(events: DataFrame, most: int = 5, timeout_s: float = 30.0) -> DataFr
     return folded(events, "key", ["t", "event_id"], machines.breaker(most, timeout_s)).drop("failed_at")
 
 
+def breaker_log(events: DataFrame, most: int = 5, timeout_s: float = 30.0) -> DataFrame:
+    """key, state, failures, allowed, rejected after each micro-batch. events: key, event_id, step, t (seconds), op (allow or record), ok."""
+    return folded(events, "key", ["t", "event_id", "step"], machines.breaker_log(most, timeout_s)).drop("failed_at")
+
+
+def limiter_log(events: DataFrame, low: int, high: int) -> DataFrame:
+    """key, ceiling, in_flight, acquired, waiting after each micro-batch. events: key, event_id, step, t, op (acquire, success, failure or release)."""
+    return folded(events, "key", ["t", "event_id", "step"], machines.limiter_log(low, high))
+
+
 def cache_outcomes(lookups: DataFrame, ttl_s: float = 300.0) -> DataFrame:
     """host, event_id, outcome of each lookup: hit, stale_revalidate or miss. lookups: host, event_id, t (seconds)."""
     return folded(lookups, "host", ["t", "event_id"], machines.cache_outcomes(ttl_s), ["event_id"])
