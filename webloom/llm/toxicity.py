@@ -1,15 +1,15 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = logistic(w.x - t_k): all thresholds t_1 < t_2 < ... share the weights w. Features are the distinct words (letters only,
-lower case) and their beginnings of 4 to 7 letters; x counts the distinct words of the whole text that carry a feature. The score of a
+lower case; of those over ``LONGEST`` letters only the beginnings) and their beginnings of 4 to 7 letters; x counts the distinct words of the whole text that carry a feature. The score of a
 text is thus a sum over its distinct words, each looked up in a bounded cache.
 
 Grades of the training rows: 0 for toxic = 0; toxic rows are divided by how many distinct telling words they have (words with features
 that are far more frequent in toxic rows), at the quantiles of ``GRADES``. The labels hold no severity, so this is what orders them.
 
 Training: at most ``PER_CLASS`` labelled rows of each class, taken by a hash of doc_id, with all distinct words of each, and of near copies
-only one (a documented bound; all documents are scored). The model has ``MAX_FEATURES`` weights at most, which bounds what
-the tasks get.
+only one (a documented bound; all documents are scored). Words and features are counted in Spark. The driver gets 16 hashes of each of these rows, the
+chosen features, ``MAX_FEATURES`` at most, and how often each row has each of them, but no text and no other word. The model's size bounds what the tasks get.
 
 Nulls: a null or empty text has no features and gets the grade of none; a null doc_id stays null and can't be a training row; labels that are null
 count for nothing; with labels of one class only, or none, nothing is toxic. Repeated rows stay repeated. Several labels of one doc_id: the largest counts.
@@ -23,21 +23,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, lean, packed, unpacked
+from webloom.llm.common import checkpoint, chunks, lean, packed, unpacked
 
 PER_CLASS, MAX_FEATURES = 3000, 20_000
-PREFIXES = (4, 5, 6, 7)
-BUCKETS, CHANCE = 1 << 20, 0.5
+PREFIXES, LONGEST = (4, 5, 6, 7), 64
+CHANCE, MINIMA = 0.5, 16
 GRADES = (0.5,)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+    return [*([word] if len(word) <= LONGEST else []), *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+
+
+def _features(word: Column) -> Column:
+    """The same as a column."""
+    whole = F.when(F.length(word) <= LONGEST, word)
+    return F.array_compact(F.array(whole, *[F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in PREFIXES]))
 
 
 @dataclass
@@ -53,102 +58,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds)[None, :], -500, 500)))
 
 
-def _apart(rows: list[np.ndarray], size: int) -> list[int]:
-    """Rows without those that share a good part of their rarer words with an earlier one (16 minima of hashes)."""
-    rng = np.random.default_rng(5)
-    hashes = rng.integers(0, 1 << 62, (16, max(1, size)))
-    df = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=max(1, size))
-    rare = df <= max(2, len(rows) // 20)
+def _apart(minima: list[tuple[int, ...]]) -> list[int]:
+    """Rows without those that share five minima of hashes or more with an earlier one."""
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for i, words in enumerate(rows):
-        if rare[words].any():
-            words = words[rare[words]]
-        elif not words.size:
-            continue
-        minima = [(k, int(x)) for k, x in enumerate(hashes[:, words].min(axis=1))]
+    for i, row in enumerate(minima):
         votes: dict[int, int] = {}
-        for key in minima:
+        for key in enumerate(row):
             for j in seen.get(key, ()):
                 votes[j] = votes.get(j, 0) + 1
         if max(votes.values(), default=0) < 5:
             kept.append(i)
-            for key in minima:
+            for key in enumerate(row):
                 seen.setdefault(key, []).append(i)
     return kept
 
 
-def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps: int = 500) -> Model:
-    """The model from rows given as lists of distinct words."""
-    names = sorted(set().union(*words)) if words else []
-    vocabulary = {w: i for i, w in enumerate(names)}
-    coded = [np.array([vocabulary[w] for w in row], np.int64) for row in words]
-    kept = _apart(coded, len(names))
-    coded, y = [coded[i] for i in kept], np.array([toxic[i] for i in kept], np.int64)
-    if len(set(y.tolist())) < 2:
-        return Model()
-    # counts of rows by hashed features find the candidates, which are then counted by name
-    hashed = np.full((len(names), 1 + len(PREFIXES)), -1, np.int64)
-    for i, w in enumerate(names):
-        for j, f in enumerate(features(w)):
-            hashed[i, j] = xxhash.xxh3_64_intdigest(f) % BUCKETS
-    df = np.zeros((2, BUCKETS + 1), np.int64)  # the last place takes the -1
-    for row, t in zip(coded, y.tolist(), strict=True):
-        df[t, np.unique(hashed[row])] += 1
-    df = df[:, :BUCKETS]
-    share, rows_with = float(np.mean(y)), df.sum(axis=0)
-    # the proof that one feature needs, so that chance gives CHANCE ones among those that could reach it at all (Tarone's correction)
-    fewest = next(k for k in range(1, len(coded) + 2) if np.count_nonzero(rows_with >= k) * share**k <= CHANCE)
-    least = float(np.log(max(1, np.count_nonzero(rows_with >= fewest)) / CHANCE))
-
-    def proof(clean: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        """Chernoff's bound for so many toxic rows among those with a feature, 0 if it isn't far more frequent in them."""
-        k = np.maximum(1, clean + bad)
-        q = bad / k
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bound = k * (np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0))
-        return np.where((q >= 0.8) & (q > share), bound, 0)
-
-    likely = proof(df[0], df[1]) > least
-    of_word = {i: fs for i in np.flatnonzero(np.append(likely, False)[hashed].any(axis=1)).tolist() if (fs := [f for f, h in zip(features(names[i]), hashed[i].tolist(), strict=False) if likely[h]])}
-    exact: dict[str, list[int]] = {}
-    for row, t in zip(coded, y.tolist(), strict=True):
-        for f in {f for i in row.tolist() if i in of_word for f in of_word[i]}:
-            exact.setdefault(f, [0, 0])[t] += 1
-    # so many that chance would hardly give one such feature among all
-    proofs = dict(zip(exact, proof(*np.array(list(exact.values()), np.int64).reshape(-1, 2).T).tolist(), strict=True))
-    chosen = sorted((f for f, x in proofs.items() if x > least), key=lambda f: (-proofs[f], f))[:MAX_FEATURES]
-    at = {f: i for i, f in enumerate(chosen)}
-    # the design matrix, in coordinate form
-    r, c = [], []
-    hits = np.zeros(y.size)
-    for i, row in enumerate(coded):
-        for w in row.tolist():
-            own = [at[f] for f in of_word.get(w, ()) if f in at]
-            hits[i] += bool(own)
-            r += [i] * len(own)
-            c += own
-    r, c = np.array(r, np.int64), np.array(c, np.int64)
-    cuts = np.quantile(hits[y == 1], GRADES)
-    grade = np.where(y == 1, 1 + np.searchsorted(cuts, hits, "right"), 0)
+def slopes(w: np.ndarray, t: np.ndarray, r: np.ndarray, c: np.ndarray, x: np.ndarray, above: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """The loss and its slope by (w, t): row r has feature c x times, and above tells whether its grade is above each threshold."""
+    n = above.shape[0]
+    score = np.bincount(r, x * w[c], n)
+    p = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -30, 30)))
+    g = (p - above) / n  # for each threshold
+    loss = -np.log(np.where(above > 0, p, 1 - p)).sum() / n + l2 / 2 * (w**2).sum()
+    return float(loss), np.concatenate((np.bincount(c, x * g.sum(axis=1)[r], w.size) + l2 * w, -g.sum(axis=0)))
+
+
+def optimised(r: np.ndarray, c: np.ndarray, x: np.ndarray, grade: np.ndarray, features: int, l2: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, none below 0, and ascending thresholds of the cumulative-link model, by steps with moving means of slopes and of their squares."""
     levels = len(GRADES) + 1
-    w, t = np.zeros(len(chosen)), 1.0 + np.arange(levels, dtype=float)
+    w, t = np.zeros(features), 1.0 + np.arange(levels, dtype=float)
     m, v = np.zeros(w.size + levels), np.zeros(w.size + levels)
     above = (grade[:, None] > np.arange(levels)[None, :]).astype(float)
     for step in range(1, steps + 1):
-        score = np.bincount(r, w[c], y.size) if r.size else np.zeros(y.size)
-        p = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -30, 30)))
-        g = (p - above) / y.size  # the likelihood's slope, for each threshold
-        of_w = np.bincount(c, g.sum(axis=1)[r], w.size) + l2 * w
-        slope = np.concatenate((of_w, -g.sum(axis=0)))
+        slope = slopes(w, t, r, c, x, above, l2)[1]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, t = np.maximum(w - move[: w.size], 0), np.maximum.accumulate(t - move[w.size :] + 1e-6 * np.arange(levels))
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if x > 1e-3}, t.tolist())
+    return w, t
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from a bounded sample of labelled documents."""
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, words (distinct): the training rows; at most 2 x PER_CLASS. Of rows that repeat a doc_id the first words in order count."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     picked = None
@@ -159,14 +110,66 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, 4 << 20):
             rows = [sorted(set(WORD.findall((t or "").lower()))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(x) for x in rows], pa.string())], ["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    # at most 2 x PER_CLASS doc_ids; of rows that repeat one, the first text counts
-    rows = sample.mapInArrow(lean(run), "doc_id long, toxic int, words string").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
-    found = sorted(rows.collect(), key=lambda x: x["doc_id"])
-    same: dict[str, str] = {}
-    return fit_rows([[same.setdefault(w, w) for w in x["words"].split()] for x in found], [x["toxic"] for x in found])
+    rows = sample.mapInArrow(lean(run), "doc_id long, toxic int, words array<string>")
+    return rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
+
+
+def _distinct_rows(words: DataFrame, n: int) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of rows that share little of their rarer words with another; words: doc_id, toxic, w; of n rows."""
+    often = words.groupBy("w").agg(F.count("*").alias("n"))
+    hashed = words.join(often, "w").select("doc_id", "toxic", (F.col("n") <= max(2, n // 20)).alias("rare"), *[F.xxhash64("w", F.lit(k)).alias(f"h{k}") for k in range(MINIMA)])
+    least = [F.coalesce(F.min(F.when(F.col("rare"), F.col(f"h{k}"))), F.min(f"h{k}")).alias(f"h{k}") for k in range(MINIMA)]
+    rows = sorted(hashed.groupBy("doc_id", "toxic").agg(*least).collect())  # 18 numbers a row, at most 2 x PER_CLASS rows
+    return [(rows[i][0], rows[i][1]) for i in _apart([tuple(r[2:]) for r in rows])]
+
+
+def _chosen(features: DataFrame, share: float, n: int) -> list[str]:
+    """The features that tell toxic rows: so far more frequent in them that chance would hardly give one such among all. features: doc_id, toxic, f; of n rows with a share of toxic ones."""
+    counts = checkpoint(features.distinct().groupBy("f").agg(F.count("*").alias("k"), F.sum("toxic").alias("bad")))
+    by_k = np.zeros(n + 2, np.int64)
+    for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect():  # at most one row for each k up to n
+        by_k[r["k"]] = r["n"]
+    reach = np.cumsum(by_k[::-1])[::-1]  # features of k rows or more
+    # the proof that one feature needs, so that chance gives CHANCE ones among those that could reach it at all (Tarone's correction)
+    fewest = next(k for k in range(1, n + 2) if reach[k] * share**k <= CHANCE)
+    least = float(np.log(max(1, reach[fewest]) / CHANCE))
+    q = F.col("bad") / F.col("k")
+    # Chernoff's bound for so many toxic rows among those with the feature
+    other = F.when(q < 1, (1 - q) * F.log((1 - q) / F.lit(1 - share))).otherwise(0.0)
+    proof = F.col("k") * (q * F.log(q / F.lit(share)) + other)
+    telling = counts.where((q >= 0.8) & (q > share)).select("f", proof.alias("proof")).where(F.col("proof") > least)
+    return [r["f"] for r in telling.orderBy(F.desc("proof"), "f").limit(MAX_FEATURES).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model from a bounded sample of labelled documents."""
+    spark = docs.sparkSession
+    rows = checkpoint(_sample(docs, labels))
+    words = rows.select("doc_id", "toxic", F.explode("words").alias("w"))
+    kept = _distinct_rows(words, rows.count())
+    y = np.array([t for _, t in kept], np.int64)
+    if len(set(y.tolist())) < 2:
+        return Model()
+    words = words.join(F.broadcast(spark.createDataFrame([(i,) for i, _ in kept], "doc_id long")), "doc_id", "left_semi")
+    features = words.select("doc_id", "toxic", "w", F.explode(_features(F.col("w"))).alias("f"))
+    chosen = _chosen(features.select("doc_id", "toxic", "f"), float(np.mean(y)), y.size)
+    if not chosen:
+        return Model()
+    numbered = F.broadcast(spark.createDataFrame(list(zip(chosen, range(len(chosen)), strict=True)), "f string, c int"))
+    there = checkpoint(features.join(numbered, "f").select("doc_id", "c", "w"))
+    place = {doc_id: i for i, (doc_id, _) in enumerate(kept)}
+    hits = np.zeros(y.size)
+    for doc_id, n in there.groupBy("doc_id").agg(F.count_distinct("w")).collect():
+        hits[place[doc_id]] = n
+    design = there.groupBy("doc_id", "c").agg(F.count("*").alias("n")).orderBy("doc_id", "c").toArrow()
+    r = np.array([place[x] for x in design.column("doc_id").to_pylist()], np.int64)
+    c, x = design.column("c").to_numpy().astype(np.int64), design.column("n").to_numpy().astype(float)
+    grade = np.where(y == 1, 1 + np.searchsorted(np.quantile(hits[y == 1], GRADES), hits, "right"), 0)
+    w, t = optimised(r, c, x, grade, len(chosen))
+    return Model({f: float(v) for f, v in zip(chosen, w, strict=True) if v > 1e-3}, t.tolist())
 
 
 def _scored(docs: DataFrame, model: Model, room: int = 150_000) -> DataFrame:
