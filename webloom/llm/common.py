@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import threading
 import time
@@ -72,6 +73,22 @@ def release(spark: SparkSession, after: tuple[float, ...] = (1.5, 2.0, 3.0)) ->
     threading.Thread(target=collect, daemon=True).start()
 
 
+#: Arrow batches of texts hold about so many bytes, or one row.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark sends to Python at once by BATCH_BYTES, where the session allows more: ten thousand long texts would be held whole by the JVM and by Python, in each task.
+
+    It holds for what the session works out from now on, and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the Python worker, which serves other tasks too, gives its free memory back to the system."""
 

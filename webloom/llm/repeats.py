@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import checkpoint, chunks, lean, likely, narrow, packed, release, unpacked
+from webloom.llm.common import checkpoint, chunks, lean, likely, narrow, packed, release, small_batches, unpacked
 
 DEPTH, GRAM, HOT, WAYS = 100, 40, 1024, 4
 CHUNK = 1 << 19
@@ -376,6 +376,7 @@ def _compared(suffixes: DataFrame, depth: int) -> DataFrame:
 
 def _spans(docs: DataFrame, depth: int, gram: int, hot: int, ways: int = WAYS) -> DataFrame:
     """doc, sub, text, rest, empty, spans: rest holds the row's columns, empty says that its text is null; spans, or null, are lists of [lo, hi) that cover its repeats; they may overlap and go over the end."""
+    small_batches(docs.sparkSession)
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("text"),
