@@ -94,15 +94,20 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim is not None:
-            trim(0)
+        trim()
 
     return whole
 
 
+def trim() -> None:
+    """Gives this Python process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if give_back is not None:
+        give_back(0)
+
+
 def likely(base: DataFrame, keys: DataFrame, *columns: str, words: int = 1 << 17) -> DataFrame:
     """The rows of base whose columns may be among the keys, by a bit map of a fixed size (64 bits a word): others need not be shuffled for a join."""
     word, bit = f"cast(pmod(xxhash64({', '.join(columns)}), {words}) as int)", f"shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}, 1), 64) as int))"
