@@ -226,32 +226,40 @@ _STRINGS = pa.list_(pa.string())
 #: The fields of the web profile: their types, and what gives them from the tree and the readable text.
 FIELDS: dict[str, tuple[str, pa.DataType, Callable[[dom.Node, str], object]]] = {
     "title": ("string", pa.string(), lambda root, _: _title(root)),
-    "content": ("string", pa.string(), lambda _, text: text.encode()[:CONTENT_BYTES].decode("utf-8", "ignore")),
+    "content": ("string", pa.string(), lambda _, text: text),
     "content_length": ("int", pa.int32(), lambda _, text: len(text.encode())),
-    "links": ("array<string>", _STRINGS, lambda root, _: [n.attrs["href"] for n in dom.select(root, "a[href]") if is_link(n.attrs["href"])][:MAX_LINKS]),
-    "headings": ("array<string>", _STRINGS, lambda root, _: [t for n in dom.select(root, "h1, h2, h3") if (t := n.text().strip())][:MAX_HEADINGS]),
+    "links": ("array<string>", _STRINGS, lambda root, _: [n.attrs["href"] for n in dom.select(root, "a[href]") if is_link(n.attrs["href"])]),
+    "headings": ("array<string>", _STRINGS, lambda root, _: [t for n in dom.select(root, "h1, h2, h3") if (t := n.text().strip())]),
     "meta_description": ("string", pa.string(), lambda root, _: _description(root)),
     "word_count": ("int", pa.int32(), lambda _, text: len(text.split())),
-    "images": ("array<string>", _STRINGS, lambda root, _: [n.attrs["src"] for n in dom.select(root, "img[src]") if n.attrs["src"]][:MAX_IMAGES]),
+    "images": ("array<string>", _STRINGS, lambda root, _: [n.attrs["src"] for n in dom.select(root, "img[src]") if n.attrs["src"]]),
     "extras": ("map<string,string>", pa.map_(pa.string(), pa.string()), lambda root, _: _extras(root)),
 }
 TEXTUAL = {"content", "content_length", "word_count"}
+#: What the web profile leaves of long fields.
+LIMITS: dict[str, Callable] = {
+    "content": lambda x: x.encode()[:CONTENT_BYTES].decode("utf-8", "ignore"),
+    "links": lambda x: x[:MAX_LINKS], "headings": lambda x: x[:MAX_HEADINGS], "images": lambda x: x[:MAX_IMAGES],
+}
 
 
-def read_page(url: str, html: str, fields: Iterable[str] = tuple(FIELDS)) -> dict:
-    """Web profile of a page; only what the wanted fields need is worked out."""
+def read_page(url: str, html: str, fields: Iterable[str] = tuple(FIELDS), whole: bool = False) -> dict:
+    """Web profile of a page; only what the wanted fields need is worked out. whole: without the profile's limits on content, links, headings and images."""
     root = dom.parse(html)
     text = clean_text(root) if TEXTUAL.intersection(fields) else ""
-    return {"url": url} | {f: FIELDS[f][2](root, text) for f in fields}
+    found = {f: FIELDS[f][2](root, text) for f in fields}
+    if not whole:
+        found |= {f: LIMITS[f](x) for f, x in found.items() if f in LIMITS}
+    return {"url": url} | found
 
 
-def page_results(pages: DataFrame, fields: Iterable[str] = tuple(FIELDS), keep: Iterable[str] = ()) -> DataFrame:
-    """The wanted fields of the web profile of pages (url, html), and the columns to keep as they are, one row each; null html is an empty page."""
+def page_results(pages: DataFrame, fields: Iterable[str] = tuple(FIELDS), keep: Iterable[str] = (), whole: bool = False) -> DataFrame:
+    """The wanted fields of the web profile of pages (url, html), and the columns to keep as they are, one row each; null html is an empty page. whole: as in read_page."""
     fields, keep = list(fields), ["url", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read_page("", html or "", fields) for html in batch.column(len(keep)).to_pylist()]
+            found = [read_page("", html or "", fields, whole) for html in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([list(x[f].items()) if f == "extras" else x[f] for x in found], FIELDS[f][1]) for f in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *fields])
 
