@@ -1,6 +1,6 @@
 """Structured Streaming twins of the ordered folds.
 
-State lives per key in the state store and events of a key are taken in event order within a micro-batch, so a stream gives what the batch fold gives
+State lives in the state store, per share of the keys or per key, and events of a key are taken in event order within a micro-batch, so a stream gives what the batch fold gives
 when batches follow one another in time. Late data: events older than the watermark are dropped by the engine.
 """
 
@@ -19,6 +19,10 @@ from webloom.functions.machines import Fold
 from webloom.session import new_folder
 
 
+#: Into how many shares the keys of a stream are dealt, how many events a stored file should have and how many files a slice has at most.
+SHARES, FILE_ROWS, MOST_FILES = 1024, 250_000, 48
+
+
 def with_time(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """events with ts as a timestamp and a watermark."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -50,22 +54,42 @@ def windowed_counts(events: DataFrame, keys: list[str], width: str) -> DataFrame
     return events.groupBy(*keys, F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("window_start"), "n")
 
 
-def folded(events: DataFrame, key: str, order: list[str], fold: Fold, keep: list[str] | None = None) -> DataFrame:
-    """key and the fold's state after each micro-batch; with keep, instead, key, those columns and what the fold says about each event. State never expires."""
+def folded(events: DataFrame, key: str, order: list[str], fold: Fold, keep: list[str] | None = None, shares: int = SHARES) -> DataFrame:
+    """key and the fold's state after each micro-batch; with keep, instead, key, those columns and what the fold says about each event. State never expires.
+
+    Keys are dealt out by hash into shares, and a share's keys are folded in one call, as a call costs far more than a key's fold; the store holds the states of a share's keys
+    together. A task holds a share's events of one micro-batch. shares stays as it is for as long as a checkpoint is used.
+    """
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = f"{key} {types[key]}, {fold.state}" if keep is None else ", ".join([f"{key} {types[key]}", *[f"{c} {types[c]}" for c in keep], fold.out])
     columns = [c.split()[0] for c in out.split(", ")]
+    stored = ", ".join([f"keys array<{types[key]}>", *["{} array<{}>".format(*c.split()) for c in fold.state.split(", ")]])
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        after, said = fold.advance(state.get if state.exists else fold.start, *[rows[f].to_numpy() for f in fold.fields])
-        state.update(after)
+        rows = pd.concat(list(batches))
+        codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+        rows = rows.assign(__code=codes).sort_values(["__code", *order])
+        keys = [None if pd.isna(k) else k for k in keys.tolist()]
+        known: dict[object, tuple] = {}
+        if state.exists:
+            was = state.get
+            known = dict(zip(was[0], zip(*was[1:], strict=True), strict=True))
+        fields = [rows[f].tolist() for f in fold.fields]
+        ends = rows["__code"].value_counts(sort=False).sort_index().cumsum().tolist()
+        said: list[tuple] = []
+        for k, lo, hi in zip(keys, [0, *ends], ends, strict=False):
+            known[k], own = fold.advance(known.get(k, fold.start), *[f[lo:hi] for f in fields])
+            said += own
+        state.update((list(known), *map(list, zip(*known.values(), strict=True))))
         if keep is None:
-            yield pd.DataFrame([(group[0], *after)], columns=columns)
+            yield pd.DataFrame([(k, *known[k]) for k in keys], columns=columns)
         else:
-            yield pd.DataFrame([(group[0], *r, *s) for r, s in zip(rows[keep].itertuples(index=False), said, strict=True)], columns=columns)
+            of = [keys[c] for c in rows["__code"]]
+            yield pd.DataFrame([(k, *r, *s) for k, r, s in zip(of, rows[keep].itertuples(index=False), said, strict=True)], columns=columns)
 
-    return events.groupBy(key).applyInPandasWithState(run, out, fold.state, "update" if keep is None else "append", GroupStateTimeout.NoTimeout)
+    share = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(shares)).cast("int"))  # rows without a key apart, so that others' keys stay exact
+    wanted = events.select(*dict.fromkeys([key, *order, *fold.fields, *(keep or [])]), share.alias("__share"))
+    return wanted.groupBy("__share").applyInPandasWithState(run, out, stored, "update" if keep is None else "append", GroupStateTimeout.NoTimeout)
 
 
 def breaker(events: DataFrame, most: int = 5, timeout_s: float = 30.0) -> DataFrame:
@@ -198,10 +222,10 @@ def robots_cache(lookups: DataFrame, ttl_s: float = machines.ROBOTS_TTL_S) -> Da
     return _with_state(lookups, RobotsCache(ttl_s), "Append")
 
 
-def in_slices(df: DataFrame, ts: str, slices: int = 3, files: int = 1, cuts: list[str] | None = None) -> DataFrame:
+def in_slices(df: DataFrame, ts: str, slices: int = 3, files: int | None = None, cuts: list[str] | None = None) -> DataFrame:
     """A stream that reads df in micro-batches, one slice of time after the other; the slices are stored once in the shared folder. Rows without ts come first.
 
-    Slices are about equally large, where cuts aren't given as times. files: of each slice, which its readers share.
+    Slices are about equally large, where cuts aren't given as times. files: of each slice, which its readers share; by the rows of the largest slice if not given.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, "slices")
     at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0)).cast("double")
@@ -209,8 +233,14 @@ def in_slices(df: DataFrame, ts: str, slices: int = 3, files: int = 1, cuts: lis
         bounds = df.select(at.alias("at")).approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
     else:
         bounds = [float(r[0]) for r in spark.createDataFrame([(c,) for c in cuts], "at string").select(F.unix_micros(F.col("at").cast("timestamp"))).collect()]
-    for lo, hi in zip([-1.0, *bounds], [*bounds, float("inf")], strict=True):  # one after the other: a stream of files takes older ones first
-        df.where((at >= lo) & (at < hi)).repartition(files).write.mode("append").parquet(path)
+    parts = [(at >= lo) & (at < hi) for lo, hi in zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True)]
+    sizes = df.select(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).first()  # a row of counts
+    files = files or min(MOST_FILES, max(1, max(sizes) // FILE_ROWS))
+    for part, n in zip(parts, sizes, strict=True):  # one after the other: a stream of files takes older ones first
+        own = files if n >= 1000 * files else 1  # so many rows that no file stays out
+        df.where(part).repartition(own).write.mode("append").parquet(path)
+        for _ in range(files - own):  # a micro-batch takes so many files
+            df.limit(0).repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
