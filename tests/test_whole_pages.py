@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from webloom.operators import joins
 from webloom.plans import catalogue
 
 LONG = "<article><p>" + "wörd " * 20_000 + "end</p></article>"
@@ -32,3 +33,15 @@ def test_pages_that_share_a_url(spark, tmp_path):
     pages = [(i, u, "".join(link(n) for n in range(i + 1, i + 4))) for i, u in enumerate(urls)]
     got, want = against_sql(spark, tmp_path, "crawl_to_the_end", pages)
     assert got == want and len(got) > 5
+
+
+def test_equal_robots_rules_are_met_once(spark):
+    """A rule that is given many times decides as one does, and only one copy goes into the join."""
+    days = [(f"2024-01-{1 + n:02d}", f"2024-01-{2 + n:02d}") for n in range(3)]
+    rows = [("a.example", "*", "/en/", n == 1, since, until) for n, (since, until) in enumerate(days)]
+    schema = "domain string, agent string, path string, allow boolean, valid_from string, valid_to string"
+    df = spark.createDataFrame([(f"https://a.example/en/{i}", f"2024-01-{1 + i % 4:02d}") for i in range(40)], "url string, at string")
+    once, often = (joins.allowed(df, spark.createDataFrame(r, schema), at="at") for r in (rows, rows * 50))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect()))
+    assert {r.url: r.allowed for r in often.collect()} == {f"https://a.example/en/{i}": i % 4 in (1, 3) for i in range(40)}
+    assert often._jdf.queryExecution().analyzed().toString().count("Deduplicate [") >= 2  # urls and rules

@@ -42,14 +42,14 @@ def allowed(df: DataFrame, robots: DataFrame, agent: str = "*", compat_full_url:
     at: a time column of df; then robots has valid_from and valid_to (null: without end), and rules count from the one until before the other.
 
     Rules are looked up by the beginnings of the path that are as long as rules of the domain are before their first sign, so a domain may have any number of rules:
-    what is gathered of a domain are the lengths that occur. Each distinct url (and time) is decided once.
+    what is gathered of a domain are the lengths that occur. Each distinct url (and time) is decided once, and equal rules are met once, however often they are given.
     """
     target = F.col("url") if compat_full_url else F.concat(F.regexp_extract("url", r"(?s)^(?:[^:/?#]+:)?(?://[^/?#]*)?([^#]*)", 1))
     time = F.lit(None).cast("timestamp") if at is None else F.col(at).cast("timestamp")
     name = F.lower("agent")
     named = robots.where(((name == "*") | F.lit(agent.lower()).startswith(name)) & (F.col("path") != "")).withColumn("own", F.when(name == "*", 0).otherwise(F.length("agent")))
     valid = [F.col(c).cast("timestamp") if at else F.lit(None).cast("timestamp") for c in ("valid_from", "valid_to")]
-    rules = named.select("domain", "own", "allow", "path", _literal(F.col("path")).alias("begin"), _pattern(F.col("path")).alias("pattern"), valid[0].alias("since"), valid[1].alias("until"))
+    rules = named.select("domain", "own", "allow", "path", _literal(F.col("path")).alias("begin"), _pattern(F.col("path")).alias("pattern"), valid[0].alias("since"), valid[1].alias("until")).distinct()
     groups = robots.where((name == "*") | F.lit(agent.lower()).startswith(name)).groupBy(F.col("domain").alias("__domain")).agg(F.max(F.when(name == "*", 0).otherwise(F.length("agent"))).alias("__own"))
     lengths = rules.groupBy(F.col("domain").alias("__domain")).agg(F.collect_set(F.length("begin")).alias("__lengths"))
     asked = df.select("url", urls.crawler_domain(F.col("url")).alias("__domain"), target.alias("__target"), time.alias("__at")).distinct()
