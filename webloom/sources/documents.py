@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import media_type, parser_of
+from webloom.session import small_batches
 from webloom.sources import dom
 
 MAX_BYTES = 10 << 20
+#: How many documents Python reads before it hands them back.
+AT_ONCE = 100
 CONTENT_BYTES, MAX_HEADINGS, MAX_LINKS, MAX_IMAGES = 50 * 1024, 20, 100, 30
 PARSED = "url string, content_type string, parser string, title string, text string, links array<string>, fields map<string,string>, error string"
 #: Selectors of the web profile.
@@ -32,6 +35,11 @@ RATING = "[class*='rating'], [itemprop='ratingValue']"
 _SPACES, _LINES = re.compile(r"[ \t\r\f]{2,}"), re.compile(r"\n{3,}")
 
 
+def few(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, AT_ONCE at a time."""
+    return (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE))
+
+
 def is_link(href: str) -> bool:
     return href != "" and not href.startswith(("#", "javascript:"))
 
@@ -72,6 +80,7 @@ def read_html(body: str, rules: list[dict] | None = None) -> dict:
             out["fields"][rule["name"]] = node.text().strip() if node else ""
         elif node is not None and attr in node.attrs:
             out["fields"][rule["name"]] = node.attrs[attr]
+    dom.free(root)
     return out
 
 
@@ -169,7 +178,7 @@ def parse(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         ready = ready.join(of, crawler_domain(F.col("url")) == F.col("__domain"), "left").drop("__domain")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[i : i + AT_ONCE] for whole in batches for i in range(0, len(whole), AT_ONCE)):
             rows = []
             for r in batch.itertuples(index=False):
                 try:
@@ -181,6 +190,7 @@ def parse(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
                 rows.append({"url": r.url, "content_type": r.content_type, "parser": r.parser, **out})
             yield pd.DataFrame(rows, columns=["url", "content_type", "parser", "title", "text", "links", "fields", "error"])
 
+    small_batches(docs.sparkSession)
     return ready.select("url", "content_type", "parser", "body", "encoding", "rules").mapInPandas(run, PARSED)
 
 
@@ -248,6 +258,7 @@ def read_page(url: str, html: str, fields: Iterable[str] = tuple(FIELDS), whole:
     root = dom.parse(html)
     text = clean_text(root) if TEXTUAL.intersection(fields) else ""
     found = {f: FIELDS[f][2](root, text) for f in fields}
+    dom.free(root)
     if not whole:
         found |= {f: LIMITS[f](x) for f, x in found.items() if f in LIMITS}
     return {"url": url} | found
@@ -258,11 +269,12 @@ def page_results(pages: DataFrame, fields: Iterable[str] = tuple(FIELDS), keep:
     fields, keep = list(fields), ["url", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             found = [read_page("", html or "", fields, whole) for html in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([list(x[f].items()) if f == "extras" else x[f] for x in found], FIELDS[f][1]) for f in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *fields])
 
+    small_batches(pages.sparkSession)
     ready = pages.select(*keep, "html")
     return ready.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in ready.dtypes[:-1]] + [f"{f} {FIELDS[f][0]}" for f in fields]))
 
@@ -271,10 +283,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     """url, pos, href: the crawlable links of pages (url, html) in document order, as ``read_html`` finds them; duplicates stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             found = [[h for h in dom.hrefs(html or "") if is_link(h)] for html in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _STRINGS)], ["url", "hrefs"])
 
+    small_batches(pages.sparkSession)
     return pages.select("url", "html").mapInArrow(run, "url string, hrefs array<string>").select("url", F.posexplode("hrefs").alias("pos", "href"))
 
 
