@@ -18,7 +18,7 @@ count for nothing; with labels of one class only, or none, nothing is toxic. Rep
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +33,7 @@ PER_CLASS, MAX_FEATURES = 3000, 20_000
 PREFIXES = (4, 5, 6, 7)
 BUCKETS, CHANCE = 1 << 20, 0.5
 GRADES = (0.5,)
+L2, STEPS = 1e-5, 500
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,30 +60,41 @@ def _apart(rows: list[np.ndarray], size: int) -> list[int]:
     hashes = rng.integers(0, 1 << 62, (16, max(1, size)))
     df = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=max(1, size))
     rare = df <= max(2, len(rows) // 20)
-    seen: dict[tuple[int, int], list[int]] = {}
+    seen: list[dict[int, list[int]]] = [{} for _ in hashes]
     kept = []
     for i, words in enumerate(rows):
         if rare[words].any():
             words = words[rare[words]]
         elif not words.size:
             continue
-        minima = [(k, int(x)) for k, x in enumerate(hashes[:, words].min(axis=1))]
+        minima = hashes[:, words].min(axis=1).tolist()
         votes: dict[int, int] = {}
-        for key in minima:
-            for j in seen.get(key, ()):
+        for at, x in zip(seen, minima, strict=True):
+            for j in at.get(x, ()):
                 votes[j] = votes.get(j, 0) + 1
         if max(votes.values(), default=0) < 5:
             kept.append(i)
-            for key in minima:
-                seen.setdefault(key, []).append(i)
+            for at, x in zip(seen, minima, strict=True):
+                at.setdefault(x, []).append(i)
     return kept
 
 
-def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps: int = 500) -> Model:
+def fit_rows(words: list[list[str]], toxic: list[int], l2: float = L2, steps: int = STEPS) -> Model:
     """The model from rows given as lists of distinct words."""
-    names = sorted(set().union(*words)) if words else []
-    vocabulary = {w: i for i, w in enumerate(names)}
-    coded = [np.array([vocabulary[w] for w in row], np.int64) for row in words]
+    return _fit_coded(*_coded(words), toxic, l2, steps)
+
+
+def _coded(rows: Iterable[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words in order, and each row as numbers of its words; rows are read once, so that one list of words is held at a time."""
+    seen: dict[str, int] = {}
+    coded = [np.array([seen.setdefault(w, len(seen)) for w in row], np.int32) for row in rows]
+    names = sorted(seen)
+    place = np.zeros(len(names), np.int32)
+    place[[seen[w] for w in names]] = np.arange(len(names), dtype=np.int32)
+    return names, [place[row] for row in coded]
+
+
+def _fit_coded(names: list[str], coded: list[np.ndarray], toxic: list[int], l2: float, steps: int) -> Model:
     kept = _apart(coded, len(names))
     coded, y = [coded[i] for i in kept], np.array([toxic[i] for i in kept], np.int64)
     if len(set(y.tolist())) < 2:
@@ -92,7 +104,7 @@ def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps:
     for i, w in enumerate(names):
         for j, f in enumerate(features(w)):
             hashed[i, j] = xxhash.xxh3_64_intdigest(f) % BUCKETS
-    df = np.zeros((2, BUCKETS + 1), np.int64)  # the last place takes the -1
+    df = np.zeros((2, BUCKETS + 1), np.int32)  # the last place takes the -1
     for row, t in zip(coded, y.tolist(), strict=True):
         df[t, np.unique(hashed[row])] += 1
     df = df[:, :BUCKETS]
@@ -109,7 +121,10 @@ def fit_rows(words: list[list[str]], toxic: list[int], l2: float = 1e-5, steps:
             bound = k * (np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0))
         return np.where((q >= 0.8) & (q > share), bound, 0)
 
-    likely = proof(df[0], df[1]) > least
+    likely = np.zeros(BUCKETS, bool)
+    some = np.flatnonzero(df[1])  # without a toxic row there is no proof
+    likely[some] = proof(*df[:, some].astype(np.int64)) > least
+    del df, rows_with
     of_word = {i: fs for i in np.flatnonzero(np.append(likely, False)[hashed].any(axis=1)).tolist() if (fs := [f for f, h in zip(features(names[i]), hashed[i].tolist(), strict=False) if likely[h]])}
     exact: dict[str, list[int]] = {}
     for row, t in zip(coded, y.tolist(), strict=True):
@@ -165,8 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most 2 x PER_CLASS doc_ids; of rows that repeat one, the first text counts
     rows = sample.mapInArrow(lean(run), "doc_id long, toxic int, words string").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
     found = sorted(rows.collect(), key=lambda x: x["doc_id"])
-    same: dict[str, str] = {}
-    return fit_rows([[same.setdefault(w, w) for w in x["words"].split()] for x in found], [x["toxic"] for x in found])
+    toxic, texts = [x["toxic"] for x in found], [x["words"] for x in found][::-1]
+    del found
+    names, coded = _coded(texts.pop().split() for _ in toxic)  # each text goes once it is read
+    return _fit_coded(names, coded, toxic, L2, STEPS)
 
 
 def _scored(docs: DataFrame, model: Model, room: int = 150_000) -> DataFrame:
